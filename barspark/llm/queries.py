@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing
+from . import bpe, line_rules, mixing, simhash
 from .common import table
 
 
@@ -77,5 +77,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op9_bpe_automaton": op9_bpe_automaton, "op10_quality_rules": op10_quality_rules}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.lower(F.hex("print")).alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
+QUERIES = {"op6_simhash": op6_simhash, "op4_mixing": op4_mixing, "op9_bpe_automaton": op9_bpe_automaton, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op10_quality_rules": OP10_SQL}
