@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing, simhash
+from . import bpe, line_rules, mixing, simhash, suffix_dedup
 from .common import table
 
 
@@ -83,5 +83,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_simhash": op6_simhash, "op4_mixing": op4_mixing, "op9_bpe_automaton": op9_bpe_automaton, "op10_quality_rules": op10_quality_rules}
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op6_simhash": op6_simhash, "op4_mixing": op4_mixing, "op9_bpe_automaton": op9_bpe_automaton, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op10_quality_rules": OP10_SQL}
