@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing, simhash, suffix_dedup
+from . import bpe, line_rules, mixing, quotation, simhash, suffix_dedup, url_rules
 from .common import table
 
 
@@ -94,5 +94,63 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op6_simhash": op6_simhash, "op4_mixing": op4_mixing, "op9_bpe_automaton": op9_bpe_automaton, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL = {"op10_quality_rules": OP10_SQL}
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+OP3_SQL = r"""
+WITH a AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (
+  SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0) AS h0, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT page_id, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM b),
+d AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM c)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host || path, '(^|[./])(login|signin|signup|register|cart|checkout|ads|adserver|doubleclick|casino|porn|xxx|wp-admin|wp-login|cgi-bin|jpg|jpeg|png|gif|zip|exe|mp4)([./]|$)') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM d
+"""
+
+
+def op5_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.conversations(table(spark, sf_dir, "conversations")).select(
+        F.col("conv").alias("conv_id"), "turn", "role", F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "depth", "n_quoted", "body", "formatted"
+    )
+
+
+OP5_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+l0 AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS raw FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (
+  SELECT conv_id, turn, len(regexp_extract_all(regexp_extract(raw, '^(?:[ 	]*>)+', 0), '>')) AS level,
+    regexp_replace(regexp_replace(translate(regexp_replace(raw, '^(?:[ 	]*>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[ 	-]+', ' ', 'g'), '^ | $', '', 'g') AS line
+  FROM l0),
+f AS (SELECT conv_id, line, min(turn) AS parent FROM l WHERE level = 0 AND line <> '' GROUP BY ALL),
+q AS (SELECT conv_id, turn, parent, sum(length(line)) AS chars FROM l JOIN f USING (conv_id, line) WHERE level = 1 AND line <> '' AND parent < turn GROUP BY ALL),
+p AS (SELECT conv_id, turn, arg_max(parent, chars * 1000000000 + parent) AS parent FROM q GROUP BY ALL),
+r AS (
+  SELECT conv_id, turn, parent AS root, 1 AS depth FROM p
+  UNION ALL SELECT r.conv_id, r.turn, p.parent, r.depth + 1 FROM r JOIN p ON p.conv_id = r.conv_id AND p.turn = r.root),
+deep AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM r GROUP BY ALL),
+b AS (
+  SELECT *, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^(?:[ 	]*>)+')) AS plain FROM m),
+c AS (
+  SELECT *, (len(string_split(text, chr(10))) - len(plain))::BIGINT AS n_quoted,
+    regexp_replace(array_to_string(plain, chr(10)), '^[ 	-]+|[ 	-]+$', '', 'g') AS body FROM b)
+SELECT c.conv_id, c.turn, role, p.parent AS parent_turn, coalesce(deep.root, c.turn) AS root_turn, coalesce(deep.depth, 0)::BIGINT AS depth, n_quoted, body,
+  '<|' || coalesce(role, '') || '|>' || chr(10) || body || chr(10) AS formatted
+FROM c LEFT JOIN p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN deep ON deep.conv_id = c.conv_id AND deep.turn = c.turn
+"""
+
+
+QUERIES = {"op3_url_rules": op3_url_rules, "op5_quotation": op5_quotation, "op2_suffix_dedup": op2_suffix_dedup, "op6_simhash": op6_simhash, "op4_mixing": op4_mixing, "op9_bpe_automaton": op9_bpe_automaton, "op10_quality_rules": op10_quality_rules}
+ORACLE_SQL = {"op3_url_rules": OP3_SQL, "op5_quotation": OP5_SQL, "op10_quality_rules": OP10_SQL}
