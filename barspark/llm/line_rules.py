@@ -78,18 +78,23 @@ def line_passes(line: Column, rules: LineRules) -> Column:
     return ~(marked | navigation | line.rlike(BOILERPLATE))
 
 
-def clean(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: id, the counts, ``base_failed``, ``cleaned`` (lines that pass), ``kept``.
+def clean(
+    docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+) -> DataFrame:
+    """A row for each row of ``docs``: id, the counts, ``base_failed``, ``cleaned`` (lines that pass), ``kept``; with
+    ``carry`` also ``row``, the whole row as a struct.
 
     A null text has no word and is rejected, as an empty one is. Lines without a word stay as they are. Rows that
     repeat are judged alike; other columns are not read; an empty table gives none.
     """
     text = F.coalesce(F.col("t"), F.lit(""))
-    base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).select(
-        "id", "t", words_of(F.col("t")).alias("w"), F.split(text, "\n").alias("lines")
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"), *row).select(
+        "*", words_of(F.col("t")).alias("w"), F.split(text, "\n").alias("lines")
     )
     counted = base.select(
         "id",
+        *(["row"] if carry else []),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),

@@ -105,6 +105,11 @@ def round_parts(parts: DataFrame, fan_in: int, rows: int) -> DataFrame:
         parts, left, level = open_, groups, level + 1
 
 
+def size_of(text: Column) -> Column:
+    """Words of a text; none of a null one."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -123,7 +128,7 @@ def mix(
     sized = docs.select(
         docs[id_col].cast("long").alias("id"),
         docs[source_col].alias("source"),
-        F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        size_of(docs[text_col]).alias("size"),
     )
     # equal rows are one row with their number: no key depends on the order of the input
     sized = stored(sized.groupBy("id", "source", "size").agg(F.count("*").alias("n")), "mix-sizes")

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -190,11 +191,6 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[np.r_[0, cut + 1]], values[np.r_[cut, len(values) - 1]]
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Equal ids are told apart by nothing: a row is named by its id, so ids should differ (see repeated_spans)."""
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-
-
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """``id, text`` -> ``id, first, after``: byte ranges that cover every repeated string; ranges of an id may overlap."""
 
@@ -340,14 +336,19 @@ def _merged(runs: DataFrame) -> DataFrame:
     return one.repartition("digest").mapInArrow(search, "id long, first long, after long")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_bytes, spans`` (array of struct<first, after>, merged, in order) and ``kept`` (binary) of each row.
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None
+) -> DataFrame:
+    """``id, n_bytes, spans`` (array of struct<first, after>, merged, in order) and ``kept`` (binary) of each row; with the
+    name of a column in ``carry`` also that column, as ``row``, and ``kept_text``. In ``kept`` a cut may split a character.
 
     A null text is empty; texts under ``length`` bytes have no repeat. Matches never cross documents. Rows with one id
     count as one document, so ids must differ for copies to be seen; a null id keeps its text whole. Other columns are
     not read; an empty table gives no row.
     """
-    texts = _texts(docs, id_col, text_col)
+    row = [docs[carry].alias("row")] if carry else []
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *row)
+    texts = rows.select("id", "text")
     spans = repeated_spans(texts.where("id is not null and text is not null"), length)
     lists = spans.groupBy("id").agg(F.collect_list(F.struct("first", "after")).alias("found"))
 
@@ -369,10 +370,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 merged.append([{"first": a, "after": b} for a, b in out])
                 kept.append(b"".join([*left, raw[at:]]))
             span = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())],
-                names=["id", "n_bytes", "spans", "kept"],
-            )
-
-    schema = "id long, n_bytes long, spans array<struct<first:long,after:long>>, kept binary"
-    return texts.join(lists, "id", "left").select("id", "text", "found").mapInArrow(take, schema)
+            made = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())]
+            names = ["id", "n_bytes", "spans", "kept"]
+            if carry:  # a character that a cut has split goes
+                made += [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), batch.column(3)]
+                names += ["kept_text", "row"]
+            yield pa.RecordBatch.from_arrays(made, names=names)
+
+    joined = rows.join(lists, "id", "left").select("id", "text", "found", *(["row"] if carry else []))
+    spans_type = T.ArrayType(T.StructType().add("first", T.LongType()).add("after", T.LongType()))
+    schema = T.StructType().add("id", T.LongType()).add("n_bytes", T.LongType()).add("spans", spans_type).add("kept", T.BinaryType())
+    if carry:
+        schema = schema.add("kept_text", T.StringType()).add("row", joined.schema["row"].dataType)
+    return joined.mapInArrow(take, schema)

@@ -1,4 +1,94 @@
-"""placeholder"""
-STAGES = []
+"""A corpus made ready for training: line rules, near duplicates, repeated passages, source mix, token ids.
+
+Every stage takes the rows that the one before it left and returns their columns, the last one token ids. A row without
+doc_id is known by a hash of its text and source instead. Stages neither fail on nor drop clean rows that have nulls in
+other columns, and an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barspark.llm import bpe, line_rules, mixing, simhash, suffix_dedup
+from barspark.llm.common import stored
+from barspark.llm.queries import tokenizer_file
+
+#: Bytes of a repeated passage: about forty words, so that one of fifty words is seen whatever its words.
+PASSAGE = 240
+
+
+def _key(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"], docs["source"]))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The key, the text and the whole row as one column, whatever its columns are called."""
+    return docs.select(_key(docs).alias("id"), docs["text"].alias("text"), docs["source"].alias("source"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs``, with another text and its length if given."""
+    new = {} if text is None else {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that fail a rule go; documents that fail go."""
+    judged = line_rules.clean(docs, carry=True).where("kept")
+    return _unpacked(judged, docs, F.col("cleaned"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents whose sets of five-word shingles are alike by 0.8 or more, through others too, the smallest id stays."""
+    rows = _packed(docs)
+    found = simhash.near_duplicates(rows, simhash.for_similarity(0.8, words=5), id_col="id")
+    stay = found.where(F.col("id") == F.col("component")).select("id").distinct()
+    return _unpacked(rows.join(stay, "id", "left_semi"), docs)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of PASSAGE bytes that come again, in any document, go wherever they are; a character cut in two goes."""
+    done = suffix_dedup.remove_repeats(_packed(docs), PASSAGE, id_col="id", carry="row")
+    return _unpacked(done, docs, F.when(F.size("spans") > 0, F.col("kept_text")).otherwise(F.col("row.text")))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target weight has it: not at all, or up to three times."""
+    rows = _packed(docs)
+    group = ["id", "skey", "size"]
+    by_source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("skey")
+    mixed = mixing.mix(rows, id_col="id").where("copies > 0").select("id", by_source, "size", "copies")
+    copies = mixed.groupBy(group).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    found = rows.select("id", by_source, mixing.size_of(F.col("text")).alias("size"), "row").join(copies, group)
+    # rows that repeat each have a number of copies of their own
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.lit(1)))
+    each = found.withColumn("n", F.coalesce(F.get("copies", nth - 1), F.lit(0)))
+    out = each.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return _unpacked(out, docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded text of every document of the mix."""
+    coded = bpe.encode_decode(docs, tokenizer_file())
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
+    ("source_mix", source_mix),
+    ("token_ids", token_ids),
+]
+
+#: The stages aren't SQL: they are tested against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder for the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
