@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing, quotation, simhash, suffix_dedup, url_rules
+from . import bpe, language_id, line_rules, mixing, multi_index, quotation, rule_ensemble, simhash, suffix_dedup, url_rules
 from .common import table
 
 
@@ -132,7 +132,8 @@ l0 AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS raw FROM m W
 l AS (
   SELECT conv_id, turn, len(regexp_extract_all(regexp_extract(raw, '^(?:[ 	]*>)+', 0), '>')) AS level,
     regexp_replace(regexp_replace(translate(regexp_replace(raw, '^(?:[ 	]*>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[ 	-]+', ' ', 'g'), '^ | $', '', 'g') AS line
+      '[ 	-
+]+', ' ', 'g'), '^ | $', '', 'g') AS line
   FROM l0),
 f AS (SELECT conv_id, line, min(turn) AS parent FROM l WHERE level = 0 AND line <> '' GROUP BY ALL),
 q AS (SELECT conv_id, turn, parent, sum(length(line)) AS chars FROM l JOIN f USING (conv_id, line) WHERE level = 1 AND line <> '' AND parent < turn GROUP BY ALL),
@@ -145,12 +146,40 @@ b AS (
   SELECT *, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^(?:[ 	]*>)+')) AS plain FROM m),
 c AS (
   SELECT *, (len(string_split(text, chr(10))) - len(plain))::BIGINT AS n_quoted,
-    regexp_replace(array_to_string(plain, chr(10)), '^[ 	-]+|[ 	-]+$', '', 'g') AS body FROM b)
+    regexp_replace(array_to_string(plain, chr(10)), '^[ 	-
+]+|[ 	-
+]+$', '', 'g') AS body FROM b)
 SELECT c.conv_id, c.turn, role, p.parent AS parent_turn, coalesce(deep.root, c.turn) AS root_turn, coalesce(deep.depth, 0)::BIGINT AS depth, n_quoted, body,
   '<|' || coalesce(role, '') || '|>' || chr(10) || body || chr(10) AS formatted
 FROM c LEFT JOIN p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN deep ON deep.conv_id = c.conv_id AND deep.turn = c.turn
 """
 
 
-QUERIES = {"op3_url_rules": op3_url_rules, "op5_quotation": op5_quotation, "op2_suffix_dedup": op2_suffix_dedup, "op6_simhash": op6_simhash, "op4_mixing": op4_mixing, "op9_bpe_automaton": op9_bpe_automaton, "op10_quality_rules": op10_quality_rules}
+def _fold(name: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n."""
+    return F.crc32(F.col(name).cast("string").cast("binary")) % n
+
+
+def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = language_id.learn(docs, _fold("doc_id", 4) != 2)
+    return language_id.predict(docs, texts).select(
+        F.col("id").alias("doc_id"), (_fold("id", 4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score"
+    )
+
+
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = rule_ensemble.learn(docs, table(spark, sf_dir, "labels"), _fold("doc_id", 5) != 0)
+    scored = rule_ensemble.described(docs).withColumn("score", rule_ensemble.score(rules))
+    return scored.select(
+        F.col("id").alias("doc_id"), (_fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_cross_parsing": op1_cross_parsing, "op7_rule_ensemble": op7_rule_ensemble, "op8_multi_index": op8_multi_index, "op3_url_rules": op3_url_rules, "op5_quotation": op5_quotation, "op2_suffix_dedup": op2_suffix_dedup, "op6_simhash": op6_simhash, "op4_mixing": op4_mixing, "op9_bpe_automaton": op9_bpe_automaton, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op3_url_rules": OP3_SQL, "op5_quotation": OP5_SQL, "op10_quality_rules": OP10_SQL}
