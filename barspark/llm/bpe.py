@@ -1,10 +1,11 @@
 """BPE as a deterministic automaton over tokens, built by one merge gadget for each merge.
 
-State 0 is the start; it has an arc for every symbol. The gadget of a merge ``u v -> w`` redirects the arcs
-labelled ``u`` to a copy of their target that lacks the arc ``v``, and gives every state with an arc ``u`` an arc
-``w`` to where ``v`` led. All arcs of one label lead to one state, so a label's state is a number, a copied state is
-(parent, removed label, time), and an arc added later is found by the label's left part. A word has exactly one path
-through the finished automaton: its encoding. Arcs that have been looked up stay in a table.
+The start has an arc for every symbol. The gadget of a merge ``u v -> w`` redirects the arcs labelled ``u`` to a copy of
+their target that lacks the arc ``v``, and gives every state with an arc ``u`` an arc ``w`` to where ``v`` led. All arcs
+of one label lead to one state, so a state is named by the label that leads to it and kept as what its gadgets changed:
+``w`` begins as the state of ``v`` at that time, ``u`` loses ``v`` from that time on, and an arc that came later stands or
+falls with the left part of its label. A word has exactly one path through the finished automaton: its encoding. Arcs
+that have been looked up stay in a table.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words whose encoding a worker remembers; the memory is emptied when full, results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 END = "</w>"
 
 
@@ -36,62 +38,84 @@ class MergeAutomaton:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.ids, self.labels = vocab, {i: t for t, i in vocab.items()}
-        self.longest = max(len(t.removesuffix(END)) for t in vocab)
-        self.state = dict.fromkeys(vocab.values(), 0)  # to which state the arcs of a label lead
+        self.begun = {t[:n] for t in (x.removesuffix(END) for x in vocab) for n in range(1, len(t) + 1)}
         self.born = dict.fromkeys(vocab.values(), -1)
         self.left: dict[int, int] = {}
-        self.parent, self.removed, self.time = [-1], [-1], [-1]
+        self.trunk: dict[int, tuple[int, int]] = {}  # a label's state: that of another label up to a time
+        self.gone: dict[tuple[int, int], int] = {}  # and without these arcs, from these times on
         made = {a + b for a, b in merges}
-        self.arcs: dict[tuple[int, int], int] = {}
+        self.arcs: dict[tuple[int, int], bool] = {}
         self.usable = {i for t, i in vocab.items() if t not in made}
         for at, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if u in self.usable and v in self.usable and self._allows(self.state[u], v):
-                target = self.state[v]
-                self.parent.append(self.state[u])
-                self.removed.append(v)
-                self.time.append(at)
-                self.state[u] = len(self.parent) - 1
-                self.state[w], self.born[w], self.left[w] = target, at, u
+            if u in self.usable and v in self.usable and self._allows(u, v):
+                self.gone[u, v] = at
+                self.trunk[w], self.born[w], self.left[w] = (v, at), at, u
                 self.usable.add(w)
 
-    def _allows(self, state: int, label: int) -> bool:
-        while state:
-            made = self.time[state]
-            while self.born[label] >= made:
-                label = self.left[label]
-            if label == self.removed[state]:
-                return False
-            state = self.parent[state]
+    def _allows(self, last: int | None, label: int) -> bool:
+        """Whether the state of ``last`` has an arc ``label``: no gadget removed it, nor the one it was added beside."""
+        parts, above = [], len(self.born) + 1
+        part: int | None = label
+        while part is not None:
+            parts.append((part, self.born[part], above))
+            above, part = self.born[part], self.left.get(part)
+        until = len(self.born) + 1
+        while last is not None:
+            for part, since, before in parts:
+                at = self.gone.get((last, part))
+                if at is not None and since < at <= before and at < until:
+                    return False
+            last, cut = self.trunk.get(last, (None, 0))
+            until = min(until, cut)
         return True
 
-    def step(self, state: int, label: int) -> int:
-        """The next state, or -1 without such an arc."""
-        key = (state, label)
+    def step(self, last: int | None, label: int) -> bool:
+        """Whether there is such an arc; None is the start."""
+        if last is None:
+            return label in self.usable
+        key = (last, label)
         if (found := self.arcs.get(key)) is None:
             if len(self.arcs) > 4 * REMEMBERED:
                 self.arcs.clear()
-            found = self.arcs[key] = self.state[label] if label in self.usable and self._allows(state, label) else -1
+            found = self.arcs[key] = label in self.usable and self._allows(last, label)
         return found
 
     def encode_word(self, symbols: str) -> list[int]:
         """The labels of the path that spells ``symbols`` and ends with the word end."""
-        n, ids, step = len(symbols), self.ids, self.step
-        reached: list[tuple[int, int, int] | None] = [(0, -1, -1)] + [None] * n  # state, label, from where
+        n, ids, begun, step = len(symbols), self.ids, self.begun, self.step
+        reached: list[tuple[int | None, int] | None] = [(None, -1)] + [None] * n  # label, from where
         for i in range(n):
             if (here := reached[i]) is None:
                 continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                label = ids.get(symbols[i:j] if j < n else symbols[i:] + END)
-                if label is not None and (to := step(here[0], label)) >= 0:
-                    reached[j] = (to, label, i)
+            for j in range(i + 1, n + 1):
+                if (piece := symbols[i:j]) not in begun:
+                    break
+                label = ids.get(piece if j < n else piece + END)
+                if label is not None and step(here[0], label):
+                    reached[j] = (label, i)
         out, at = [], n
         while at > 0:
-            _, label, at = reached[at]
+            label, at = reached[at]
             out.append(label)
         return out[::-1]
 
 
+class _Chunks(dict):
+    """Ids by chunk, of short chunks; emptied when full."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, chunk: str) -> list[int]:
+        found = self.tokenizer.chunk(chunk)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(chunk) < 200:
+            self[chunk] = found
+        return found
+
+
 class WordTokenizer:
     """A tokenizer file with word ends: NFC, lower case, words by the file's pattern, byte symbols, merges."""
 
@@ -107,29 +131,34 @@ class WordTokenizer:
         self.added, self.labels = added, self.automaton.labels | {i: t for t, i in added.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
         self.bytes = byte_symbols()
-        self.known: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
+        self.chunks = _Chunks(self)
 
-    def _word(self, word: str) -> list[int]:
-        if (found := self.known.get(word)) is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
+    def word(self, word: str) -> list[int]:
+        if (found := self.words.get(word)) is None:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
             found = self.automaton.encode_word("".join([self.bytes[b] for b in word.encode()]))
             if len(word) < 200:
-                self.known[word] = found
+                self.words[word] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def chunk(self, chunk: str) -> list[int]:
+        """Ids of a text, or of a part of one between blanks: no rule of the file reaches across a blank."""
         out: list[int] = []
-        for piece in self.special.split(text) if "<|" in text else (text,):
+        for piece in self.special.split(chunk) if "<|" in chunk else (chunk,):
             if piece in self.added:
                 out.append(self.added[piece])
                 continue
             # one character at a time, as the tokenizer lowers: no final form of sigma
             plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
             for word in self.pattern.findall(plain):
-                out += self._word(word)
+                out += self.word(word)
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.chunks.__getitem__, text.split(" "))))
+
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
