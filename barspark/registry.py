@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import bars
+
+QUERIES: dict = {**bars.QUERIES}
+ORACLE_SQL: dict = {**bars.ORACLE_SQL}
