@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import bars
+from .plans import bars, supply
 
-QUERIES: dict = {**bars.QUERIES}
-ORACLE_SQL: dict = {**bars.ORACLE_SQL}
+QUERIES: dict = {**bars.QUERIES, **supply.QUERIES}
+ORACLE_SQL: dict = {**bars.ORACLE_SQL, **supply.ORACLE_SQL}
