@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import bars, supply
+from .plans import bars, control, supply
 
-QUERIES: dict = {**bars.QUERIES, **supply.QUERIES}
-ORACLE_SQL: dict = {**bars.ORACLE_SQL, **supply.ORACLE_SQL}
+_PLANS = (bars, supply, control)
+QUERIES: dict = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
+ORACLE_SQL: dict = {k: q for p in _PLANS for k, q in p.ORACLE_SQL.items()}
