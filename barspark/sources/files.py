@@ -176,7 +176,11 @@ def split_stubs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(whole), rows.where(~whole & F.col("docID").isNotNull() & (F.coalesce(status, F.lit(0)) != 0))
 
 
-@F.pandas_udf("string")
-def folded(text: pd.Series) -> pd.Series:
+def folded(word: Column) -> Column:
     """A search word: width folded, trimmed, upper case. Spark has no Unicode normalisation of its own."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip().upper())
+
+    @F.pandas_udf("string")
+    def fold(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).strip().upper())
+
+    return fold(word)
