@@ -22,13 +22,15 @@ from .common import stored
 @dataclass(frozen=True)
 class MultiIndex:
     """``sample``: vectors that the centroids are fitted to; ``centroids`` of each half; ``share`` of the rows that a query
-    looks at (0.6 finds over 0.9 of the true neighbours even among vectors without any structure); ``block``: rows of one."""
+    looks at (0.6 finds over 0.9 of the true neighbours even among vectors without any structure); ``block``: rows of one; ``asked``:
+    queries that meet a block at once."""
 
     sample: int = 8192
     centroids: int = 64
     rounds: int = 12
     share: float = 0.6
     block: int = 20000
+    asked: int = 4000
     nearest: int = 10
 
 
@@ -129,6 +131,9 @@ def search(
     plan = spark.sparkContext.broadcast((counts, block_of))
     enough = int(np.ceil(index.share * counts.sum()))
 
+    # a block meets the queries by chunks: neither side of a task grows with the table
+    chunks = max(1, -(-distinct.where(F.col("id") % every == 0).count() // index.asked))
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, blocks = plan.value
         for batch in batches:
@@ -165,7 +170,10 @@ def search(
 
     rows = placed.mapInPandas(deal, "id long, v array<double>, cell long, block long")
     queries = distinct.where(F.col("id") % every == 0).mapInPandas(ask, "query_id long, v array<double>, cells array<long>, block long")
-    found = queries.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
+    both = ("block", "chunk")
+    found = queries.groupBy(*both).cogroup(rows.groupBy(*both)).applyInPandas(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= index.nearest)
     return ranked.select("query_id", "rank", "vec_id", "score")

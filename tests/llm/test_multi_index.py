@@ -46,7 +46,7 @@ def test_ties_unusable_vectors_and_small_tables(spark):
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(0, 60)] + [(i, rng.random(4).tolist()) for i in range(60, 130)]
     rows += [(200, None), (201, [0.0] * 4), (202, [1.0, None, 2.0, 3.0]), (203, [float("nan")] * 4), (204, [float("inf"), 1.0, 1.0, 1.0]), (300, [1.0]), (205, []), (None, [1.0] * 4), (60, None)]
     docs = spark.createDataFrame([(*r, 1, 1) for r in rows], "vec_id long, embedding array<float>, cell int, v int")
-    small = mi.MultiIndex(centroids=4, block=16, share=1.0)
+    small = mi.MultiIndex(centroids=4, block=16, share=1.0, asked=3)
     got = {}
     for r in mi.search(docs, 20, small).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))

@@ -106,3 +106,21 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(5, 5), (300, 200), (250, 200), (200, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {i: 100 for i in range(100, 160)} | dict.fromkeys((200, 250, 300), 200)
+
+
+def test_large_anchors_give_the_same_components(monkeypatch):
+    rng = np.random.default_rng(0)
+    anchor, own = np.sort(rng.integers(0, 6, 1500)), rng.random(1500) < 0.3
+    prints = rng.integers(0, 2**63, (8, 2)).astype(np.uint64)[rng.integers(0, 8, 1500)]
+    for _ in range(9):
+        prints[np.arange(1500), rng.integers(0, 2, 1500)] ^= np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)
+    prints[::4] = rng.integers(0, 2**63, (375, 2)).astype(np.uint64)
+    found = []
+    for large, pivots in ((2, 3), (2, 1000), (64, 32), (10**9, 32)):
+        for name, value in (("LARGE", large), ("PIVOTS", pivots), ("PAIRS", 5000), ("LINKS", 400)):
+            monkeypatch.setattr(simhash, name, value)
+        root = np.arange(1500)
+        a, b = simhash._compare(anchor, own, np.arange(1500), prints, 14)
+        root[a] = b
+        found.append(root.tolist())
+    assert found[0] == found[1] == found[2] == found[3] and 8 < len(set(found[0])) < 1000
