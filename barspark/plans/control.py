@@ -288,3 +288,23 @@ def _axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"))
     return rows.orderBy(F.desc("created_at"), F.desc("o_orderkey")).limit(30)
+
+
+@_query("html_table_extract", """WITH d AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS calc_date, CAST(o_orderkey % 3 AS VARCHAR) AS holder_id, o_orderkey, o_totalprice, o_orderstatus FROM orders)
+SELECT o_custkey, calc_date, holder_id, 'Holder ' || o_orderkey AS holder, (o_orderkey % 500) / 100.0 AS ratio, CAST(floor(o_totalprice) AS BIGINT) AS quantity, CASE WHEN o_orderstatus = 'F' THEN '消失' END AS note FROM d
+QUALIFY row_number() OVER (PARTITION BY o_custkey, calc_date, holder_id ORDER BY o_orderkey DESC) = 1""")
+def _html_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import files
+
+    key, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    cells = (
+        F.date_format("o_orderdate", "yyyy/MM/dd"), F.concat(F.lit("<a href='/x/?f="), text(key % 3), F.lit("'>Holder "), text(key), F.lit("</a>")),
+        F.concat(F.format_string("%.2f", key % 500 / 100.0), F.lit("%")), F.lit(""), F.concat(F.format_number(F.floor("o_totalprice"), 0), F.lit("株")), F.lit("-"),
+        F.when(F.col("o_orderstatus") == "F", "消失").otherwise(""),
+    )
+    row = F.concat(F.lit("<tr class='obb'>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    pages = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), row.alias("row")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda x: x["row"]), "")
+    html = F.concat(F.lit("<table><tr class='obb'><td>other</td></tr></table><table id='sort'>"), body, F.lit("</table>"))
+    found = files.short_positions(files.html_rows(pages.select(text(F.col("o_custkey")).alias("path"), F.encode(html, "UTF-8").alias("content"))))
+    return found.select(F.col("path").cast("long").alias("o_custkey"), "calc_date", "holder_id", "holder", "ratio", "quantity", "note")
