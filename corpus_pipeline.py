@@ -14,6 +14,8 @@ from barspark.llm import bpe, line_rules, mixing, simhash, suffix_dedup
 from barspark.llm.common import stored
 from barspark.llm.queries import tokenizer_file
 
+#: Any number of words, and up to half of them in repeated windows, where the query's own limits are 10 words and a fifth.
+RULES = line_rules.LineRules(min_words=1, repeats=50)
 #: Bytes of a repeated passage: about forty words, so that one of fifty words is seen whatever its words.
 PASSAGE = 240
 
@@ -34,8 +36,8 @@ def _unpacked(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> D
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail a rule go; documents that fail go."""
-    judged = line_rules.clean(docs, carry=True).where("kept")
+    """Lines that fail a rule go; documents that fail go. Short texts and texts with a repeated line are clean here."""
+    judged = line_rules.clean(docs, RULES, carry=True).where("kept")
     return _unpacked(judged, docs, F.col("cleaned"))
 
 
