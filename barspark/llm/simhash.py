@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
 from .graph import components, forest
 
 BITS, RADIUS, GENERATOR = 23, 3, 0b110001110101
@@ -152,8 +153,40 @@ def anchors(blocks: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np
             yield row, key, not any(excess)
 
 
-#: Pairs that a task compares at once, links that it holds before it thins them, rows that it gathers before it compares.
-PAIRS, LINKS, ROWS = 2_000_000, 1_000_000, 400_000
+#: Pairs that a task compares at once, links that it holds before it thins them, rows that it gathers before it compares,
+#: rows of an anchor (or of a group in one) that are compared as a matrix, owners that are compared first.
+PAIRS, LINKS, ROWS, LARGE, PIVOTS = 2_000_000, 1_000_000, 400_000, 64, 32
+
+
+def _near(prints: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of two lists of rows, by bands of a matrix."""
+    theirs = np.ascontiguousarray(prints[right].T)
+    for band in np.array_split(left, -(-len(left) * len(right) // PAIRS)) if len(left) and len(right) else ():
+        far = np.zeros((len(band), len(right)), np.uint16)
+        for word in range(prints.shape[1]):
+            far += np.bitwise_count(prints[band, word][:, None] ^ theirs[word])
+        i, j = np.nonzero(far <= most)
+        other = band[i] != right[j]
+        yield band[i[other]], right[j[other]]
+
+
+def _compare_large(prints: np.ndarray, owners: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links with the components of all near pairs of an owner and a row. A few owners are compared first: what they
+    connect need not be compared again, so that a group of many near copies costs little more than its rows."""
+    n = len(prints)
+    rows, part = np.arange(n), np.arange(n)
+    if len(owners) > PIVOTS:
+        chosen = owners[np.linspace(0, len(owners) - 1, PIVOTS).astype(int)]
+        pairs = [np.concatenate(x) for x in zip(*_near(prints, chosen, rows, most), strict=True)]
+        if pairs and len(pairs[0]):
+            node, root = forest(*pairs)
+            yield node, root
+            part[node] = root
+    size = np.bincount(part, minlength=n)
+    together = size[part[owners]] >= LARGE
+    for p in np.unique(part[owners[together]]):
+        yield from _near(prints, owners[part[owners] == p], rows[part != p], most)
+    yield from _near(prints, owners[~together], rows, most)
 
 
 def _compare(anchor: np.ndarray, own: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,22 +196,33 @@ def _compare(anchor: np.ndarray, own: np.ndarray, ids: np.ndarray, prints: np.nd
     group = np.repeat(np.arange(len(starts)), sizes)
     owners = np.flatnonzero(own & (sizes[group] > 1))
     a, b = np.empty(0, ids.dtype), np.empty(0, ids.dtype)
-    todo = sizes[group[owners]]
-    cuts = np.searchsorted(np.cumsum(todo), np.arange(0, todo.sum(), PAIRS)) if len(owners) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(owners)], strict=True):
-        for part in np.array_split(owners[lo:hi], max(1, -(-int(todo[lo:hi].sum()) // PAIRS))):
-            n = sizes[group[part]]
-            if not len(part):
-                continue
-            left = np.repeat(part, n)
-            right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - starts[group[part]], n)
-            far = np.zeros(len(left), np.int64)
-            for word in range(prints.shape[1]):
-                far += np.bitwise_count(prints[left, word] ^ prints[right, word])
-            near = (far <= most) & (left != right)
-            a, b = np.concatenate([a, ids[left[near]]]), np.concatenate([b, ids[right[near]]])
-            if len(a) > LINKS:
-                a, b = forest(a, b)
+
+    def add(left: np.ndarray, right: np.ndarray) -> None:
+        nonlocal a, b
+        a, b = np.concatenate([a, ids[left]]), np.concatenate([b, ids[right]])
+        if len(a) > LINKS:
+            a, b = forest(a, b)
+
+    # large anchors one after the other, owners by rows of a matrix
+    large = sizes[group[owners]] >= LARGE
+    cut = np.flatnonzero(np.diff(group[owners[large]], prepend=-1, append=-1))
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        mine = owners[large][lo:hi]
+        first, n = starts[group[mine[0]]], sizes[group[mine[0]]]
+        for left, right in _compare_large(prints[first : first + n], mine - first, most):
+            add(first + left, first + right)
+    # small ones all at once
+    small = owners[~large]
+    upto = np.cumsum(sizes[group[small]])
+    for part in np.split(small, np.searchsorted(upto, np.arange(PAIRS, upto[-1], PAIRS))) if len(small) else ():
+        n = sizes[group[part]]
+        left = np.repeat(part, n)
+        right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - starts[group[part]], n)
+        far = np.zeros(len(left), np.int64)
+        for word in range(prints.shape[1]):
+            far += np.bitwise_count(prints[left, word] ^ prints[right, word])
+        near = (far <= most) & (left != right)
+        add(left[near], right[near])
     return forest(a, b) if len(a) else (a, b)
 
 
@@ -237,7 +281,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     any other. A null id is never a component unless all of it is null. Other columns are not read; rows that repeat
     each give a row; an empty table gives none.
     """
-    prints = fingerprints(docs, scheme, id_col, text_col)
+    prints = stored(fingerprints(docs, scheme, id_col, text_col), "prints")  # several steps read them
     nodes = prints.groupBy("print").agg(F.min("id").alias("id")).withColumn("node", F.xxhash64("print"))
     # a node is named by its print where that is 64 bits, else by a hash of it
     if scheme.prints == 1:
