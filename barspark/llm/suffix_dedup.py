@@ -230,7 +230,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     classes = all_.groupBy("anchor", "cls").agg(F.count("*").alias("n"), one)
     by_anchor = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
     known = stored(classes.join(by_anchor.where("all > 1").drop("all"), "anchor"), "classes")
-    whole = all_.join(known.where("n > 1").select("anchor", "cls"), ["anchor", "cls"]).select("id", "first", "after")
+    # classes that hold a thousandth of all stretches are a thousand at most: they go to every task instead of one
+    often = max(1, all_.count() // 1000)
+    hot = known.where(F.col("n") > often).select("anchor", "cls", F.lit(True).alias("hot"))
+    marked = all_.join(F.broadcast(hot), ["anchor", "cls"], "left")
+    rare = marked.where("hot is null").join(known.where(F.col("n").between(2, often)).select("anchor", "cls"), ["anchor", "cls"])
+    whole = marked.where("hot").unionByName(rare).select("id", "first", "after")
     return whole.unionByName(_shard_spans(texts, known.where("m > 1"), length))
 
 
