@@ -205,7 +205,7 @@ def with_derived(series: DataFrame) -> DataFrame:
 
 
 def metrics(derived: DataFrame) -> DataFrame:
-    """A row a symbol and metric: value, change, CAGR, trend, position, in the fixed order."""
+    """A row a symbol and metric: value, change, CAGR, trend, position, in the fixed order; ``n_values`` counts the values there are."""
     rows = F.array(*[
         F.struct(F.lit(i).alias("metric_no"), F.lit(k).alias("metric"), F.lit(u).alias("unit"), F.lit(m).cast("string").alias("mode"), F.lit(float(s)).alias("sign"), F.col(k).alias("h"))
         for i, (k, u, m, s) in enumerate(METRICS, 1)
@@ -217,4 +217,5 @@ def metrics(derived: DataFrame) -> DataFrame:
     return flat.select(
         "symbol", "metric_no", "metric", "unit", last.alias("value"), change.alias("change"),
         F.when(F.col("unit").isin("JPY", "JPY/share"), cagr(h)).alias("cagr"), trend(h, F.col("mode"), F.col("sign")).alias("trend"), position(h).alias("position"),
+        F.size(present(h)).alias("n_values"),
     )

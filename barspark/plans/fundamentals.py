@@ -154,7 +154,7 @@ def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fin.metrics(_derived(spark, sf_dir)).where(F.col("metric").isin(*_KNOWN))
+    return fin.metrics(_derived(spark, sf_dir)).where(F.col("metric").isin(*_KNOWN) & (F.col("n_values") > 0))
 
 
 @_query("fin_series", f"WITH {FACTS} SELECT symbol, period_end, round(revenue, 2) AS revenue, round(net_income, 2) AS net_income, roe FROM p")
@@ -184,23 +184,23 @@ def _growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("fin_cagr", f"WITH {DERIVED} SELECT symbol, metric, round(cagr, 4) + 0.0 AS cagr FROM metrics")
 def _cagr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_metrics(spark, sf_dir).where("position is not null"), "symbol", "metric", "cagr")
+    return rounded(_metrics(spark, sf_dir), "symbol", "metric", "cagr")
 
 
 @_query("fin_percentile", f"WITH {DERIVED} SELECT symbol, metric, round(position, 4) + 0.0 AS position FROM metrics")
 def _position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_metrics(spark, sf_dir).where("position is not null"), "symbol", "metric", "position")
+    return rounded(_metrics(spark, sf_dir), "symbol", "metric", "position")
 
 
 @_query("fin_trend", f"WITH {DERIVED} SELECT symbol, metric, trend FROM metrics")
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).where("position is not null").select("symbol", "metric", "trend")
+    return _metrics(spark, sf_dir).select("symbol", "metric", "trend")
 
 
 @_query("fin_metrics", f"""WITH {DERIVED} SELECT m.symbol, m.metric, m.unit, round("value", 4) + 0.0 AS "value", round(CASE WHEN m.unit = '%' THEN "value" - prev ELSE {_pct("prev", '"value"')} END, 4) + 0.0 AS change,
   round(cagr, 4) + 0.0 AS cagr, trend, round(position, 4) + 0.0 AS position FROM metrics m JOIN ends e ON e.symbol = m.symbol AND e.metric = m.metric""")
 def _fin_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_metrics(spark, sf_dir).where("position is not null"), "symbol", "metric", "unit", "value", "change", "cagr", "trend", "position")
+    return rounded(_metrics(spark, sf_dir), "symbol", "metric", "unit", "value", "change", "cagr", "trend", "position")
 
 
 @_query("fin_interim", f"""WITH {FACTS}, q AS (SELECT symbol, revenue AS a, lag(revenue) OVER (PARTITION BY symbol ORDER BY period_end) AS b, roe AS ra, lag(roe) OVER (PARTITION BY symbol ORDER BY period_end) AS rb, i, n FROM p)
