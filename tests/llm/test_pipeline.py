@@ -61,6 +61,16 @@ def test_stages_one_by_one(spark):
     assert sorted((r.doc_id or -1, list(r.ids)) for r in coded) == want
 
 
+def test_rows_that_repeat(spark):
+    text = prose(np.random.default_rng(5), 12)
+    rows = [(1, text, "en", "s0", 9, "x", 7)] * 3 + [(None, text + " More words stand here.", "en", "s0", 9, "x", 7)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA)
+    single = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert len(single) == 1 and single[0].text.startswith(text)
+    unique = corpus_pipeline.passage_dedup(spark, spark.createDataFrame(single, SCHEMA), "").collect()
+    assert [r.text for r in unique] == [single[0].text]
+
+
 def test_empty_table_and_run(spark, sf):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
