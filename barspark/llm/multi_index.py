@@ -88,7 +88,7 @@ def search(
     """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``: their nearest others found.
 
     Ties go to the smaller id. Equal vectors are equally near, so the index holds no more of them than can be among the
-    nearest. Rows that repeat an id count once. Vectors that are not usable() take no part; no usable vector: no row.
+    nearest. Rows that repeat an id count once, with the least of their vectors. Vectors that are not usable() take no part; no usable vector: no row.
     """
     spark = vectors.sparkSession
     good = usable(vectors, id_col, vector_col)
@@ -110,7 +110,7 @@ def search(
                 yield batch.assign(cell=closest(v[:, :middle], one) * columns + closest(v[:, middle:], two))
 
     few = Window.partitionBy("v").orderBy("id")
-    distinct = good.select("id", "v").groupBy("id").agg(F.first("v").alias("v"))
+    distinct = good.select("id", "v").groupBy("id").agg(F.min("v").alias("v"))
     held = distinct.withColumn("n", F.row_number().over(few)).where(F.col("n") <= index.nearest + 1).select("id", "v")
     placed = stored(held.mapInPandas(place, "id long, v array<double>, cell long"), "cells")
     counted = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most centroids ** 2 rows

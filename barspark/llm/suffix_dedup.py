@@ -347,9 +347,10 @@ def remove_repeats(
     """``id, n_bytes, spans`` (array of struct<first, after>, merged, in order) and ``kept`` (binary) of each row; with the
     name of a column in ``carry`` also that column, as ``row``, and ``kept_text``. In ``kept`` a cut may split a character.
 
-    A null text is empty; texts under ``length`` bytes have no repeat. Matches never cross documents. Rows with one id
-    count as one document, so ids must differ for copies to be seen; a null id keeps its text whole. Other columns are
-    not read; an empty table gives no row.
+    A null text is empty; texts under ``length`` bytes have no repeat. Matches never cross documents. Rows that repeat
+    are copies of each other, so that their texts go. Different texts under one id are not told apart: what is found in
+    one is cut at the same places of the others. A null id keeps its text whole. Other columns are not read; an empty
+    table gives no row.
     """
     row = [docs[carry].alias("row")] if carry else []
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *row)

@@ -79,6 +79,8 @@ def test_small_lengths_against_brute_force(spark, monkeypatch):
         docs = spark.createDataFrame([(k, v, 1, "n") for k, v in texts.items()], "doc_id long, text string, first int, kept string")
         check(suffix_dedup.remove_repeats(docs, 40).collect(), texts, 40)
     assert suffix_dedup.remove_repeats(docs.limit(0), 40).count() == 0
+    twice = docs.where("doc_id = 3")
+    assert len(texts[3]) > 40 and {bytes(r.kept) for r in suffix_dedup.remove_repeats(twice.unionAll(twice), 40).collect()} == {b""}
     again = suffix_dedup.remove_repeats(docs.where("doc_id = 3").unionAll(docs.where("doc_id = 3")).selectExpr("null AS doc_id", "text"), 40)
     assert [(r.id, r.spans) for r in again.collect()] == [(None, [])] * 2
 
