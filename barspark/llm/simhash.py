@@ -10,7 +10,7 @@ the blocks, which keeps the number of copies low and the number of anchors high
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate, combinations, product
@@ -33,7 +33,8 @@ SEED = 42
 class Scheme:
     """``words`` a shingle, ``prints`` fingerprints of 64 bits a text, ``tables``: the blocks of each table, by number of
     block; fingerprints meet if all blocks of a table together differ in ``threshold`` bits at most, and link if the
-    first ``compared`` fingerprints together differ in ``max_bits`` at most."""
+    first ``compared`` fingerprints together differ in ``max_bits`` at most. ``distinct``: a shingle counts once a text,
+    however often it stands there."""
 
     words: int = 3
     prints: int = 1
@@ -41,16 +42,17 @@ class Scheme:
     threshold: int = 2
     compared: int = 1
     max_bits: int = 2
+    distinct: bool = False
     salt: int = field(default=0x9E3779B97F4A7C15)
 
 
-def for_similarity(similarity: float = 0.8, words: int = 5, prints: int = 8, compared: int = 4) -> Scheme:
+def for_similarity(similarity: float = 0.8, words: int = 5, prints: int = 8, compared: int = 4, spread: float = 2) -> Scheme:
     """Every block of 23 bits is a table of its own. Texts whose shingle sets have the given Jaccard similarity differ in
-    a share acos(2 J / (1 + J)) / pi of the bits on average; twice the spread of that number is allowed above it."""
+    a share acos(2 J / (1 + J)) / pi of the bits on average; ``spread`` times the spread of that number is allowed above it."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * compared
-    allowed = int(n * share + 2 * math.sqrt(n * share * (1 - share)))
-    return Scheme(words, prints, tuple((i,) for i in range(64 * prints // BITS)), 1, compared, allowed)
+    allowed = int(n * share + spread * math.sqrt(n * share * (1 - share)))
+    return Scheme(words, prints, tuple((i,) for i in range(64 * prints // BITS)), 1, compared, allowed, distinct=True)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -63,15 +65,26 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, scheme: Scheme) -> bytes:
-    """``prints`` times 8 bytes, each from the highest bit on. A text without words has all bits 0."""
+def shingles(text: str | None, scheme: Scheme) -> np.ndarray:
+    """A hash of each shingle; different ones in order if only those count. A text of fewer words is one shingle."""
     words = (text or "").encode().lower().split()  # of bytes: lowers A-Z only, splits at ASCII white space only
     if not words:
-        return bytes(8 * scheme.prints)
+        return np.empty(0, np.uint64)
     k = min(scheme.words, len(words))
     joined, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[k - 1 :], strict=False)], dtype=np.uint64)
+    return np.unique(hashes) if scheme.distinct else hashes
+
+
+def fingerprint(text: str | None, scheme: Scheme) -> bytes:
+    """``prints`` times 8 bytes, each from the highest bit on. A text without words has all bits 0."""
+    return _print_of(shingles(text, scheme), scheme)
+
+
+def _print_of(hashes: np.ndarray, scheme: Scheme) -> bytes:
+    if not len(hashes):
+        return bytes(8 * scheme.prints)
     out = []
     for nth in range(scheme.prints):
         x = hashes
@@ -189,28 +202,25 @@ def _compare_large(prints: np.ndarray, owners: np.ndarray, most: int) -> Iterato
     yield from _near(prints, owners[~together], rows, most)
 
 
-def _compare(anchor: np.ndarray, own: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows in order of anchor: owners against all of their anchor, in blocks of bounded size, thinned."""
+def _compare_all(prints: np.ndarray, owners: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs of an owner and a row."""
+    return _near(prints, owners, np.arange(len(prints)), most)
+
+
+def _pairs(anchor: np.ndarray, own: np.ndarray, prints: np.ndarray, most: int, among: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs among rows in order of anchor: owners against all of their anchor, in blocks of bounded size."""
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[starts, len(anchor)])
     group = np.repeat(np.arange(len(starts)), sizes)
     owners = np.flatnonzero(own & (sizes[group] > 1))
-    a, b = np.empty(0, ids.dtype), np.empty(0, ids.dtype)
-
-    def add(left: np.ndarray, right: np.ndarray) -> None:
-        nonlocal a, b
-        a, b = np.concatenate([a, ids[left]]), np.concatenate([b, ids[right]])
-        if len(a) > LINKS:
-            a, b = forest(a, b)
-
     # large anchors one after the other, owners by rows of a matrix
     large = sizes[group[owners]] >= LARGE
     cut = np.flatnonzero(np.diff(group[owners[large]], prepend=-1, append=-1))
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         mine = owners[large][lo:hi]
         first, n = starts[group[mine[0]]], sizes[group[mine[0]]]
-        for left, right in _compare_large(prints[first : first + n], mine - first, most):
-            add(first + left, first + right)
+        for left, right in among(prints[first : first + n], mine - first, most):
+            yield first + left, first + right
     # small ones all at once
     small = owners[~large]
     upto = np.cumsum(sizes[group[small]])
@@ -222,12 +232,33 @@ def _compare(anchor: np.ndarray, own: np.ndarray, ids: np.ndarray, prints: np.nd
         for word in range(prints.shape[1]):
             far += np.bitwise_count(prints[left, word] ^ prints[right, word])
         near = (far <= most) & (left != right)
-        add(left[near], right[near])
+        yield left[near], right[near]
+
+
+def _compare(anchor: np.ndarray, own: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows in order of anchor, thinned."""
+    a, b = np.empty(0, ids.dtype), np.empty(0, ids.dtype)
+    for left, right in _pairs(anchor, own, prints, most, _compare_large):
+        a, b = np.concatenate([a, ids[left]]), np.concatenate([b, ids[right]])
+        if len(a) > LINKS:
+            a, b = forest(a, b)
     return forest(a, b) if len(a) else (a, b)
 
 
+def _apart(anchor: np.ndarray, own: np.ndarray, ids: np.ndarray, prints: np.ndarray, part: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs of different parts among rows in order of anchor, smaller id first."""
+    for left, right in _pairs(anchor, own, prints, most, _compare_all):
+        other = part[left] != part[right]
+        x, y = ids[left[other]], ids[right[other]]
+        if len(x):
+            found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            yield found[0], found[1]
+
+
 def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
-    """``id`` (long), ``print`` of different texts -> ``a, b``: links whose components are those of all near pairs."""
+    """``id`` (long), ``print`` of different texts -> ``a, b``: links whose components are those of all near pairs. With a
+    column ``part`` (long) instead all near pairs of different parts, some of them more than once."""
+    parted = "part" in distinct.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,10 +267,11 @@ def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 short = np.array([x.tobytes() for x in raw[:, : 8 * scheme.compared]], dtype=object)
+                more = [part.column(2).to_numpy(zero_copy_only=False)] if parted else []
                 for row, key, own in anchors(blocks_of(raw), scheme):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(np.full(len(key), own)), pa.array(ids[row]), pa.array(short[row], pa.binary())],
-                        names=["anchor", "own", "id", "print"],
+                        [pa.array(key), pa.array(np.full(len(key), own)), pa.array(ids[row]), pa.array(short[row], pa.binary()), *[pa.array(m[row]) for m in more]],
+                        names=["anchor", "own", "id", "print", "part"][: 4 + len(more)],
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +281,9 @@ def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
             nonlocal held
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
             end = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
-            a, b = _compare(*(c[:end] for c in cols), scheme.max_bits)
+            now = [c[:end] for c in cols]
             held = [tuple(c[end:] for c in cols)]
-            if len(a):
+            for a, b in _apart(*now, scheme.max_bits) if parted else filter(lambda x: len(x[0]), [_compare(*now, scheme.max_bits)]):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         rows = 0
@@ -261,7 +293,7 @@ def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
                 continue
             held.append((
                 batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(),
-                np.frombuffer(raw, np.uint64).reshape(batch.num_rows, -1),
+                np.frombuffer(raw, np.uint64).reshape(batch.num_rows, -1), *[c.to_numpy() for c in batch.columns[4:]],
             ))
             rows += batch.num_rows
             if rows >= ROWS:
@@ -270,7 +302,8 @@ def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
         if held:
             yield from flush(True)
 
-    placed = distinct.select("id", "print").mapInArrow(place, "anchor long, own boolean, id long, print binary")
+    more = ["part"] if parted else []
+    placed = distinct.select("id", "print", *more).mapInArrow(place, "anchor long, own boolean, id long, print binary" + ", part long" * parted)
     return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
@@ -291,3 +324,58 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     least = rooted.groupBy("root").agg(F.min("id").alias("component"))
     named = rooted.join(least, "root").select(F.col("print").alias("p"), "component")
     return prints.join(named, prints["print"] == named["p"]).select("id", "print", "component")
+
+
+def alike(docs: DataFrame, similarity: float, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of ``docs``: id, ``component`` (the smallest id that links reach), where a link is a pair that the
+    scheme finds and whose sets of shingles have the given Jaccard similarity. Shingles are compared by 64-bit hashes.
+
+    Texts with one set are one node, however many they are; texts without a word are one. The thinned links of the scheme are
+    checked first. Where one is wrong, all near pairs between the parts that are left are checked, so that a wrong link
+    neither joins two texts nor hides a right one. A null id is never a component unless all of it is null. Rows that
+    repeat each give a row; an empty table gives none.
+    """
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("h"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, prints = [], []
+            for text in batch.column(1):
+                hashes = shingles(text.as_py(), scheme)
+                nodes.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED) - (1 << 63))
+                prints.append(_print_of(hashes, scheme))
+            columns = [batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "node", "print"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingles(text.as_py(), scheme)).view(np.int64) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
+
+    prints = stored(rows.mapInArrow(printed, f"id {kind}, h long, node long, print binary"), "prints")
+    nodes = prints.groupBy("node").agg(F.min("print").alias("print"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("one"))
+    nodes = stored(nodes, "nodes")
+    near = stored(links(nodes.select(F.col("node").alias("id"), "print"), scheme).distinct(), "near")
+    loose = components(near)
+    ones = nodes.join(loose, "node", "left_semi").select("node", F.col("one.id").alias("i"), F.col("one.h").alias("g"))
+    texts = rows.join(ones, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("node", "text")
+    shingled = stored(texts.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "shingles")
+
+    def right(pairs: DataFrame) -> DataFrame:
+        """The pairs that are as alike as asked."""
+        for end in ("a", "b"):
+            pairs = pairs.join(shingled.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        return pairs.where(both >= (F.size("set_a") + F.size("set_b") - both) * F.lit(similarity) - 1e-9).select("a", "b")
+
+    sure = stored(right(near), "sure")
+    part = components(sure).withColumnRenamed("root", "part")
+    parts = stored(loose.join(part, "node", "left").select("node", "root", F.coalesce("part", "node").alias("part")), "parts")
+    split = parts.groupBy("root").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    rest = parts.join(split, "root", "left_semi").join(nodes, "node").select(F.col("node").alias("id"), "print", "part")
+    more = stored(links(rest, scheme).distinct(), "near")
+    roots = components(sure.unionByName(right(more)))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("one.id").alias("component"))
+    return prints.join(rooted.select("node", "root").join(least, "root"), "node").select("id", "component")

@@ -43,9 +43,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents whose sets of five-word shingles are alike by 0.8 or more, through others too, the smallest id stays;
-    of rows that have one key and one text, one. Rows of one key with different texts stay together or go together."""
+    fingerprints find the pairs and the sets themselves decide. Of rows that have one key and one text, one. Rows of one key with different texts stay together or go together."""
     rows = _packed(docs)
-    found = simhash.near_duplicates(rows, simhash.for_similarity(0.8, words=5), id_col="id")
+    found = simhash.alike(rows, 0.8, simhash.for_similarity(0.8, words=5, prints=12, spread=3), id_col="id")
     stay = found.where(F.col("id") == F.col("component")).select("id").distinct()
     kept = rows.join(stay, "id", "left_semi").withColumn("h", F.xxhash64("text"))
     return _unpacked(kept.dropDuplicates(["id", "h"]), docs)

@@ -71,6 +71,13 @@ def test_rows_that_repeat(spark):
     assert [r.text for r in unique] == [single[0].text]
 
 
+
+def test_a_line_many_times_makes_no_near_copy(spark):
+    texts = [" ".join(f"d{n}w{i}" for i in range(500)) + " one line of ten words that both have many times" * 50 for n in range(2)]
+    docs = spark.createDataFrame([(n, t, "en", "s0", 9, "x", 7) for n, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 1}
+
+
 def test_empty_table_and_run(spark, sf):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:

@@ -102,6 +102,34 @@ def test_similarity_scheme_finds_near_copies(spark):
     assert all(c in (d, d - d % 2) for d, c in got.items())  # no two unrelated texts
 
 
+
+def test_only_sets_that_are_alike_link(spark):
+    rng = np.random.default_rng(4)
+    texts = {}
+    for group in range(6):  # texts about 0.8 alike: many estimates are on the wrong side
+        base = [f"g{group}w{i}" for i in range(300)]
+        for n in range(20):
+            w = list(base)
+            for at in rng.choice(300, int(rng.integers(2, 9)), replace=False):
+                w[at] = f"c{n}"
+            texts[100 * group + n] = " ".join(w)
+    for n in range(2):  # different words and one line many times: sets that share next to nothing
+        texts[1000 + n] = " ".join(f"d{n}w{i}" for i in range(500)) + " one line of ten words that both have many times" * 50
+    sets = {k: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for k, t in texts.items()}
+    want = {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = {k: low if c == high else c for k, c in want.items()}
+    docs = spark.createDataFrame([*texts.items(), (7000, None), (7001, " "), (None, texts[0])], "doc_id long, text string")
+    scheme = simhash.for_similarity(prints=12, spread=3)
+    got = {r.id: r.component for r in simhash.alike(docs, 0.8, scheme).collect()}
+    assert got == want | {7000: 7000, 7001: 7000, None: 0}
+    assert len({c for k, c in want.items() if k < 1000}) > 6
+    assert simhash.alike(docs.limit(0), 0.8, scheme).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(5, 5), (300, 200), (250, 200), (200, 300)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
