@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, words_of
+from .common import SPACES, WORD, let, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Marks that prose hardly uses; full stops and commas are not among them.
@@ -25,7 +25,9 @@ BOILERPLATE = (
 
 @dataclass(frozen=True)
 class LineRules:
-    """Shares are in percent. ``marks``: of a line's word characters; ``repeats``: of the words; ``lost``: of the word characters of the text."""
+    """Shares are in percent. ``marks``: of a line's word characters; ``repeats``: of the words; ``lost``: of the word characters of the text.
+    ``phrase_words``, ``bar_words``: words of a line for each boilerplate phrase or bar that it may have; with 0 one phrase or
+    ``bars`` bars are enough, whatever the line's length."""
 
     marks: int = 10
     bars: int = 3
@@ -33,6 +35,8 @@ class LineRules:
     repeats: int = 20
     window: int = 5
     lost: int = 50
+    phrase_words: int = 0
+    bar_words: int = 0
 
 
 def repeated_words(words: Column, window: int) -> Column:
@@ -74,8 +78,12 @@ def line_passes(line: Column, rules: LineRules) -> Column:
     """The punctuation, navigation and boilerplate rules; a line without a word passes."""
     chars = F.length(F.regexp_replace(line, SPACES, ""))
     marked = F.regexp_count(line, F.lit(MARKS)) * 100 > chars * rules.marks
-    navigation = (F.regexp_count(line, F.lit(BARS)) >= rules.bars) | line.rlike(NAVIGATION)
-    return ~(marked | navigation | line.rlike(BOILERPLATE))
+    barred, boilerplate, words = F.regexp_count(line, F.lit(BARS)) >= rules.bars, line.rlike(BOILERPLATE), F.regexp_count(line, F.lit(WORD))
+    if rules.bar_words:
+        barred = barred & (F.regexp_count(line, F.lit(BARS)) * rules.bar_words >= words)
+    if rules.phrase_words:
+        boilerplate = boilerplate & (F.regexp_count(line, F.lit(BOILERPLATE)) * rules.phrase_words >= words)
+    return ~(marked | barred | line.rlike(NAVIGATION) | boilerplate)
 
 
 def clean(

@@ -15,7 +15,8 @@ from barspark.llm.common import stored
 from barspark.llm.queries import tokenizer_file
 
 #: Any number of words, and up to half of them in repeated windows, where the query's own limits are 10 words and a fifth.
-RULES = line_rules.LineRules(min_words=1, repeats=50)
+#: A line goes for a boilerplate phrase in every 25 words or a bar in every 10, so that a mention in a long line is no fault.
+RULES = line_rules.LineRules(min_words=1, repeats=50, phrase_words=25, bar_words=10)
 #: Bytes of a repeated passage: about forty words, so that one of fifty words is seen whatever its words.
 PASSAGE = 240
 

@@ -72,6 +72,18 @@ def test_rows_that_repeat(spark):
 
 
 
+
+def test_a_mention_in_a_long_line_is_clean(spark):
+    rng = np.random.default_rng(6)
+    long, more = prose(rng, 8), prose(rng, 8)
+    mentions = [f"{long} Whoever holds the copyright reads the privacy policy. {more}", f"{long} a > b | c > d {more}"]
+    boilerplate = ["Copyright 2020 by the firm. All rights reserved.", "Home | About | News | More", " ".join(f"{w} copyright" for w in more.split()[:15]), " ".join(f"{w} |" for w in more.split()[:30])]
+    texts = mentions + [f"{long}\n{b}" for b in boilerplate]
+    docs = spark.createDataFrame([(n, t, "en", "s0", 9, "x", 7) for n, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert got == dict(enumerate([*mentions, long, long, long, long]))
+
+
 def test_a_line_many_times_makes_no_near_copy(spark):
     texts = [" ".join(f"d{n}w{i}" for i in range(500)) + " one line of ten words that both have many times" * 50 for n in range(2)]
     docs = spark.createDataFrame([(n, t, "en", "s0", 9, "x", 7) for n, t in enumerate(texts)], SCHEMA)
