@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -28,9 +31,13 @@ def words_of(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a default is set only where the session has none."""
-    if (found := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        found = "/tmp/checkpoints"
+    """The folder of spark.checkpoint.dir. Where the session has none, a folder of its own on this machine does if Spark runs
+    on this machine alone; on a cluster, where others could not read it, it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: steps that are written need a folder that all executors share")
+        found = os.path.join(tempfile.gettempdir(), "checkpoints")
     return found.rstrip("/")
 
 

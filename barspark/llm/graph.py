@@ -35,11 +35,15 @@ def components(links: DataFrame) -> DataFrame:
     folder, so that the plan doesn't grow and lost executors cost no more than one round. Self links count for nothing.
     """
 
+    made: list[DataFrame] = []
+
     def star(edges: DataFrame, small: bool) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if not small:
             both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join reads two exchanges and Spark can split the links of one large star
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        made.append(least)
         side = both if small else both.where("v > u")
         out = side.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         if small:
@@ -52,8 +56,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = tuple(now.agg(*sign).first())
     while seen != before:
         before = seen
-        after = stored(star(star(now, small=False), small=True), "links")
-        dropped(now)
+        large = stored(star(now, small=False), "links")
+        after = stored(star(large, small=True), "links")
+        for old in (now, large, *made):
+            dropped(old)
+        made.clear()
         now, seen = after, tuple(after.agg(*sign).first())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

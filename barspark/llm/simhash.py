@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
         nodes = nodes.withColumn("node", F.conv(F.hex("print"), 16, -10).cast("long"))
     roots = components(links(nodes.select(F.col("node").alias("id"), "print"), scheme))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    # written, so that the join reads two exchanges and Spark can split a large component
+    least = stored(rooted.groupBy("root").agg(F.min("id").alias("component")), "least")
     named = rooted.join(least, "root").select(F.col("print").alias("p"), "component")
     return prints.join(named, prints["print"] == named["p"]).select("id", "print", "component")
 
@@ -377,5 +378,5 @@ def alike(docs: DataFrame, similarity: float, scheme: Scheme, id_col: str = "doc
     more = stored(links(rest, scheme).distinct(), "near")
     roots = components(sure.unionByName(right(more)))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("one.id").alias("component"))
+    least = stored(rooted.groupBy("root").agg(F.min("one.id").alias("component")), "least")
     return prints.join(rooted.select("node", "root").join(least, "root"), "node").select("id", "component")

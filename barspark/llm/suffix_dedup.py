@@ -13,8 +13,8 @@ repeat. The steps:
    suffix that many bytes on, groups of one left alone, twice as far each time) and takes common prefixes by Kasai's
    rule (a suffix whose left neighbour in the text continues the same match has one byte less; only the others are
    compared byte by byte);
-4. shards that share a spread anchor hand on their strings' digests in order, and each run is looked up in the others by
-   binary search.
+4. shards that share a spread anchor hand on one digest for each of their groups, with the number of its places; digests
+   are dealt out in order, and each is looked up among the others by binary search.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .common import stored
 
 LENGTH = 400
 #: Bytes of text that a task hashes at once (a longer document is taken alone), stretches of one anchor and bytes in a shard.
-BATCH, SPREAD, SHARD = 1 << 21, 2000, 1 << 21
+BATCH, SPREAD, SHARD = 1 << 21, 250, 1 << 21
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -282,8 +282,9 @@ def _shard_spans(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 lo, hi = _runs(start)
                 name = np.array(list(docs))
                 spans = [name[lo >> 40], lo & (1 << 40) - 1, (hi & (1 << 40) - 1) + length]
-            # strings of spread anchors, in suffix order, one for each group and place
-            handed = np.flatnonzero(np.array([r["spread"] for r in rows])[piece]) if len(piece) else np.empty(0, np.int64)
+            # strings of spread anchors, one for each group: other shards need not know how often this one has it
+            spread = np.flatnonzero(np.array([r["spread"] for r in rows])[piece]) if len(piece) else np.empty(0, np.int64)
+            handed = spread[np.unique(number[spread], return_index=True)[1]]
             digests = [hashlib.blake2b(pieces[p][a : a + length], digest_size=16).digest() for p, a in zip(piece[handed].tolist(), at[handed].tolist(), strict=True)]
             k, none = len(spans[0]), len(handed)
             return pa.RecordBatch.from_arrays(
@@ -307,8 +308,9 @@ def _shard_spans(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
         if rows and (found := flush(rows)) is not None:
             yield found
 
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small tasks stay apart
     found = stored(
-        pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(
+        pieces.repartition(parts, "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(
             sort, "id long, first long, after long, digest binary, hit boolean"
         ),
         "repeats",
@@ -316,47 +318,47 @@ def _shard_spans(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     return found.where("digest is null").select("id", "first", "after").unionByName(_merged(found.where("digest is not null")))
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    """Strings of spread anchors from several shards: each is looked up among the others by binary search."""
+def _merged(handed: DataFrame) -> DataFrame:
+    """Strings that their own shard has once and another shard has too. A digest comes once from each shard of its anchor."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables)
-        digest = np.array(t.column("digest").to_pylist(), dtype="S16")
-        ids, first, n, size = (t.column(c).to_numpy() for c in ("id", "first", "n", "size"))
-        order = np.argsort(digest)
-        run = digest[order]
-        upto = np.r_[0, np.cumsum(n[order])]
-        places = upto[np.searchsorted(run, run, "right")] - upto[np.searchsorted(run, run, "left")]
-        chosen = order[places > 1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[chosen]), pa.array(first[chosen]), pa.array(first[chosen] + size[chosen])], names=["id", "first", "after"]
-        )
-
-    # a string that its shard found repeated stands for two places
-    n = F.max(F.col("hit").cast("int") + 1).cast("long").alias("n")
-    one = runs.groupBy("digest", "id", "first").agg(n, F.max(F.col("after") - F.col("first")).alias("size"))
-    return one.repartition("digest").mapInArrow(search, "id long, first long, after long")
+        names = ["id", "first", "after"]
+
+        def looked_up(digest: np.ndarray, hit: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
+            shards = np.searchsorted(digest, digest, "right") - np.searchsorted(digest, digest, "left")
+            chosen = spans[(shards > 1) & ~hit]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in chosen.T], names=names)
+
+        digest, hit, spans = np.empty(0, "S16"), np.empty(0, bool), np.empty((0, 3), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                digest = np.concatenate([digest, np.array(batch.column("digest").to_pylist(), dtype="S16")])
+                hit = np.concatenate([hit, batch.column("hit").to_numpy(zero_copy_only=False)])
+                spans = np.concatenate([spans, np.stack([batch.column(c).to_numpy() for c in names], axis=1)])
+                cut = int(np.searchsorted(digest, digest[-1]))  # the last digest may go on in the next batch
+                yield looked_up(digest[:cut], hit[:cut], spans[:cut])
+                digest, hit, spans = digest[cut:], hit[cut:], spans[cut:]
+        yield looked_up(digest, hit, spans)
+
+    return handed.repartition("digest").sortWithinPartitions("digest").mapInArrow(search, "id long, first long, after long")
 
 
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None
 ) -> DataFrame:
-    """``id, n_bytes, spans`` (array of struct<first, after>, merged, in order) and ``kept`` (binary) of each row; with the
-    name of a column in ``carry`` also that column, as ``row``, and ``kept_text``. In ``kept`` a cut may split a character.
+    """``id, n_bytes, spans`` (array of struct<first, after>, merged, in order), ``kept`` (binary) and ``kept_text`` of each
+    row; with the name of a column in ``carry`` also that column, as ``row``. In ``kept`` a cut may split a character, which
+    ``kept_text`` leaves out.
 
     A null text is empty; texts under ``length`` bytes have no repeat. Matches never cross documents. Rows that repeat
-    are copies of each other, so that their texts go. Different texts under one id are not told apart: what is found in
-    one is cut at the same places of the others. A null id keeps its text whole. Other columns are not read; an empty
-    table gives no row.
+    are copies of each other, so that their texts go. A row is known by a hash of 64 bits of its id and text together, so
+    null ids and different texts under one id are told apart. Other columns are not read; an empty table gives no row.
     """
     row = [docs[carry].alias("row")] if carry else []
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *row)
-    texts = rows.select("id", "text")
-    spans = repeated_spans(texts.where("id is not null and text is not null"), length)
-    lists = spans.groupBy("id").agg(F.collect_list(F.struct("first", "after")).alias("found"))
+    rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("key"), docs[id_col].alias("id"), docs[text_col].alias("text"), *row)
+    texts = rows.select(F.col("key").alias("id"), "text")
+    spans = repeated_spans(texts.where("text is not null"), length)
+    lists = spans.groupBy(F.col("id").alias("key")).agg(F.collect_set(F.struct("first", "after")).alias("found"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,16 +378,14 @@ def remove_repeats(
                 merged.append([{"first": a, "after": b} for a, b in out])
                 kept.append(b"".join([*left, raw[at:]]))
             span = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
-            made = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())]
-            names = ["id", "n_bytes", "spans", "kept"]
-            if carry:  # a character that a cut has split goes
-                made += [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), batch.column(3)]
-                names += ["kept_text", "row"]
-            yield pa.RecordBatch.from_arrays(made, names=names)
-
-    joined = rows.join(lists, "id", "left").select("id", "text", "found", *(["row"] if carry else []))
+            texts = [k.decode("utf-8", "ignore") for k in kept]  # a character that a cut has split goes
+            made = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=["id", "n_bytes", "spans", "kept", "kept_text", *(["row"] if carry else [])])
+
+    joined = rows.join(lists, "key", "left").select("id", "text", "found", *(["row"] if carry else []))
     spans_type = T.ArrayType(T.StructType().add("first", T.LongType()).add("after", T.LongType()))
-    schema = T.StructType().add("id", T.LongType()).add("n_bytes", T.LongType()).add("spans", spans_type).add("kept", T.BinaryType())
+    schema = T.StructType().add("id", joined.schema["id"].dataType).add("n_bytes", T.LongType()).add("spans", spans_type)
+    schema = schema.add("kept", T.BinaryType()).add("kept_text", T.StringType())
     if carry:
-        schema = schema.add("kept_text", T.StringType()).add("row", joined.schema["row"].dataType)
+        schema = schema.add("row", joined.schema["row"].dataType)
     return joined.mapInArrow(take, schema)

@@ -81,8 +81,18 @@ def test_small_lengths_against_brute_force(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(docs.limit(0), 40).count() == 0
     twice = docs.where("doc_id = 3")
     assert len(texts[3]) > 40 and {bytes(r.kept) for r in suffix_dedup.remove_repeats(twice.unionAll(twice), 40).collect()} == {b""}
-    again = suffix_dedup.remove_repeats(docs.where("doc_id = 3").unionAll(docs.where("doc_id = 3")).selectExpr("null AS doc_id", "text"), 40)
-    assert [(r.id, r.spans) for r in again.collect()] == [(None, [])] * 2
+    nameless = docs.where("doc_id in (3, 4)").selectExpr("cast(null as long) AS doc_id", "text")
+    again = suffix_dedup.remove_repeats(nameless.unionAll(nameless.where("length(text) = %d" % len(texts[3]))), 40).collect()
+    assert sorted((len(r.kept), r.n_bytes) for r in again) == sorted([(0, len(texts[3].encode()))] * 2 + [(len(texts[4].encode()),) * 2])
+
+
+def test_rows_under_one_id_are_told_apart(spark):
+    rng = np.random.default_rng(5)
+    one, two, three = ("".join(rng.choice(list("abcdefgh"), 200)) for _ in range(3))
+    rows = [(1, one + two[:100]), (1, three), (2, two), (None, three[:120] + one[:20]), (None, "z" + two[150:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.id, r.n_bytes): r.kept_text for r in suffix_dedup.remove_repeats(docs, 40).collect()}
+    assert found == {(1, 300): one, (1, 200): three[120:], (2, 200): two[100:150], (None, 140): one[:20], (None, 51): "z"}
 
 
 def test_whole_table(spark, sf):
