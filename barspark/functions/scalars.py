@@ -82,12 +82,103 @@ def axis(low: Column, high: Column, zero: bool = False, pad: float = 0.08) -> Co
     return F.struct((lo - (hi - lo) * pad).alias("lo"), (hi + (hi - lo) * pad).alias("hi"))
 
 
+#: What a page's texts are trimmed of.
+_BLANK = "[ \\t\\r\\n\\f\\x0B\\xA0\u3000]+"
+
+
+def _unescaped(text: Column) -> Column:
+    for name, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
 def html_text(html: Column) -> Column:
-    """Text of a page without script, style and head; blank lines collapse; the first 200,000 characters."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>", " ")
-    bare = F.regexp_replace(bare, r"(?i)<(br|/p|/div|/tr|/li|/h[1-6])\b[^>]*>", "\n")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(char))
-    lines = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " "))), lambda x: x != "")
-    return F.substring(F.array_join(lines, "\n"), 1, 200000)
+    """The texts of a page, each between two tags on a line of its own, without script, style, head and comments; runs of blank
+    lines are one."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>", "\x01")
+    bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", "\x01")
+    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", "\x01")
+    texts = F.transform(F.split(bare, "\x01"), lambda x: F.regexp_replace(_unescaped(x), f"^{_BLANK}|{_BLANK}$", ""))
+    return F.regexp_replace(F.array_join(F.filter(texts, lambda x: x != ""), "\n"), r"\n\s*\n+", "\n\n")
+
+
+def html_title(html: Column) -> Column:
+    """The title of a page, else its first heading; null without either."""
+
+    def first(pattern: str) -> Column:
+        bare = F.regexp_replace(F.regexp_extract(html, pattern, 1), r"(?s)<[^>]*>", "")
+        return F.nullif(F.regexp_replace(_unescaped(bare), f"^{_BLANK}|{_BLANK}$", ""), F.lit(""))
+
+    return F.coalesce(first(r"(?is)<title\b[^>]*>(.*?)</title\s*>"), first(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>"))
+
+
+#: Exchange codes and names, a domestic code, notes that are known.
+EXCHANGES = {
+    "JPX": "東証",
+    "TYO": "東証",
+    "NMS": "NASDAQ",
+    "NGM": "NASDAQ",
+    "NCM": "NASDAQ",
+    "NYQ": "NYSE",
+    "PCX": "NYSE Arca",
+    "ASE": "NYSE American",
+}
+DOMESTIC = r"^\d{3}[0-9A-Z]$"
+KNOWN_NOTES = ("報告義務消失", "ポジション解消")
+KNOWN_NOTE = r"^再IN（前回\d{4}-\d{2}-\d{2}）$"
+
+
+def exchange_name(code: Column, shown: Column) -> Column:
+    """By code, else as shown, else the code."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in EXCHANGES.items() for x in pair]), code), shown, code)
+
+
+def is_domestic_code(text: Column) -> Column:
+    return F.coalesce(text.rlike(DOMESTIC), F.lit(False))
+
+
+def is_domestic(symbol: Column) -> Column:
+    return F.coalesce(symbol.endswith(".T"), F.lit(False))
+
+
+def unknown_note(note: Column) -> Column:
+    """A note to be warned of: there is one, and it isn't known."""
+    return F.coalesce((note != "") & ~note.isin(*KNOWN_NOTES) & ~note.rlike(KNOWN_NOTE), F.lit(False))
+
+
+def compact_volume(x: Column) -> Column:
+    """In units of 100 million or ten thousand."""
+    large, some = F.concat(F.format_number(x / 1e8, 2), F.lit("億")), F.concat(F.format_number(x / 1e4, 1), F.lit("万"))
+    return F.when(x.isNull(), "—").when(F.abs(x) >= 1e8, large).when(F.abs(x) >= 1e4, some).otherwise(F.format_number(x, 0))
+
+
+def delta_mark(now: Column, before: Column) -> Column:
+    """``text, direction`` of a change: an arrow and percent; no percent over a zero, nothing where a value is missing."""
+    change = now - before
+    direction = F.when(change.isNull() | F.isnan(change.cast("double")), "na").when(change > 0, "up").when(change < 0, "down").otherwise("flat")
+    size = F.when(change == 0, F.lit(0.0)).when(before != 0, F.abs(change) / F.abs(before))
+    shown = F.coalesce(F.concat(F.when(change > 0, "+").when(change < 0, "-").otherwise(""), F.format_number(size * 100, 1), F.lit("%")), F.lit("—"))
+    arrow = F.when(direction == "up", "↑").when(direction == "down", "↓").otherwise("→")
+    return F.struct(F.when(direction == "na", "—").otherwise(F.concat(arrow, shown)).alias("text"), direction.alias("direction"))
+
+
+def range_place(low: Column, high: Column, now: Column, pad: float = 0.08) -> Column:
+    """Where a value and its range stand on a track from 0 to 1 that holds both and some room; a flat track is widened."""
+    a, b = F.least(low, high), F.greatest(high, low)
+    bottom, top = F.least(a, now), F.greatest(b, now)
+    wide = F.when(bottom == top, F.lit(1.0)).otherwise(F.lit(0.0))
+    lo, hi = bottom - wide, top + wide
+    lo, hi = lo - (hi - lo) * pad, hi + (hi - lo) * pad
+    place = lambda x: (x - lo) / (hi - lo)
+    there = low.isNotNull() & high.isNotNull() & now.isNotNull()
+    return F.when(there, F.struct(place(a).alias("start"), place(b).alias("end"), place(now).alias("at")))
+
+
+def table_cell(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def html_escaped(text: Column) -> Column:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text

@@ -56,7 +56,7 @@ def verify(claims: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
 
     Dates must be the same. Numbers agree if one equals the other rounded to its decimals, so both are compared at the
     lesser number of decimals: each source number is offered at all its lesser precisions, and a hash join finds it.
-    Whole numbers from 1 to 10 are left out.
+    Whole numbers from 1 to 10 are left out. Equal tokens of a key are judged once and counted as often as they come.
     """
     date = F.col("token").rlike(r"^\d{4}-\d{2}-\d{2}$")
 
@@ -68,15 +68,15 @@ def verify(claims: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
         return levels
 
     small = ~F.col("token").rlike("[,.]") & F.col("token").try_cast("int").between(1, 10)
-    asked = claims.where(date | ~F.coalesce(small, F.lit(False))).withColumn("claim", F.monotonically_increasing_id())
+    asked = claims.where(date | ~F.coalesce(small, F.lit(False))).groupBy(*key, "token").agg(F.count("*").alias("times"))
     own = sources.select(*key, "token").distinct()
-    said = asked.where(~date).select(*key, "claim", decimals(F.col("token")).alias("own_d"), F.explode(forms("token")).alias("f")).select(*key, "claim", "own_d", "f.*")
+    said = asked.where(~date).select(*key, "token", decimals(F.col("token")).alias("own_d"), F.explode(forms("token")).alias("f")).select(*key, "token", "own_d", "f.*")
     there = own.where(~date).select(*key, decimals(F.col("token")).alias("their_d"), F.explode(forms("token")).alias("f")).select(*key, "their_d", "f.*").distinct()
     # at the claim's own decimals or at the source's own: whichever has fewer
-    hit = said.join(there, [*key, "d", "v"]).where((F.col("d") == F.col("own_d")) | (F.col("d") == F.col("their_d"))).select("claim").distinct()
-    same = asked.where(date).join(own, [*key, "token"], "left_semi").select("claim")
-    marked = asked.join(hit.unionByName(same).distinct().withColumn("ok", F.lit(True)), "claim", "left")
-    return marked.groupBy(*key).agg(F.count("*").alias("checked"), F.count("ok").alias("found"))
+    hit = said.join(there, [*key, "d", "v"]).where((F.col("d") == F.col("own_d")) | (F.col("d") == F.col("their_d"))).select(*key, "token").distinct()
+    same = asked.where(date).join(own, [*key, "token"], "left_semi").select(*key, "token")
+    marked = asked.join(hit.unionByName(same).withColumn("ok", F.lit(True)), [*key, "token"], "left")
+    return marked.groupBy(*key).agg(F.sum("times").alias("checked"), F.sum(F.when(F.col("ok"), F.col("times")).otherwise(0)).alias("found"))
 
 
 def _rounded(x: Column, d: Column) -> Column:

@@ -39,7 +39,7 @@ def human_indicators(panel: DataFrame) -> DataFrame:
 def machine(panel: DataFrame, names: DataFrame) -> DataFrame:
     """One long table of all symbols, oldest first, four decimals."""
     numbers = [(F.round(F.col(c), 4) + F.lit(0.0)).alias(c) for c in (*PRICES, *COLUMNS)]
-    return panel.join(F.broadcast(names), "symbol", "left").select("symbol", "name", "currency", "date", *numbers, "volume").orderBy("symbol", "date")
+    return panel.join(names, "symbol", "left").select("symbol", "name", "currency", "date", *numbers, "volume").orderBy("symbol", "date")
 
 
 def write_human_csv(table: DataFrame, path: str) -> None:

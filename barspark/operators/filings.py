@@ -10,10 +10,26 @@ REPORT = ("120", "130", "140", "150", "160", "170")
 SUPPLY = ("350", "360", "220", "230")
 TENDER = (240, 320)
 HOLDING = ("350", "360")
-LABELS = (
-    (("120", "130"), "annual"), (("140", "150"), "quarterly"), (("160", "170"), "half-year"), (("350", "360"), "large holding"),
-    (("220", "230"), "buy-back"), (("180", "190"), "extraordinary"), (("030", "040"), "registration"), (("235", "236"), "internal control"),
-)
+#: Short labels by type code, of tender offers and of all others.
+LABELS = {
+    "120": "有報",
+    "130": "有報",
+    "140": "四半期",
+    "150": "四半期",
+    "160": "半期",
+    "170": "半期",
+    "350": "大量保有",
+    "360": "大量保有",
+    "220": "自己株",
+    "230": "自己株",
+    "180": "臨報",
+    "190": "臨報",
+    "030": "届出",
+    "040": "届出",
+    "235": "内部統制",
+    "236": "内部統制",
+}
+TENDER_LABEL, OTHER_LABEL = "TOB", "その他"
 PRIORITY = ("supply", "report", "other")
 
 
@@ -26,10 +42,9 @@ def category(code: Column) -> Column:
 
 
 def label(code: Column) -> Column:
-    out = F.when(code.isin(*LABELS[0][0]), LABELS[0][1])
-    for codes, name in LABELS[1:]:
-        out = out.when(code.isin(*codes), name)
-    return out.when(is_tender(code), "tender offer").otherwise("other")
+    bare = F.trim(code)
+    known = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, bare), F.when(is_tender(bare), TENDER_LABEL), F.lit(OTHER_LABEL))
 
 
 def match_roles(docs: DataFrame, targets: DataFrame) -> DataFrame:

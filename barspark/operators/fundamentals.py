@@ -8,49 +8,48 @@ from pyspark.sql import functions as F
 from .control import year_end_back
 
 #: Element names (without the prefix) and the item each gives; a name marked True only stands in for another.
-_TAIL = "SummaryOfBusinessResults"
 ELEMENTS = {
-    "NetSales": ("revenue", False),
-    "OperatingRevenue1": ("revenue", True),
-    "OrdinaryIncomeLoss": ("ordinary_income", False),
-    "ProfitLossAttributableToOwnersOfParent": ("net_income", False),
-    "NetIncomeLoss": ("net_income", True),
-    "ComprehensiveIncome": ("comprehensive_income", False),
-    "NetAssets": ("net_assets", False),
-    "TotalAssets": ("total_assets", False),
-    "NetAssetsPerShare": ("bps", False),
-    "BasicEarningsLossPerShare": ("eps", False),
-    "DilutedEarningsPerShare": ("diluted_eps", False),
-    "EquityToAssetRatio": ("equity_ratio", False),
-    "RateOfReturnOnEquity": ("roe", False),
-    "PriceEarningsRatio": ("per", False),
-    "PayoutRatio": ("payout_ratio", False),
-    "NetCashProvidedByUsedInOperatingActivities": ("operating_cf", False),
-    "NetCashProvidedByUsedInInvestingActivities": ("investing_cf", False),
-    "NetCashProvidedByUsedInFinancingActivities": ("financing_cf", False),
-    "CashAndCashEquivalents": ("cash_and_equivalents", False),
-    "CapitalStock": ("capital_stock", False),
-    "TotalNumberOfIssuedShares": ("shares_outstanding", False),
-    "DividendPaidPerShare": ("dps", False),
-    "RevenueIFRS": ("revenue", False),
-    "ProfitLossBeforeTaxIFRS": ("pretax_income", False),
-    "ProfitLossAttributableToOwnersOfParentIFRS": ("net_income", False),
-    "ComprehensiveIncomeAttributableToOwnersOfParentIFRS": ("comprehensive_income", False),
-    "EquityAttributableToOwnersOfParentIFRS": ("equity", False),
-    "TotalAssetsIFRS": ("total_assets", False),
-    "EquityToAssetRatioIFRS": ("bps", False),  # named like a ratio, a value per share
-    "RatioOfOwnersEquityToGrossAssetsIFRS": ("equity_ratio", False),
-    "RateOfReturnOnEquityIFRS": ("roe", False),
-    "PriceEarningsRatioIFRS": ("per", False),
-    "BasicEarningsLossPerShareIFRS": ("eps", False),
-    "DilutedEarningsLossPerShareIFRS": ("diluted_eps", False),
-    "CashFlowsFromUsedInOperatingActivitiesIFRS": ("operating_cf", False),
-    "CashFlowsFromUsedInInvestingActivitiesIFRS": ("investing_cf", False),
-    "CashFlowsFromUsedInFinancingActivitiesIFRS": ("financing_cf", False),
-    "CashAndCashEquivalentsIFRS": ("cash_and_equivalents", False),
-    "RevenuesUSGAAP": ("revenue", False),
-    "NetIncomeLossAttributableToOwnersOfParentUSGAAP": ("net_income", False),
-    "TotalAssetsUSGAAP": ("total_assets", False),
+    "NetSalesSummaryOfBusinessResults": ("revenue", False),
+    "OperatingRevenue1SummaryOfBusinessResults": ("revenue", True),
+    "OrdinaryIncomeLossSummaryOfBusinessResults": ("ordinary_income", False),
+    "ProfitLossAttributableToOwnersOfParentSummaryOfBusinessResults": ("net_income", False),
+    "NetIncomeLossSummaryOfBusinessResults": ("net_income", True),
+    "ComprehensiveIncomeSummaryOfBusinessResults": ("comprehensive_income", False),
+    "NetAssetsSummaryOfBusinessResults": ("net_assets", False),
+    "TotalAssetsSummaryOfBusinessResults": ("total_assets", False),
+    "NetAssetsPerShareSummaryOfBusinessResults": ("bps", False),
+    "BasicEarningsLossPerShareSummaryOfBusinessResults": ("eps", False),
+    "DilutedEarningsPerShareSummaryOfBusinessResults": ("diluted_eps", False),
+    "EquityToAssetRatioSummaryOfBusinessResults": ("equity_ratio", False),
+    "RateOfReturnOnEquitySummaryOfBusinessResults": ("roe", False),
+    "PriceEarningsRatioSummaryOfBusinessResults": ("per", False),
+    "PayoutRatioSummaryOfBusinessResults": ("payout_ratio", False),
+    "NetCashProvidedByUsedInOperatingActivitiesSummaryOfBusinessResults": ("operating_cf", False),
+    "NetCashProvidedByUsedInInvestingActivitiesSummaryOfBusinessResults": ("investing_cf", False),
+    "NetCashProvidedByUsedInFinancingActivitiesSummaryOfBusinessResults": ("financing_cf", False),
+    "CashAndCashEquivalentsSummaryOfBusinessResults": ("cash_and_equivalents", False),
+    "CapitalStockSummaryOfBusinessResults": ("capital_stock", False),
+    "TotalNumberOfIssuedSharesSummaryOfBusinessResults": ("shares_outstanding", False),
+    "DividendPaidPerShareSummaryOfBusinessResults": ("dps", False),
+    "RevenueIFRSSummaryOfBusinessResults": ("revenue", False),
+    "ProfitLossBeforeTaxIFRSSummaryOfBusinessResults": ("pretax_income", False),
+    "ProfitLossAttributableToOwnersOfParentIFRSSummaryOfBusinessResults": ("net_income", False),
+    "ComprehensiveIncomeAttributableToOwnersOfParentIFRSSummaryOfBusinessResults": ("comprehensive_income", False),
+    "EquityAttributableToOwnersOfParentIFRSSummaryOfBusinessResults": ("equity", False),
+    "TotalAssetsIFRSSummaryOfBusinessResults": ("total_assets", False),
+    "EquityToAssetRatioIFRSSummaryOfBusinessResults": ("bps", False),  # named like a ratio, a value per share
+    "RatioOfOwnersEquityToGrossAssetsIFRSSummaryOfBusinessResults": ("equity_ratio", False),
+    "RateOfReturnOnEquityIFRSSummaryOfBusinessResults": ("roe", False),
+    "PriceEarningsRatioIFRSSummaryOfBusinessResults": ("per", False),
+    "BasicEarningsLossPerShareIFRSSummaryOfBusinessResults": ("eps", False),
+    "DilutedEarningsLossPerShareIFRSSummaryOfBusinessResults": ("diluted_eps", False),
+    "CashFlowsFromUsedInOperatingActivitiesIFRSSummaryOfBusinessResults": ("operating_cf", False),
+    "CashFlowsFromUsedInInvestingActivitiesIFRSSummaryOfBusinessResults": ("investing_cf", False),
+    "CashFlowsFromUsedInFinancingActivitiesIFRSSummaryOfBusinessResults": ("financing_cf", False),
+    "CashAndCashEquivalentsIFRSSummaryOfBusinessResults": ("cash_and_equivalents", False),
+    "RevenuesUSGAAPSummaryOfBusinessResults": ("revenue", False),
+    "NetIncomeLossAttributableToOwnersOfParentUSGAAPSummaryOfBusinessResults": ("net_income", False),
+    "TotalAssetsUSGAAPSummaryOfBusinessResults": ("total_assets", False),
 }
 HEADER, FACT = "jpdei_cor:", "jpcrp_cor:"
 ALONE = "_NonConsolidatedMember"
@@ -78,7 +77,7 @@ def header(rows: DataFrame) -> DataFrame:
 def mapped(rows: DataFrame) -> DataFrame:
     """Rows of known elements, with item and whether the element only stands in."""
     spark: SparkSession = rows.sparkSession
-    known = spark.createDataFrame([(FACT + k + _TAIL, *v) for k, v in ELEMENTS.items()], "element string, item string, fallback boolean")
+    known = spark.createDataFrame([(FACT + k, *v) for k, v in ELEMENTS.items()], "element string, item string, fallback boolean")
     return rows.join(F.broadcast(known), "element")
 
 
@@ -125,6 +124,17 @@ def based(rows: DataFrame) -> DataFrame:
     return marked.where((F.col("alone") != F.col("group")) | extra).select("file", "period_end", "period_type", "item", "number", "unit", basis.alias("basis"))
 
 
+def latest_period(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``file, period_end``: the latest of a file's rows, else the one its document tells."""
+    ends = rows.groupBy("file").agg(F.max("period_end").alias("latest"))
+    return docs.join(ends, "file", "left").select("file", F.coalesce("latest", "period_end").alias("period_end"))
+
+
+def availability(years: Column, interims: Column) -> Column:
+    """full with any yearly period, interim with half-years only, else none."""
+    return F.when(years > 0, "full").when(interims > 0, "interim").otherwise("none")
+
+
 # ---- series --------------------------------------------------------------------------------------------------------
 def pct_change(before: Column, now: Column) -> Column:
     """Against the size of what was before; null over a zero or a change of sign."""

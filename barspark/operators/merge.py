@@ -38,6 +38,11 @@ def replace_suffix(old: DataFrame, new: DataFrame, group: str, date: str) -> Dat
     return kept.unionByName(new)
 
 
+def replace_groups(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
+    """Groups with new rows have only those; the others stay."""
+    return old.join(new.select(group).distinct(), group, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New rows whose key is not there; of several new ones of a key the first by all columns."""
     fresh = new.join(old.select(*key).distinct(), key, "left_anti")

@@ -19,9 +19,16 @@ def daily(events: DataFrame) -> DataFrame:
 
 
 def trailing_minute(events: DataFrame) -> DataFrame:
-    """Requests and tokens of the last 60 seconds at each event; an event exactly 60 seconds old is out."""
-    w = Window.partitionBy("model").orderBy(F.unix_micros("ts")).rangeBetween(1 - MINUTE, 0)
-    return events.withColumns({"requests_60s": F.count_if("is_request").over(w), "tokens_60s": F.sum("tokens").over(w)})
+    """Requests and tokens of the last 60 seconds at each event; an event exactly 60 seconds old is out.
+
+    A window reaches into the minute before and no further, so each event also goes to the minute after its own, and
+    partitions are minutes of a model: a few models' whole streams never meet in a few tasks."""
+    minute = F.floor(F.unix_micros("ts") / MINUTE)
+    both = F.array(F.struct(minute.alias("minute"), F.lit(True).alias("own")), F.struct((minute + 1).alias("minute"), F.lit(False).alias("own")))
+    event = events.select(F.struct(*events.columns).alias("event"), F.col("model").alias("m"), F.unix_micros("ts").alias("at"), F.explode_outer(both).alias("x"))
+    w = Window.partitionBy("m", "x.minute").orderBy("at").rangeBetween(1 - MINUTE, 0)
+    sums = event.withColumns({"requests_60s": F.count_if("event.is_request").over(w), "tokens_60s": F.sum("event.tokens").over(w)})
+    return sums.where("x.own").select("event.*", "requests_60s", "tokens_60s")
 
 
 def waits(events: DataFrame, now: Column, max_requests: int, max_tokens: int, need: int) -> DataFrame:

@@ -75,13 +75,13 @@ def runs(rows: DataFrame, flag: Column) -> DataFrame:
 
 def next_bar(docs: DataFrame, bars: DataFrame, day: Column) -> DataFrame:
     """``docs`` with ``marker_date``: the first bar date of the symbol on or after ``day``; null before the first bar, after
-    the last, and for a missing day. One pass over both in order of date, without a join."""
+    the last, and for a missing day. One pass over both from the newest date back, without a join."""
     left = docs.select("symbol", day.alias("day"), F.lit(None).cast("date").alias("bar"), F.struct(*docs.columns).alias("doc"))
     right = bars.select("symbol", F.col("date").alias("day"), F.col("date").alias("bar"), F.lit(None).cast(left.schema["doc"].dataType).alias("doc"))
     both = left.unionByName(right)
     whole = Window.partitionBy("symbol")
-    # bars come after the documents of their day in this order, so that looking ahead meets them
-    ahead = Window.partitionBy("symbol").orderBy("day", F.col("bar").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("next", F.first("bar", ignorenulls=True).over(ahead)).withColumn("start", F.min("bar").over(whole))
+    # newest first, bars before the documents of their day: the last bar so far is the next one, in a frame that only grows
+    back = Window.partitionBy("symbol").orderBy(F.desc("day"), F.col("bar").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("next", F.last("bar", ignorenulls=True).over(back)).withColumn("start", F.min("bar").over(whole))
     inside = F.col("day").isNotNull() & (F.col("day") >= F.col("start"))
     return found.where("doc is not null").select("doc.*", F.when(inside, F.col("next")).alias("marker_date"))

@@ -132,24 +132,52 @@ def _limits(name: str, high: float, low: float) -> str:
 
 
 _GS, _GL = (", ".join(f"gmma_{k}_{n}" for n in ns) for k, ns in (("short", ind.GMMA_SHORT), ("long", ind.GMMA_LONG)))
+def _limit_notes(name: str, high: float, low: float, over: str, under: str, between: str) -> str:
+    return f"CASE WHEN {name} >= {high} THEN '{over}' WHEN {name} <= {low} THEN '{under}' ELSE '{between}' END"
+
+
+def _mean_notes(p: str) -> str:
+    return f"""CASE {_three(p)} WHEN 'na' THEN 'データ不足（75日分必要）' WHEN 'bull' THEN '短期 > 中期 > 長期（5/25/75）上昇トレンド' WHEN 'bear' THEN '短期 < 中期 < 長期（5/25/75）下降トレンド'
+      ELSE '短期・中期・長期が交錯（5/25/75）' END"""
+
+
+_GMMA = f"CASE WHEN gmma_long_60 IS NULL THEN NULL WHEN least({_GS}) > greatest({_GL}) THEN 'bull' WHEN greatest({_GS}) < least({_GL}) THEN 'bear' ELSE 'neutral' END"
+_MOMENTUM = "CASE WHEN momentum_signal IS NULL THEN NULL WHEN momentum > 0 AND momentum > momentum_signal THEN 'bull' WHEN momentum < 0 AND momentum < momentum_signal THEN 'bear' ELSE 'neutral' END"
+#: Card, group, value, status, note.
 _CARDS = (
-    ("sma", _three("sma")), ("ema", _three("ema")),
-    ("macd", "CASE WHEN macd IS NULL OR macd_signal IS NULL THEN NULL WHEN macd > macd_signal THEN 'bull' ELSE 'bear' END"),
-    ("ichimoku", """CASE WHEN ichimoku_senkou1 IS NULL OR ichimoku_senkou2 IS NULL THEN NULL WHEN "close" > greatest(ichimoku_senkou1, ichimoku_senkou2) THEN 'bull'
-      WHEN "close" < least(ichimoku_senkou1, ichimoku_senkou2) THEN 'bear' ELSE 'neutral' END"""),
-    ("adx", "CASE WHEN adx IS NULL OR plus_di IS NULL OR minus_di IS NULL THEN NULL WHEN adx < 25 THEN 'neutral' WHEN plus_di > minus_di THEN 'bull' ELSE 'bear' END"),
-    ("gmma", f"CASE WHEN gmma_long_60 IS NULL THEN NULL WHEN least({_GS}) > greatest({_GL}) THEN 'bull' WHEN greatest({_GS}) < least({_GL}) THEN 'bear' ELSE 'neutral' END"),
-    ("parabolic", """CASE WHEN parabolic IS NULL THEN NULL WHEN "close" > parabolic THEN 'bull' ELSE 'bear' END"""),
-    ("deviation_short", _limits("deviation_short", 10, -10)), ("deviation_long", _limits("deviation_long", 20, -20)), ("rsi", _limits("rsi", 70, 30)),
-    ("rci", "CASE WHEN rci_long IS NOT NULL THEN " + _limits("rci_short", 80, -80) + " END"), ("stoch", "CASE WHEN stoch_d IS NOT NULL THEN " + _limits("stoch_k", 80, 20) + " END"),
-    ("psychological", _limits("psychological", 75, 25)),
-    ("momentum", "CASE WHEN momentum_signal IS NULL THEN NULL WHEN momentum > 0 AND momentum > momentum_signal THEN 'bull' WHEN momentum < 0 AND momentum < momentum_signal THEN 'bear' ELSE 'neutral' END"),
-    ("bb", """CASE WHEN bb_upper IS NULL THEN NULL WHEN "close" >= bb_upper THEN 'bear' WHEN "close" <= bb_lower THEN 'bull' ELSE 'neutral' END"""),
-    ("stddev", "CASE WHEN stddev IS NOT NULL THEN 'neutral' END"),
+    ("sma", "trend", "sma_mid", _three("sma"), _mean_notes("sma")), ("ema", "trend", "ema_mid", _three("ema"), _mean_notes("ema")),
+    ("macd", "trend", "macd", "CASE WHEN macd IS NULL OR macd_signal IS NULL THEN NULL WHEN macd > macd_signal THEN 'bull' ELSE 'bear' END",
+     "'MACD がシグナル（' || printf('%.2f', macd_signal) || '）より' || CASE WHEN macd > macd_signal THEN '上' ELSE '下' END"),
+    ("ichimoku", "trend", "ichimoku_kijun", """CASE WHEN ichimoku_senkou1 IS NULL OR ichimoku_senkou2 IS NULL THEN NULL WHEN "close" > greatest(ichimoku_senkou1, ichimoku_senkou2) THEN 'bull'
+      WHEN "close" < least(ichimoku_senkou1, ichimoku_senkou2) THEN 'bear' ELSE 'neutral' END""",
+     """CASE WHEN "close" > greatest(ichimoku_senkou1, ichimoku_senkou2) THEN '株価が雲の上' WHEN "close" < least(ichimoku_senkou1, ichimoku_senkou2) THEN '株価が雲の下' ELSE '株価が雲の中' END
+      || CASE WHEN ichimoku_tenkan > ichimoku_kijun THEN '・転換線 > 基準線' WHEN ichimoku_tenkan <= ichimoku_kijun THEN '・転換線 ≦ 基準線' ELSE '' END"""),
+    ("adx", "trend", "adx", "CASE WHEN adx IS NULL OR plus_di IS NULL OR minus_di IS NULL THEN NULL WHEN adx < 25 THEN 'neutral' WHEN plus_di > minus_di THEN 'bull' ELSE 'bear' END",
+     """CASE WHEN adx >= 25 THEN '強いトレンド' ELSE 'トレンド弱い' END || '・' || CASE WHEN plus_di > minus_di THEN '上昇' ELSE '下降' END
+      || '優勢（+DI ' || printf('%.1f', plus_di) || ' / -DI ' || printf('%.1f', minus_di) || '）'"""),
+    ("gmma", "trend", "NULL", _GMMA, f"CASE {_GMMA} WHEN 'bull' THEN '最短群がすべて最長群の上' WHEN 'bear' THEN '最短群がすべて最長群の下' ELSE '最短群と最長群が交錯' END"),
+    ("parabolic", "trend", "parabolic", """CASE WHEN parabolic IS NULL THEN NULL WHEN "close" > parabolic THEN 'bull' ELSE 'bear' END""",
+     """CASE WHEN "close" > parabolic THEN '株価が SAR より上（上昇トレンド）' ELSE '株価が SAR より下（下降トレンド）' END"""),
+    ("deviation_short", "trend", "deviation_short", _limits("deviation_short", 10, -10), _limit_notes("deviation_short", 10, -10, "上方乖離が大きい（+10%以上）", "下方乖離が大きい（-10%以下）", "通常範囲")),
+    ("deviation_long", "trend", "deviation_long", _limits("deviation_long", 20, -20), _limit_notes("deviation_long", 20, -20, "上方乖離が大きい（+20%以上）", "下方乖離が大きい（-20%以下）", "通常範囲")),
+    ("rsi", "oscillator", "rsi", _limits("rsi", 70, 30), _limit_notes("rsi", 70, 30, "買われすぎ（70以上）", "売られすぎ（30以下）", "中立圏")),
+    ("rci", "oscillator", "rci_short", "CASE WHEN rci_long IS NOT NULL THEN " + _limits("rci_short", 80, -80) + " END",
+     _limit_notes("rci_short", 80, -80, "高値圏（+80以上）", "底値圏（-80以下）", "中立圏") + " || '（長期 ' || printf('%.1f', rci_long) || '）'"),
+    ("stoch", "oscillator", "stoch_k", "CASE WHEN stoch_d IS NOT NULL THEN " + _limits("stoch_k", 80, 20) + " END",
+     _limit_notes("stoch_k", 80, 20, "高値圏（80以上）", "安値圏（20以下）", "中立圏") + " || '（%D ' || printf('%.1f', stoch_d) || '）'"),
+    ("psychological", "oscillator", "psychological", _limits("psychological", 75, 25), _limit_notes("psychological", 75, 25, "買われすぎ（75%以上）", "売られすぎ（25%以下）", "中立圏")),
+    ("momentum", "oscillator", "momentum", _MOMENTUM,
+     f"CASE {_MOMENTUM} WHEN 'bull' THEN '0より上でシグナルを上回る' WHEN 'bear' THEN '0より下でシグナルを下回る' ELSE 'シグナル ' || printf('%.2f', momentum_signal) END"),
+    ("bb", "volatility", "bb_mid", """CASE WHEN bb_upper IS NULL THEN NULL WHEN "close" >= bb_upper THEN 'bear' WHEN "close" <= bb_lower THEN 'bull' ELSE 'neutral' END""",
+     """CASE WHEN "close" >= bb_upper THEN '+2σ 以上' WHEN "close" <= bb_lower THEN '-2σ 以下' ELSE '±2σ の範囲内（' || printf('%.1f', bb_lower) || ' 〜 ' || printf('%.1f', bb_upper) || '）' END"""),
+    ("stddev", "volatility", "stddev", "CASE WHEN stddev IS NOT NULL THEN 'neutral' END", """'終値比 ' || printf('%.2f', stddev / nullif("close", 0) * 100) || '%'"""),
 )
+_CARD_ROWS = " UNION ALL ".join(
+    f"""SELECT symbol, {i} AS card_no, '{k}' AS card, '{g}' AS card_group, round(CAST({v} AS DOUBLE), 4) + 0.0 AS "value", {s} AS status, {n} AS note FROM final""" for i, (k, g, v, s, n) in enumerate(_CARDS, 1)
+)
 CARDS = f"""{PANEL},
 final AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY "date" DESC) = 1),
-cards AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT symbol, {i} AS card_no, '{k}' AS card, {v} AS status FROM final" for i, (k, v) in enumerate(_CARDS, 1))}) WHERE status IS NOT NULL)"""
+cards AS (SELECT * FROM ({_CARD_ROWS}) WHERE status IS NOT NULL)"""
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -207,6 +235,14 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.signals(ind.panel(bars(spark, sf_dir)))
 
 
+@_query("signals_range", f"""WITH RECURSIVE {SIGNALS}, t AS (SELECT symbol, "date", row_number() OVER (PARTITION BY symbol ORDER BY "date" DESC) AS n FROM bars),
+r AS (SELECT symbol, min("date") AS "start", max("date") AS "end" FROM t WHERE n <= 60 GROUP BY 1)
+SELECT s.symbol, s."date", rule_no, signal FROM signals s JOIN r ON r.symbol = s.symbol AND s."date" BETWEEN r."start" AND r."end" """)
+def _signals_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = ind.panel(bars(spark, sf_dir))
+    return sig.within_last(sig.signals(panel), panel, 60)
+
+
 @_query("signals_last12", f'WITH RECURSIVE {SIGNALS} SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY "date" DESC, rule_no DESC) AS INT) AS position FROM signals QUALIFY position <= 12')
 def _signals_last12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.last_signals(sig.signals(ind.panel(bars(spark, sf_dir))))
@@ -214,7 +250,14 @@ def _signals_last12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("cards", f"WITH RECURSIVE {CARDS} SELECT * FROM cards")
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sig.cards(ind.indicators(bars(spark, sf_dir)))
+    return rounded(sig.cards(ind.indicators(bars(spark, sf_dir))), "symbol", "card_no", "card", "card_group", "value", "status", "note")
+
+
+@_query("cards_by_category", f"""WITH RECURSIVE {CARDS}, m AS (SELECT *, card IN ('sma', 'macd', 'ichimoku', 'rsi', 'bb') AS named FROM cards)
+SELECT symbol, card_group, CAST(CASE card_group WHEN 'trend' THEN 1 WHEN 'oscillator' THEN 2 ELSE 3 END AS INT) AS category_no, card_no, card,
+  named OR (NOT bool_or(named) OVER w AND card_no = min(card_no) OVER w) AS is_primary FROM m WINDOW w AS (PARTITION BY symbol, card_group)""")
+def _by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sig.by_category(_cards(spark, sf_dir)).select("symbol", "card_group", "category_no", "card_no", "card", "is_primary")
 
 
 @_query("verdict_badge", f"""WITH RECURSIVE {CARDS} SELECT symbol, balance, CASE WHEN balance > 0 THEN 'bull' WHEN balance < 0 THEN 'bear' ELSE 'neutral' END AS verdict

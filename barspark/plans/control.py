@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixtures import BARS, USAGE, bars, table, usage_events
 from ..functions import scalars as sc
-from ..operators import control, metering
-from ..operators import supply
+from ..operators import control, metering, supply
+from ..operators import fundamentals as fin
+from ..sources import files
 from .bars import rounded
 
 QUERIES: dict = {}
@@ -214,10 +220,9 @@ def _scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("fmt_trim", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN s = '-0' THEN '0' ELSE s END AS text FROM (
-  SELECT *, regexp_replace(printf('%.4f', l_discount - l_tax), '\\.?0+$', '') AS s FROM lineitem WHERE l_linenumber = 1)""")
+  SELECT *, regexp_replace(printf('%.4f', l_discount - l_tax), '\\.?0+$', '') AS s FROM lineitem)""")
 def _trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", sc.trimmed_number(F.col("l_discount") - F.col("l_tax")).alias("text"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", sc.trimmed_number(F.col("l_discount") - F.col("l_tax")).alias("text"))
 
 
 @_query("clean_str", "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name FROM customer")
@@ -252,7 +257,15 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", ";").alias("tokens"))
 
 
-@_query("html_to_text", None)
+_EDGE = "[ \\t\\r\\n\\f\\x0B\\xA0　]+"
+
+
+@_query("html_to_text", rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', chr(1), 'g'), '(?is)<style\b.*?</style\s*>', chr(1), 'g'),
+  '(?is)<head\b.*?</head\s*>', chr(1), 'g') AS t FROM pages),
+b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', chr(1), 'g'), '(?s)<[^>]*>', chr(1), 'g'), chr(1)) AS l FROM a),
+c AS (SELECT page_id, list_transform(l, lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'),
+  '^{_EDGE}|{_EDGE}$', '', 'g')) AS l FROM b)
+SELECT page_id, regexp_replace(array_to_string(list_filter(l, lambda x: x <> ''), chr(10)), '\n\s*\n+', chr(10) || chr(10), 'g') AS text FROM c""")
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", sc.html_text(F.col("html")).alias("text"))
 
@@ -294,8 +307,6 @@ def _topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_custkey, calc_date, holder_id, 'Holder ' || o_orderkey AS holder, (o_orderkey % 500) / 100.0 AS ratio, CAST(floor(o_totalprice) AS BIGINT) AS quantity, CASE WHEN o_orderstatus = 'F' THEN '消失' END AS note FROM d
 QUALIFY row_number() OVER (PARTITION BY o_custkey, calc_date, holder_id ORDER BY o_orderkey DESC) = 1""")
 def _html_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources import files
-
     key, text = F.col("o_orderkey"), lambda c: c.cast("string")
     cells = (
         F.date_format("o_orderdate", "yyyy/MM/dd"), F.concat(F.lit("<a href='/x/?f="), text(key % 3), F.lit("'>Holder "), text(key), F.lit("</a>")),
@@ -308,3 +319,176 @@ def _html_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<table><tr class='obb'><td>other</td></tr></table><table id='sort'>"), body, F.lit("</table>"))
     found = files.short_positions(files.html_rows(pages.select(text(F.col("o_custkey")).alias("path"), F.encode(html, "UTF-8").alias("content"))))
     return found.select(F.col("path").cast("long").alias("o_custkey"), "calc_date", "holder_id", "holder", "ratio", "quantity", "note")
+
+
+# ---- files whose bytes are derived from tables ---------------------------------------------------------------------
+def _lines(rows: DataFrame, key: Column, order: str, line: Column) -> DataFrame:
+    """``path, body``: the lines of each file, in order."""
+    by = rows.groupBy(key.cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), line.alias("line")))).alias("rows"))
+    return by.select("path", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("body"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _cp932(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t.encode("cp932"))
+
+
+def _zipped(member: str, encoding: str):
+    @F.pandas_udf(T.BinaryType())
+    def pack(text: pd.Series) -> pd.Series:
+        def one(t: str) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as archive:
+                archive.writestr(member, t.encode(encoding))
+            return out.getvalue()
+
+        return text.map(one)
+
+    return pack
+
+
+@_query("margin_parse", """SELECT CAST(o_custkey % 100 AS VARCHAR) AS path, CAST(1000 + o_orderkey % 9000 AS VARCHAR) AS code, CAST(o_orderdate AS DATE) AS "date",
+  CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) + 2 END AS settle_date, CASE WHEN o_orderkey % 3 = 0 THEN 'final' ELSE 'prelim' END AS kind, o_orderkey % 3 <> 2 AS kind_known,
+  o_orderkey AS yushi_new, CAST(NULL AS BIGINT) AS yushi_repay, CAST(floor(o_totalprice) AS BIGINT) AS yushi_balance, CAST(NULL AS BIGINT) AS kashi_new, -o_orderkey AS kashi_repay,
+  CAST(0 AS BIGINT) AS kashi_balance, CAST(1234567 AS BIGINT) AS net_balance FROM orders WHERE o_orderstatus <> 'O'""")
+def _margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, day, quoted = F.col("o_orderkey"), lambda c: F.date_format(c, "yyyy/MM/dd"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    settled = F.when(key % 8 == 0, "soon").when(key % 4 == 0, "").otherwise(day(F.date_add(F.to_date("o_orderdate"), 2)))
+    cells = (
+        day(F.to_date("o_orderdate")), settled, (1000 + key % 9000).cast("string"), F.when(F.col("o_orderstatus") == "O", "名証").otherwise("東証およびPTS"),
+        F.when(key % 3 == 0, " 確報 ").when(key % 3 == 1, "速報").otherwise("暫定"), key.cast("string"), F.lit("-"), quoted(F.format_number(F.floor("o_totalprice"), 0)),
+        F.lit(""), (-key).cast("string"), F.lit("0"), quoted(F.lit("1,234,567")),
+    )
+    made = _lines(table(spark, sf_dir, "orders"), F.col("o_custkey") % 100, "o_orderkey", F.concat_ws(",", *cells))
+    content = _cp932(F.concat(F.lit(",".join(files.MARGIN) + "\n"), "body", F.lit("\n")))
+    return files.margin_rows(made.select("path", content.alias("content")))
+
+
+_CODE_COLUMNS = {"ＥＤＩＮＥＴコード": "edinet_code", "証券コード": "sec_code", "提出者名": "name"}
+
+
+@_query("codelist_parse", """SELECT 'E' || c_custkey AS edinet_code, CASE WHEN c_custkey % 3 <> 0 THEN CAST(10000 + c_custkey AS VARCHAR) END AS sec_code, c_name || ', ' || c_mktsegment AS name FROM customer""")
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    name = F.concat(F.lit('"'), "c_name", F.lit(", "), "c_mktsegment", F.lit('"'))
+    line = F.concat_ws(",", F.lit("x"), F.concat(F.lit(" E"), key.cast("string")), name, F.when(key % 3 == 0, " ").otherwise((10000 + key).cast("string")))
+    made = _lines(table(spark, sf_dir, "customer"), key % 20, "c_custkey", line)
+    head = "ダウンロード実行日,1件\n種別,ＥＤＩＮＥＴコード,提出者名,証券コード\n"
+    content = _zipped("EdinetcodeDlInfo.csv", "cp932")(F.concat(F.lit(head), "body", F.lit("\n,,,\n")))
+    return files.code_list(made.select("path", content.alias("content")), "EdinetcodeDlInfo.csv", _CODE_COLUMNS)
+
+
+@_query("filings_parse", """SELECT 'S' || o_orderkey AS doc_id, CAST(o_custkey AS VARCHAR) AS filer, '120' AS doc_type, strftime(o_orderdate, '%Y-%m-%d') || ' 10:00' AS submitted, CAST(o_orderkey % 3 AS INT) AS withdrawal
+FROM orders WHERE o_orderstatus <> 'P'""")
+def _filing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    item = F.struct(
+        F.concat(F.lit("S"), key.cast("string")).alias("docID"), F.col("o_custkey").cast("string").alias("edinetCode"), F.when(F.col("o_orderstatus") != "P", "120").alias("docTypeCode"),
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 10:00")).alias("submitDateTime"), (key % 3).cast("string").alias("withdrawalStatus"),
+    )
+    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.collect_list(item).alias("results"))
+    text = F.to_json(F.struct(F.struct(F.lit("200").alias("status")).alias("metadata"), "results"))
+    docs, _ = files.split_stubs(files.filing_rows(days.select(text.alias("text")).unionAll(spark.createDataFrame([("{ not json",)], "text string"))))
+    return docs.select(
+        F.col("docID").alias("doc_id"), F.col("edinetCode").alias("filer"), F.col("docTypeCode").alias("doc_type"), F.col("submitDateTime").alias("submitted"),
+        F.col("withdrawalStatus").try_cast("int").alias("withdrawal"),
+    )
+
+
+@_query("filing_text", """SELECT CAST(o_custkey AS VARCHAR) AS path, 'Of ' || o_custkey AS title, string_agg('Order ' || o_orderkey || chr(10) || o_orderstatus, chr(10) || chr(10) ORDER BY o_orderkey) AS text, false AS truncated
+FROM orders GROUP BY o_custkey""")
+def _filing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    page = F.concat(F.lit("<html><head><title>Of "), F.col("o_custkey").cast("string"), F.lit("</title></head><body><p>Order "), key.cast("string"), F.lit("</p><td> "), "o_orderstatus", F.lit("</td></body></html>"))
+    by = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.collect_list(F.struct(key.alias("k"), page.alias("page"))).alias("pages"))
+
+    @F.pandas_udf(T.BinaryType())
+    def pack(pages: pd.Series) -> pd.Series:
+        def one(found) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as archive:
+                archive.writestr("XBRL/AuditDoc/a.htm", "<p>left out</p>")
+                for p in found:
+                    archive.writestr(f"XBRL/PublicDoc/{p['k']:012d}.htm", p["page"])
+            return out.getvalue()
+
+        return pages.map(one)
+
+    return files.filing_texts(by.select("path", pack("pages").alias("content")))
+
+
+# ---- more scalars --------------------------------------------------------------------------------------------------
+@_query("exchange_name", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '東証' WHEN 1 THEN 'NASDAQ' WHEN 2 THEN 'NYSE Arca' WHEN 3 THEN 'Somewhere' ELSE 'XXX' END AS name FROM customer""")
+def _exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 5
+    code = F.when(k == 0, "TYO").when(k == 1, "NGM").when(k == 2, "PCX").otherwise("XXX")
+    return table(spark, sf_dir, "customer").select("c_custkey", sc.exchange_name(code, F.when(k == 3, "Somewhere")).alias("name"))
+
+
+@_query("domestic_symbols", """SELECT o_orderkey, regexp_matches(code, '^[0-9]{3}[0-9A-Z]$') AS is_code FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(1000 + o_orderkey % 9000 AS VARCHAR)
+  WHEN 1 THEN CAST(100 + o_orderkey % 900 AS VARCHAR) || 'A' ELSE 'AB' || (o_orderkey % 90) END AS code FROM orders) WHERE o_orderkey % 3 <> 2 OR o_orderkey % 2 = 0""")
+def _domestic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    code = F.when(k % 3 == 0, (1000 + k % 9000).cast("string")).when(k % 3 == 1, F.concat((100 + k % 900).cast("string"), F.lit("A"))).otherwise(F.concat(F.lit("AB"), (k % 90).cast("string")))
+    symbol = F.when((k % 3 == 2) & (k % 2 == 1), code).otherwise(F.concat(code, F.lit(".T")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", symbol.alias("symbol")).where(sc.is_domestic(F.col("symbol")))
+    return rows.select("o_orderkey", sc.is_domestic_code(sc.split_code(F.col("symbol"))).alias("is_code"))
+
+
+@_query("note_check", """SELECT CAST(o_orderkey % 5 AS INT) AS kind, count(*) AS n, count(*) FILTER (o_orderkey % 5 IN (3, 4)) AS unknown FROM orders GROUP BY 1""")
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 5
+    note = F.when(k == 0, "報告義務消失").when(k == 1, "").when(k == 2, F.concat(F.lit("再IN（前回"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("）"))).when(k == 3, "再IN（前回）").otherwise("?")
+    return table(spark, sf_dir, "orders").groupBy(k.cast("int").alias("kind")).agg(F.count("*").alias("n"), F.count_if(sc.unknown_note(note)).alias("unknown"))
+
+
+@_query("compact_volume", f"""WITH {BARS} SELECT symbol, "date", CASE WHEN volume * 25000 >= 1e8 THEN format('{{:,.2f}}', volume * 25000 / 1e8) || '億' WHEN volume * 25000 >= 1e4 THEN format('{{:,.1f}}', volume * 25000 / 1e4) || '万'
+  ELSE format('{{:,}}', volume * 25000) END AS text FROM bars""")
+def _volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(spark, sf_dir).select("symbol", "date", sc.compact_volume(F.col("volume") * 25000).alias("text"))
+
+
+@_query("delta_mark", f"""WITH {BARS}, p AS (SELECT symbol, "date", CASE WHEN volume % 7 = 0 THEN 0 ELSE "close" END AS now, lag(CASE WHEN volume % 7 = 0 THEN 0 ELSE "close" END) OVER (PARTITION BY symbol ORDER BY "date") AS before FROM bars)
+SELECT symbol, "date", CASE WHEN before IS NULL THEN 'na' WHEN now > before THEN 'up' WHEN now < before THEN 'down' ELSE 'flat' END AS direction,
+  CASE WHEN before IS NULL THEN '—' WHEN now = before THEN '→0.0%' WHEN now > before THEN '↑' || CASE WHEN before = 0 THEN '—' ELSE '+' || format('{{:,.1f}}%', abs(now - before) / abs(before) * 100) END
+  ELSE '↓' || CASE WHEN before = 0 THEN '—' ELSE '-' || format('{{:,.1f}}%', abs(now - before) / abs(before) * 100) END END AS text FROM p""")
+def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.when(F.col("volume") % 7 == 0, 0.0).otherwise(F.col("close"))
+    before = F.lag(now).over(Window.partitionBy("symbol").orderBy("date"))
+    return bars(spark, sf_dir).select("symbol", "date", sc.delta_mark(now, before).alias("d")).select("symbol", "date", "d.direction", "d.text")
+
+
+@_query("range_place", f"""WITH {BARS}, d AS (SELECT *, least(low, "open") - 0.08 * (greatest(high, "open") - least(low, "open") + w * 2) - w AS lo, greatest(high, "open") + 0.08 * (greatest(high, "open") - least(low, "open") + w * 2) + w AS hi
+  FROM (SELECT symbol, "date", high, low, "open", CASE WHEN low = high AND "open" = low THEN 1.0 ELSE 0.0 END AS w FROM bars))
+SELECT symbol, "date", round((low - lo) / (hi - lo), 4) + 0.0 AS "start", round((high - lo) / (hi - lo), 4) + 0.0 AS "end", round(("open" - lo) / (hi - lo), 4) + 0.0 AS "at" FROM d""")
+def _place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bars(spark, sf_dir).select("symbol", "date", sc.range_place(F.col("high"), F.col("low"), F.col("open")).alias("x"))  # ends in either order
+    return rounded(made.select("symbol", "date", "x.*"), "symbol", "date", "start", "end", "at")
+
+
+@_query("escapes", """SELECT p_partkey, p_name || '\\|<b> & "' AS cell, 'a&amp;b &lt;' || p_name || '&gt; &quot;x&quot; &#x27;' AS html FROM part""")
+def _escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell, html = F.concat("p_name", F.lit('|<b>\n& "')), F.concat(F.lit("a&b <"), "p_name", F.lit("> \"x\" '"))
+    return table(spark, sf_dir, "part").select("p_partkey", sc.table_cell(cell).alias("cell"), sc.html_escaped(html).alias("html"))
+
+
+@_query("replace_symbol", f"""WITH {BARS} SELECT symbol, "date", "close" FROM bars WHERE symbol <> 'R' UNION ALL SELECT symbol, "date", "close" * 2 FROM bars WHERE symbol = 'R' AND "date" >= DATE '1994-01-01'""")
+def _replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import merge
+
+    old = bars(spark, sf_dir).select("symbol", "date", "close")
+    fresh = old.where("symbol = 'R' and date >= date '1994-01-01'").withColumn("close", F.col("close") * 2)
+    return merge.replace_groups(old, fresh, "symbol")
+
+
+@_query("availability", """SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'full' WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'interim' ELSE 'none' END AS availability FROM orders GROUP BY 1""")
+def _availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [F.count_if(F.col("o_orderstatus") == s) for s in ("F", "P")]
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(fin.availability(*kinds).alias("availability"))
+
+
+@_query("latest_period", """SELECT c_custkey AS file, coalesce(max(CAST(o_orderdate AS DATE)), DATE '2024-03-31') AS period_end FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def _latest_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.to_date("o_orderdate").alias("period_end"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), _date("2024-03-31").alias("period_end"))
+    return fin.latest_period(rows, docs)

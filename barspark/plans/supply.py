@@ -130,12 +130,12 @@ def _ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.insert_ignore(old, rows.drop("o_orderstatus"), ["o_custkey"])
 
 
-_STUBS = """stubs AS (SELECT o_orderkey AS doc_id, o_orderkey - 1 AS parent, CAST(1 + o_orderkey % 2 AS INT) AS status, CAST(o_orderdate AS DATE) + 3 AS "date" FROM orders WHERE o_orderkey % 50 = 0)"""
+_STUBS = """stubs AS (SELECT o_orderkey AS doc_id, o_orderkey - 1 AS parent, CAST(1 + o_orderkey % 2 AS INT) AS status, CAST(o_orderdate AS DATE) + 3 AS "date" FROM orders WHERE o_orderstatus = 'P')"""
 
 
 def _stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(key % 50 == 0).select(
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
         key.alias("doc_id"), (key - 1).alias("parent"), (1 + key % 2).cast("int").alias("status"), F.date_add(F.to_date("o_orderdate"), 3).alias("date")
     )
 
@@ -166,9 +166,7 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- filings -------------------------------------------------------------------------------------------------------
 _TENDER = "coalesce(TRY_CAST(doc_type AS INT) BETWEEN 240 AND 320, false)"
 _CATEGORY = f"CASE WHEN doc_type IN ('120','130','140','150','160','170') THEN 'report' WHEN doc_type IN ('350','360','220','230') OR {_TENDER} THEN 'supply' ELSE 'other' END"
-_LABEL = f"""CASE WHEN doc_type IN ('120','130') THEN 'annual' WHEN doc_type IN ('140','150') THEN 'quarterly' WHEN doc_type IN ('160','170') THEN 'half-year' WHEN doc_type IN ('350','360') THEN 'large holding'
-  WHEN doc_type IN ('220','230') THEN 'buy-back' WHEN doc_type IN ('180','190') THEN 'extraordinary' WHEN doc_type IN ('030','040') THEN 'registration' WHEN doc_type IN ('235','236') THEN 'internal control'
-  WHEN {_TENDER} THEN 'tender offer' ELSE 'other' END"""
+_LABEL = f"""CASE {" ".join(f"WHEN doc_type = '{k}' THEN '{v}'" for k, v in fil.LABELS.items())} WHEN {_TENDER} THEN 'TOB' ELSE 'その他' END"""
 
 
 @_query("filing_category", f"WITH {FILINGS} SELECT doc_id, doc_type, {_CATEGORY} AS category FROM filings")

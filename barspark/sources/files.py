@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import scrub_number
+from ..functions.scalars import html_text, html_title, scrub_number
 
 TOKYO, FINAL, PRELIM = "東証", "確報", "速報"
 
@@ -106,13 +106,53 @@ def short_positions(rows: DataFrame) -> DataFrame:
 def margin_balances(spark: SparkSession, path: str, required: tuple[str, ...], exchange: str, kind: str) -> DataFrame:
     """A quoted cp932 CSV by its header, rows of the Tokyo exchange only, with ``kind`` final or prelim.
 
-    Needs spark.sql.legacy.javaCharsets. An unknown kind counts as preliminary.
+    Needs spark.sql.legacy.javaCharsets. An unknown kind counts as preliminary; ``kind_known`` is false there, to be warned of.
     """
     rows = spark.read.csv(path, header=True, encoding="cp932", quote='"', enforceSchema=False)
     if missing := [c for c in required if c not in rows.columns]:
         raise ValueError(f"columns missing: {missing}")
     made = rows.where(F.col(exchange).contains(TOKYO)).select(*required)
-    return made.withColumn("kind", F.when(F.col(kind) == FINAL, "final").otherwise("prelim"))
+    return made.withColumn("kind", report_kind(F.col(kind))).withColumn("kind_known", F.trim(kind).isin(FINAL, PRELIM))
+
+
+def report_kind(text: Column) -> Column:
+    return F.when(F.trim(text) == FINAL, "final").otherwise("prelim")
+
+
+#: The columns of the balance file and what each is called here.
+MARGIN = {
+    "申込日": "date",
+    "決済日": "settle_date",
+    "銘柄コード": "code",
+    "取引所区分名": "exchange",
+    "速報／確報": "kind",
+    "融資新規株数": "yushi_new",
+    "融資返済株数": "yushi_repay",
+    "融資残高株数": "yushi_balance",
+    "貸株新規株数": "kashi_new",
+    "貸株返済株数": "kashi_repay",
+    "貸株残高株数": "kashi_balance",
+    "差引残高株数": "net_balance",
+}
+
+
+def margin_rows(files: DataFrame) -> DataFrame:
+    """The same of files as bytes: Tokyo rows with days, kinds and numbers. The day must be there; the day of settlement and
+    numbers that can't be read are null."""
+
+    def parse(path: str, content: bytes):
+        rows = csv.DictReader(io.StringIO(content.decode("cp932")))
+        if missing := [c for c in MARGIN if c not in (rows.fieldnames or [])]:
+            raise ValueError(f"{path}: columns missing: {missing}")
+        for row in rows:
+            yield (path, *[(row[c] or "").strip() for c in MARGIN])
+
+    text = _parsed(files, parse, ", ".join(f"{n} string" for n in ("path", *MARGIN.values())))
+    numbers = [n for n in MARGIN.values() if n.endswith(("_new", "_repay", "_balance"))]
+    return text.where(F.col("exchange").contains(TOKYO)).select(
+        "path", "code", F.to_date("date", "yyyy/MM/dd").alias("date"), optional_date(F.col("settle_date")).alias("settle_date"),
+        report_kind(F.col("kind")).alias("kind"), F.col("kind").isin(FINAL, PRELIM).alias("kind_known"), *[optional_long(F.col(n)).alias(n) for n in numbers],
+    )
 
 
 def optional_long(c: Column) -> Column:
@@ -142,6 +182,26 @@ def code_list(files: DataFrame, member: str, columns: dict[str, str]) -> DataFra
     return _parsed(files, parse, ", ".join(f"{n} string" for n in names))
 
 
+def filing_texts(files: DataFrame, most: int = 200_000) -> DataFrame:
+    """``path, title, text, truncated`` of filings as ZIPs: their pages by name, those of the public folder if there are any,
+    else all. A file that is no ZIP or has no page has an empty text."""
+
+    def parse(path: str, content: bytes):
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                pages = sorted(n for n in archive.namelist() if n.lower().endswith((".htm", ".html")))
+                for pos, name in enumerate([n for n in pages if "PublicDoc/" in n] or pages):
+                    yield path, pos, archive.read(name).decode("utf-8", "replace")
+        except zipfile.BadZipFile:
+            pass
+
+    pages = _parsed(files, parse, "path string, pos long, html string").select("path", "pos", html_title(F.col("html")).alias("title"), html_text(F.col("html")).alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"]), "\n\n")
+    by = pages.groupBy("path").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("pos"))).alias("title"), text.alias("whole"))
+    every = files.select("path").join(by, "path", "left").withColumn("whole", F.coalesce("whole", F.lit("")))
+    return every.select("path", "title", F.substring("whole", 1, most).alias("text"), (F.length("whole") > most).alias("truncated"))
+
+
 FACT_MEMBER = re.compile(r"jpcrp\d{6}-(asr|ssr)-")
 FACT_COLUMNS = {"element": "要素ID", "context": "コンテキストID", "unit_id": "ユニットID", "value": "値"}
 
@@ -162,11 +222,43 @@ def fact_rows(files: DataFrame) -> DataFrame:
     return _parsed(files, parse, "file string, pos long, element string, context string, unit_id string, value string, doc_period string")
 
 
+FILING = (
+    "docID", "edinetCode", "secCode", "docTypeCode", "submitDateTime", "docDescription", "issuerEdinetCode", "subjectEdinetCode", "parentDocID",
+    "withdrawalStatus", "disclosureStatus",
+)
+
+
+def filing_rows(days: DataFrame) -> DataFrame:
+    """Daily lists as JSON in ``text``, one a row: the results as rows. A text that is no JSON is skipped; a list whose status
+    isn't 200 is an error, never a day without filings."""
+    item = ", ".join(f"{c}: string" for c in FILING)
+    read = days.select(F.from_json("text", f"metadata struct<status: string>, results array<struct<{item}>>").alias("day"))
+    status = F.col("day.metadata.status")
+    refused = F.raise_error(F.concat(F.lit("filing list with status "), status)).cast("boolean")
+    good = F.when(status.isNull(), False).when(status == "200", True).otherwise(refused)
+    return read.where(good).select(F.explode("day.results").alias("r")).select("r.*")
+
+
 def filing_list(spark: SparkSession, path: str) -> DataFrame:
-    """Daily lists as JSON, one a file: the results as rows. Files that can't be read are skipped."""
-    item = "docID string, edinetCode string, secCode string, docTypeCode string, submitDateTime string, docDescription string, issuerEdinetCode string, subjectEdinetCode string, parentDocID string, withdrawalStatus string, disclosureStatus string"
-    days = spark.read.schema(f"metadata struct<status:string>, results array<struct<{item.replace(' string', ':string')}>>").json(path, multiLine=True, mode="PERMISSIVE")
-    return days.where("metadata.status = '200'").select(F.explode("results").alias("r")).select("r.*")
+    """The same of files, one day each; files that can't be read are skipped."""
+    return filing_rows(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
+
+
+def write_days(days: DataFrame, path: str) -> None:
+    """``date, text`` kept by day, compressed; a day that comes again replaces its own and no other."""
+    days.select("date", "text").write.partitionBy("date").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").text(path)
+
+
+def kept_days(spark: SparkSession, path: str) -> DataFrame:
+    """``date, text`` as write_days() keeps them. Files that are cut off or gone and folders that aren't named by a day are
+    skipped."""
+    read = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).schema("text string, date string").text(path, wholetext=True)
+    return read.select("date", "text").where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date("date", "yyyy-MM-dd").isNotNull())
+
+
+def kept_dates(spark: SparkSession, path: str) -> DataFrame:
+    """The days there are, oldest first; only names are read."""
+    return kept_days(spark, path).select("date").distinct().orderBy("date")
 
 
 def split_stubs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,8 @@ def bar_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def keep_merged(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Every batch replaces the bars that it has in the table at ``target``, by symbol and date; only the symbols of the
-    batch are rewritten. The table of before stays until the new one is written beside it."""
+    batch are rewritten. The table of before stays until the new one is written beside it; what was
+    written beside it goes when it has been taken over."""
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -33,5 +34,7 @@ def keep_merged(stream: DataFrame, target: str, checkpoint: str) -> StreamingQue
         staged = f"{target}-staged-{number}"
         merged.write.mode("overwrite").parquet(staged)
         spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(target)
+        path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

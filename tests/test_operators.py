@@ -67,7 +67,7 @@ def test_role_rules(spark):
     got = sorted(rows(filings.match_roles(docs, targets)))
     assert got == [(1, "B", "issuer"), (2, "A", "filer"), (2, "B", "subject"), (2, "C", "filer"), (3, "C", "filer"), (4, "B", "filer"), (5, "A", "filer")]
     names = docs.select("doc_type", filings.label(F.col("doc_type")).alias("l"), filings.category(F.col("doc_type")).alias("c"))
-    assert {r.doc_type: (r.l, r.c) for r in names.collect()} == {"350": ("large holding", "supply"), "240": ("tender offer", "supply"), "120": ("annual", "report"), "239": ("other", "other"), "321": ("other", "other")}
+    assert {r.doc_type: (r.l, r.c) for r in names.collect()} == {"350": ("大量保有", "supply"), "240": ("TOB", "supply"), "120": ("有報", "report"), "239": ("その他", "other"), "321": ("その他", "other")}
 
 
 def test_growth_cagr_trend_position(spark):
@@ -185,4 +185,28 @@ def test_json_lists(spark, tmp_path):
     (tmp_path / "2024-01-06.json").write_text("{ not json")
     docs, stubs = files.split_stubs(files.filing_list(spark, str(tmp_path)))
     assert [r.docID for r in docs.collect()] == ["S1"] and [r.docID for r in stubs.collect()] == ["S2"]
-    assert io.BytesIO(b"").read() == b""
+    (tmp_path / "2024-01-07.json").write_text('{"metadata":{"status":"404"},"results":[]}')
+    with pytest.raises(Exception, match="status 404"):
+        files.filing_list(spark, str(tmp_path)).collect()
+
+
+def test_days_are_kept_apart(spark, tmp_path):
+    put = lambda rows: files.write_days(spark.createDataFrame(rows, "date string, text string"), str(tmp_path / "d"))
+    put([("2024-01-05", "one"), ("2024-01-04", "two"), ("2024-1-6", "odd")])
+    put([("2024-01-05", "again")])
+    broken = tmp_path / "d" / "date=2024-01-08"
+    broken.mkdir()
+    (broken / "part.txt.gz").write_bytes(b"no gzip")
+    assert {(r.date, r.text.strip()) for r in files.kept_days(spark, str(tmp_path / "d")).collect()} == {("2024-01-05", "again"), ("2024-01-04", "two")}
+    assert [r.date for r in files.kept_dates(spark, str(tmp_path / "d")).collect()][:2] == ["2024-01-04", "2024-01-05"]
+
+
+def test_next_bar_grows_with_the_rows(spark):
+    """The plan has no frame that looks ahead of a row, which would read the rest of its symbol again for each."""
+    docs = spark.createDataFrame([("A", D("2024-01-06")), ("A", None), ("A", D("2023-01-01")), ("A", D("2024-02-01")), ("B", D("2024-01-05"))], "symbol string, day date")
+    bars = spark.createDataFrame([("A", D("2024-01-05")), ("A", D("2024-01-09")), ("A", D("2024-01-20"))], "symbol string, date date")
+    found = supply.next_bar(docs, bars, F.col("day"))
+    assert "unboundedfollowing$()), None, true" not in found._jdf.queryExecution().toString() and "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().toString()
+    assert {(r.symbol, str(r.day)): str(r.marker_date) for r in found.collect()} == {
+        ("A", "2024-01-06"): "2024-01-09", ("A", "None"): "None", ("A", "2023-01-01"): "None", ("A", "2024-02-01"): "None", ("B", "2024-01-05"): "None",
+    }
