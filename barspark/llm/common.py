@@ -25,6 +25,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def row_of(docs: DataFrame) -> Column:
+    """The whole row as one column, whatever its columns are called."""
+    return F.struct(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -1,140 +1,197 @@
 """Language by cross-parsing: texts are cut into the longest phrases that a language's labelled text holds.
 
-Every language has a suffix automaton over the different words of its labelled sample. A word, with the blanks around it,
-is parsed from left to right: the automaton follows it as far as it can, that is a phrase, and begins anew. Few phrases a
-letter mean a near language; the number is normalised to bits by the size of the sample (a phrase is a pointer into it).
+Every language has a suffix automaton over its labelled sample. A text is parsed from left to right: the automaton follows
+it as far as it can, that is a phrase, and begins anew. Few phrases mean a near language; a phrase is a pointer into the
+sample, so its number is normalised to bits by the sample's size. Texts are parsed as words with one blank between them, so
+phrases run across words; those of one batch are parsed side by side, a character of each at a time.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W\d_]+")
 NONE = "und"
-#: Words whose phrases a worker remembers; the memory is emptied when full, results don't depend on it.
-REMEMBERED = 400_000
-#: Bits of each count in a word's packed counts.
-WIDTH = 48
+#: Characters of a stretch of text (a phrase ends where a longer text is cut), and of the texts that are parsed side by side.
+STRETCH, BATCH = 2048, 1 << 22
 
 
 @dataclass(frozen=True)
 class Sample:
-    """Bounds of the labelled text that is learnt from: documents of a language, characters of each, and of its words."""
+    """Bounds of the labelled text that is learnt from: documents of a language, and characters of their passages of
+    ``words`` words. What is taken of a language doesn't depend on any other."""
 
     docs: int = 120
-    chars: int = 4000
-    letters: int = 60_000
-
-
-class SuffixAutomaton:
-    """Of a text; the transitions of each state by character."""
-
-    def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for c in text:
-            new = len(self.next)
-            self.next.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = new
-                p = link[p]
-            if p >= 0:
-                q = self.next[p][c]
-                if length[p] + 1 == length[q]:
-                    link[new] = q
-                else:
-                    clone = len(self.next)
-                    self.next.append(dict(self.next[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and self.next[p].get(c) == q:
-                        self.next[p][c] = clone
-                        p = link[p]
-                    link[q] = link[new] = clone
-            last = new
-
-    def phrases(self, word: str) -> int:
-        """How many longest matches, one after the other, the word takes; a character never seen is one."""
-        moves, state, count = self.next, 0, 0
-        for c in word:
-            to = moves[state].get(c)
-            if to is None:
-                count += state != 0
-                to = moves[0].get(c)
-                if to is None:
-                    count, to = count + 1, 0
-            state = to
-        return count + (state != 0)
+    words: int = 40
+    letters: int = 80_000
+
+
+def plain(text: str | None) -> str:
+    """Words in lower case with one blank around each; empty without a letter."""
+    words = [w for w in WORDS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    return f" {' '.join(words)} " if words else ""
+
+
+def automaton(text: str) -> list[dict[str, int]]:
+    """The suffix automaton of a text: the transitions of each state by character; the first state is the start."""
+    moves: list[dict[str, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for c in text:
+        new = len(moves)
+        moves.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in moves[p]:
+            moves[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = moves[p][c]
+            if length[p] + 1 == length[q]:
+                link[new] = q
+            else:
+                clone = len(moves)
+                moves.append(dict(moves[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and moves[p].get(c) == q:
+                    moves[p][c] = clone
+                    p = link[p]
+                link[q] = link[new] = clone
+        last = new
+    return moves
+
+
+#: Bits of a character's number and of a state's in an entry of the table of transitions.
+CHAR, STATE = 15, 24
 
 
 class Judge:
-    """Automata of all languages, and what words cost in each."""
+    """The automata of all languages, their transitions in one hash table of (state, character)."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
-        self.automata = [SuffixAutomaton(texts[x]) for x in self.languages]
-        self.bits = [math.log2(max(2, len(texts[x]))) for x in self.languages]
-        self.known = _Known(self)
-
-    def packed(self, word: str) -> int:
-        """Letters, then the phrases of each language, in one number."""
-        total = sum(map(str.isalpha, word))
-        if total:
-            for n, a in enumerate(self.automata, 1):
-                total |= a.phrases(f" {word} ") << WIDTH * n
-        return total
-
-    def judge(self, text: str | None) -> tuple[str, float]:
-        total = sum(map(self.known.__getitem__, WORDS.findall((text or "").lower())))
-        mask = (1 << WIDTH) - 1
-        letters = total & mask
-        if not letters or not self.languages:
-            return NONE, 0.0
-        costs = [(total >> WIDTH * n & mask) * b for n, b in enumerate(self.bits, 1)]
-        best = min(range(len(costs)), key=lambda i: (costs[i], self.languages[i]))
-        # bits of the whole text, at most of fifty letters of it: a long text is not a surer one
-        scale = min(letters, 50) / letters
-        odds = sum(2.0 ** (-min(60.0, (c - costs[best]) * scale)) for c in costs)
-        return self.languages[best], 1.0 / odds
-
-
-class _Known(dict):
-    def __init__(self, judge: Judge):
-        self.judge = judge
+        self.bits = np.log2([max(2, len(texts[x])) for x in self.languages])
+        letters = sorted({c for t in texts.values() for c in t})
+        self.number = np.zeros(0x110000, np.int64)  # characters by number; 0 is one that no sample has
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.start = np.zeros((len(letters) + 1, len(self.languages)), np.int64)
+        keys, to, states = [], [], 0
+        for k, x in enumerate(self.languages):
+            moves = automaton(texts[x])
+            size = [len(m) for m in moves]
+            chars = self.number[[ord(c) for m in moves for c in m]]
+            to.append(np.array([t for m in moves for t in m.values()], np.int64) + states)
+            keys.append(np.repeat(np.arange(len(moves)) + states, size) << CHAR | chars)
+            self.start[chars[: size[0]], k] = to[-1][: size[0]]
+            states += len(moves)
+        if states >= 1 << STATE or len(letters) >= 1 << CHAR:
+            raise ValueError("too many or too long samples for one table of transitions")
+        key, to = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *to])
+        self.shift = np.uint64(64 - max(4, (2 * len(key)).bit_length()))
+        self.table = np.full(1 << 64 - int(self.shift), -1, np.int64)
+        at = self._slot(key)
+        while len(key):  # one entry a slot; the others try the next one
+            _, first = np.unique(at, return_index=True)
+            won = np.zeros(len(key), bool)
+            won[first] = self.table[at[first]] < 0
+            self.table[at[won]] = key[won] << STATE | to[won]
+            key, to, at = key[~won], to[~won], at[~won] + 1 & len(self.table) - 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def _moved(self, key: np.ndarray) -> np.ndarray:
+        """Where a state goes by a character; 0 without a transition."""
+        at = self._slot(key)
+        entry = self.table[at]
+        same = entry >> STATE == key
+        out = np.where(same, entry & (1 << STATE) - 1, 0)
+        left = np.flatnonzero(~same & (entry >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & len(self.table) - 1
+            entry = self.table[at[left]]
+            same = entry >> STATE == key[left]
+            out[left[same]] = entry[same] & (1 << STATE) - 1
+            left = left[~same & (entry >= 0)]
+        return out
+
+    def phrases(self, chars: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """How many longest matches, one after the other, each stretch takes in each language; a character never seen is
+        one. ``lengths`` in falling order. State 0 stands for every start: nothing matched yet."""
+        width = len(self.languages)
+        count, state = np.zeros((len(begins), width), np.int64), np.zeros((len(begins), width), np.int64)
+        live = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
+        for t, n in enumerate(live.tolist()):
+            char, now = chars[begins[:n] + t], state[:n].ravel()
+            to = self._moved(now << CHAR | np.repeat(char, width))
+            stuck = np.flatnonzero((to == 0) | (now == 0))
+            anew = self.start[char[stuck // width], stuck % width]
+            count.reshape(-1)[stuck] += (now[stuck] != 0).astype(np.int64) + (anew == 0)
+            to[stuck] = anew
+            state[:n] = to.reshape(n, width)
+        return count + (state != 0)
 
-    def __missing__(self, word: str) -> int:
-        found = self.judge.packed(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) < 100:
-            self[word] = found
-        return found
+    def costs(self, texts: list[str]) -> np.ndarray:
+        """Bits of each text in each language, a column each."""
+        chars = self.number[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        parts = -(-sizes // STRETCH)
+        text = np.repeat(np.arange(len(texts)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begins = (np.cumsum(sizes) - sizes)[text] + nth * STRETCH
+        lengths = np.minimum(sizes[text] - nth * STRETCH, STRETCH)
+        order = np.argsort(-lengths, kind="stable")
+        found = self.phrases(chars, begins[order], lengths[order])
+        return np.stack([np.bincount(text[order], found[:, k], len(texts)) for k in range(found.shape[1])], axis=1) * self.bits
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        flat = [plain(t) for t in texts]
+        if not self.languages or not any(flat):
+            return [NONE] * len(texts), [0.0] * len(texts)
+        costs = self.costs(flat)
+        best = costs.argmin(axis=1)  # of equal ones the first in order of name
+        # bits of the whole text, at most of fifty letters of it: a long text is not a surer one
+        letters = np.array([len(t) for t in flat])
+        above = (costs - costs.min(axis=1, keepdims=True)) * (np.minimum(letters, 50) / np.maximum(letters, 1))[:, None]
+        odds = np.exp2(-np.minimum(above, 60.0)).sum(axis=1)
+        return [self.languages[b] if t else NONE for b, t in zip(best, flat, strict=True)], [1 / o if t else 0.0 for o, t in zip(odds.tolist(), flat, strict=True)]
 
 
 def learn(docs: DataFrame, allowed: Column, sample: Sample = Sample(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """The different words of each language's sample: of the documents with the least hash of their id among those allowed
-    and labelled. At most ``docs`` rows a language reach the driver; the languages are few."""
-    ids = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample.docs).select("id", F.col("lang").alias("l")).distinct()
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, sample.chars).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("l", "text").orderBy("l", F.xxhash64("text")).collect()
-    words: dict[str, dict[str, None]] = {}
-    for r in rows:
-        words.setdefault(r.l, {}).update(dict.fromkeys(WORDS.findall(r.text.lower())))
-    least = min((sum(len(w) + 1 for w in x) for x in words.values()), default=0)
-    room = max(2000, min(sample.letters, least))  # as much text of every language, where there is enough
-    return {x: f" {' '.join(w)} "[: room + 1] for x, w in words.items() if w}
+    """Each language's sample: passages of the documents with the least hash of their id among those allowed and labelled, in
+    order of the passages' hash until there are enough letters. At most ``docs`` rows a language are read whole; their
+    passages are cut and chosen on the executors, what reaches the driver is bounded by letters a language. The languages are
+    few. A document under an id that comes again counts as often, within the same bound."""
+    known = docs.where(allowed & docs[lang_col].isNotNull() & docs[id_col].isNotNull() & docs[text_col].isNotNull())
+    rows = known.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    ids = rows.select("id", "lang", F.xxhash64("text").alias("h"), F.row_number().over(first).alias("n")).where(F.col("n") <= sample.docs).select("id", "lang", "h").distinct()
+    chosen = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(ids), ["id", "lang", "h"]).select("lang", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = plain(text).split()
+                parts = list(dict.fromkeys(" ".join(words[i : i + sample.words]) for i in range(0, len(words), sample.words)))
+                keys = [xxhash.xxh64_intdigest(p, 1) >> 1 for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(keys, pa.int64()), pa.array(parts, pa.string())], names=["lang", "key", "part"])
+
+    parts = chosen.mapInArrow(cut, "lang string, key long, part string").distinct()
+    upto = Window.partitionBy("lang").orderBy("key", "part").rowsBetween(Window.unboundedPreceding, -1)
+    room = parts.withColumn("before", F.coalesce(F.sum(F.length("part") + 1).over(upto), F.lit(0))).where(F.col("before") < sample.letters)
+    texts: dict[str, list[str]] = {}
+    for r in room.orderBy("lang", "key", "part").collect():
+        texts.setdefault(r.lang, []).append(r.part)
+    return {k: f" {' '.join(v)} " for k, v in texts.items()}
 
 
 _JUDGES: dict[int, Judge] = {}
@@ -143,20 +200,31 @@ _JUDGES: dict[int, Judge] = {}
 def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, lang, score`` of each row. A null text, or one without a letter, is ``und`` with score 0, and all are if
     nothing was learnt. Rows that repeat are judged alike; other columns are not read; an empty table gives no row.
-    Whole texts are parsed, word by word."""
+    Whole texts are parsed; one of over STRETCH characters in stretches of that many."""
     shared = docs.sparkSession.sparkContext.broadcast(texts)
-    name = hash(tuple(sorted(texts.items())))
+    name = xxhash.xxh64_intdigest(repr(sorted(texts.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _JUDGES:
             _JUDGES.clear()
             _JUDGES[name] = Judge(shared.value)
         judge = _JUDGES[name].judge
+
+        def judged(ids: list[pa.Array], held: list[str | None]) -> pa.RecordBatch:
+            langs, scores = judge(held)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang", "score"])
+
+        ids, held, size = [], [], 0
         for batch in batches:
-            found = [judge(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["id", "lang", "score"]
-            )
+            for n, text in enumerate(batch.column(1)):
+                ids.append(batch.column(0).slice(n, 1))
+                held.append(text.as_py())
+                size += len(held[-1] or "") + 20
+                if size > BATCH:
+                    yield judged(ids, held)
+                    ids, held, size = [], [], 0
+        if held:
+            yield judged(ids, held)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang string, score double")

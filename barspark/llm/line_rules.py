@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, let, words_of
+from .common import SPACES, WORD, let, row_of, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Marks that prose hardly uses; full stops and commas are not among them.
@@ -26,8 +26,8 @@ BOILERPLATE = (
 @dataclass(frozen=True)
 class LineRules:
     """Shares are in percent. ``marks``: of a line's word characters; ``repeats``: of the words; ``lost``: of the word characters of the text.
-    ``phrase_words``, ``bar_words``: words of a line for each boilerplate phrase or bar that it may have; with 0 one phrase or
-    ``bars`` bars are enough, whatever the line's length."""
+    ``phrase_words``, ``bar_words``: a line fails for a boilerplate phrase in every so many words, or for ``bars`` bars if there
+    is one in every so many words, so that a mention in a long line is no fault; with 0 one is enough, whatever the length."""
 
     marks: int = 10
     bars: int = 3
@@ -35,8 +35,8 @@ class LineRules:
     repeats: int = 20
     window: int = 5
     lost: int = 50
-    phrase_words: int = 0
-    bar_words: int = 0
+    phrase_words: int = 25
+    bar_words: int = 10
 
 
 def repeated_words(words: Column, window: int) -> Column:
@@ -96,7 +96,7 @@ def clean(
     repeat are judged alike; other columns are not read; an empty table gives none.
     """
     text = F.coalesce(F.col("t"), F.lit(""))
-    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    row = [row_of(docs).alias("row")] if carry else []
     base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"), *row).select(
         "*", words_of(F.col("t")).alias("w"), F.split(text, "\n").alias("lines")
     )

@@ -50,9 +50,10 @@ judged AS (
   SELECT doc_id, l, length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS c,
     NOT (len(regexp_extract_all(l, '[#*$%&|<>!?~^=_{}\\]')) * 100
            > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) * 10
-      OR len(regexp_extract_all(l, '[|>]')) >= 3
+      OR (len(regexp_extract_all(l, '[|>]')) >= 3 AND len(regexp_extract_all(l, '[|>]')) * 10 >= len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')))
       OR regexp_matches(l, '(?i)^[ \t]*(home|menu|log ?in|sign (in|up)|register|next|previous|back to top|read more|click here|share|search|contact( us)?|about( us)?)[ .:!]*$')
-      OR regexp_matches(l, '(?i)(all rights reserved|copyright|licensed under|released under the|privacy policy|cookie policy|terms of (use|service)|subscribe to our)')
+      OR len(regexp_extract_all(l, '(?i)(all rights reserved|copyright|licensed under|released under the|privacy policy|cookie policy|terms of (use|service)|subscribe to our)')) * 25
+           >= greatest(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')), 1)
     ) AS ok
   FROM lines),
 by_doc AS (
@@ -107,18 +108,18 @@ b AS (
 c AS (SELECT page_id, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM b),
 d AS (
   SELECT *, CASE
-    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
-    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
-    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+    WHEN (host = 'example.net' OR host LIKE '%%.example.net') AND path LIKE '/en/%%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%%.example.com') AND path LIKE '/de/%%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%%.org') AND path LIKE '/fr/%%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%%.net') AND path LIKE '/%%' THEN 'net/' END AS rule
   FROM c)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host || path, '(^|[./])(login|signin|signup|register|cart|checkout|ads|adserver|doubleclick|casino|porn|xxx|wp-admin|wp-login|cgi-bin|jpg|jpeg|png|gif|zip|exe|mp4)([./]|$)') THEN 'block'
+    WHEN regexp_matches(host, '(^|[^A-Za-z0-9])(%s)([^A-Za-z0-9]|$)') OR regexp_matches(host || path, '(^|[./])(%s)([./]|$)') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM d
-"""
+""" % ("|".join(url_rules.HOST_WORDS), "|".join(url_rules.SEGMENTS))
 
 
 def op5_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +158,8 @@ FROM c LEFT JOIN p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN deep O
 
 
 def _fold(name: str, n: int) -> Column:
-    """crc32 of an id as text, modulo n."""
-    return F.crc32(F.col(name).cast("string").cast("binary")) % n
+    """crc32 of an id as text, modulo n; that of the empty text for a null id."""
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,13 +158,23 @@ def score(rules: Rules) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed: Column, how: Fit = Fit(), id_col: str = "doc_id", label_col: str = "quality") -> Rules:
-    """From the labelled rows with the least hash of their id among those allowed; at most ``how.rows`` reach the driver."""
-    known = labels.where(allowed & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+def learn(docs: DataFrame, labels: DataFrame, allowed: Column, how: Fit = Fit(), id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text") -> Rules:
+    """From the labelled rows with the least hash of their id among those allowed; at most ``how.rows`` reach the driver, also
+    where ids repeat. Other columns of either table are not read."""
+    known = labels.where(allowed & labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(labels[id_col].alias("id"), labels[label_col].cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "y").limit(how.rows)
-    few = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen.select(F.col("id").alias(id_col), "y")), id_col).select(id_col, "text", "y")
-    rows = described(few.select(F.struct("y", id_col).alias("k"), "text"), "k").orderBy("id").toPandas()
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
+    few = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "y", F.xxhash64("text")).limit(how.rows)
+    rows = described(few.select(F.struct("id", "y").alias("k"), "text"), "k").orderBy("id").toPandas()
     if not len(rows):
         return fit(np.zeros((0, len(NAMES))), np.zeros(0), how)
-    y = np.array([k["y"] if isinstance(k, dict) else k[0] for k in rows["id"]])
+    y = np.array([k["y"] if isinstance(k, dict) else k[1] for k in rows["id"]])
     return fit(rows[list(NAMES)].to_numpy(np.float64), y, how)
+
+
+def score_of(rules: Rules, x: np.ndarray) -> np.ndarray:
+    """The score of statistics in the order of NAMES, as score() gives it in a query."""
+    total = np.full(len(x), rules.bias)
+    for weight, path in rules.terms:
+        total += weight * _holds(x, tuple((NAMES.index(name), above, bound) for name, above, bound in path))
+    return 1 / (1 + np.exp(-total))

@@ -1,20 +1,52 @@
 import numpy as np
 from barspark.llm import language_id as li
 from barspark.llm import queries
+from pyspark.sql import functions as F
 
 
-def test_automaton_against_search():
+def parsed(text, sample):
+    """Longest matches one after the other, by search."""
+    at, n = 0, 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in sample:
+            end += 1
+        at, n = end, n + 1
+    return n
+
+
+def test_whole_predictions_against_search(monkeypatch):
+    monkeypatch.setattr(li, "STRETCH", 50)
     rng = np.random.default_rng(1)
-    text = "".join(rng.choice(list("abc "), 400))
-    automaton = li.SuffixAutomaton(text)
-    for _ in range(200):
-        word, at, n = "".join(rng.choice(list("abcd "), int(rng.integers(1, 30)))), 0, 0
-        while at < len(word):
-            end = at + 1
-            while end < len(word) and word[at : end + 1] in text:
-                end += 1
-            at, n = end, n + 1
-        assert automaton.phrases(word) == n, word
+    samples = {k: li.plain(" ".join("".join(rng.choice(list(letters), int(rng.integers(1, 9)))) for _ in range(200))) for k, letters in (("a", "abcd"), ("b", "abcdé"), ("c", "cdef語"))}
+    texts = [" ".join("".join(rng.choice(list("abcdefé語x"), int(rng.integers(1, 7)))) for _ in range(int(rng.integers(0, 60)))) for _ in range(80)]
+    texts += [samples["b"][20:200], samples["c"][7:400], None, "", "1 2"]
+    judge = li.Judge(samples)
+    costs = judge.costs([li.plain(t) for t in texts])
+    langs, scores = judge.judge(texts)
+    for t, cost, lang, score in zip(texts, costs, langs, scores, strict=True):
+        flat = li.plain(t)
+        want = [sum(parsed(flat[i : i + 50], samples[k]) for i in range(0, len(flat), 50)) * np.log2(len(samples[k])) for k in "abc"]
+        assert np.allclose(cost, want)
+        assert lang == ("abc"[int(np.argmin(want))] if flat else "und") and (1 / 3 - 1e-9 <= score <= 1 if flat else score == 0)
+    assert langs[80:82] == ["b", "c"]
+
+
+def test_phrases_run_across_words():
+    judge = li.Judge({"a": " the end of the road ", "b": " end the of road the "})
+    (a, b), *_ = judge.costs([" the end of the road "])
+    assert a < b
+
+
+def test_a_language_of_little_text_takes_nothing_from_others(spark):
+    rng = np.random.default_rng(3)
+    long = [(i, " ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(300)), "en") for i in range(20)]
+    docs = spark.createDataFrame([*long, (90, "tres palabras solas", "es")], "doc_id long, text string, lang string")
+    both = li.learn(docs, F.lit(True), li.Sample(letters=5000))
+    assert both["es"] == " tres palabras solas " and 5000 <= len(both["en"]) < 5300
+    assert both["en"] == li.learn(docs.where("lang = 'en'"), F.lit(True), li.Sample(letters=5000))["en"]
+    begins = [t[:200] for _, t, _ in long]  # passages come from everywhere in a text
+    assert sum(b in both["en"] for b in begins) < 10
 
 
 def test_held_out_accuracy(spark, sf):
@@ -32,8 +64,6 @@ def test_texts_without_letters_and_no_labels(spark):
     texts = {"en": " the end of this and that ", "de": " und so weiter der die das "}
     got = sorted(((r.id or 0, r.lang) for r in li.predict(docs, texts).collect()))
     assert got == [(0, "de"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en")]
-    from pyspark.sql import functions as F
-
     assert li.learn(docs.limit(0), F.lit(True)) == {}
     assert {r.lang for r in li.predict(docs, {}).collect()} == {"und"}
     assert set(li.learn(docs, F.lit(True))) == {"en"}

@@ -35,6 +35,22 @@ def test_fit_finds_a_conjunction_and_compiles_it(spark):
         assert weight and path
 
 
+def test_query_scores_as_the_rules_do(spark):
+    """The compiled expression against the rules evaluated on the statistics, over documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rules = re_.learn(docs, labels, F.lit(True))
+    frame = re_.described(docs).withColumn("score", re_.score(rules)).toPandas()
+    assert rules.terms and np.allclose(frame["score"], re_.score_of(rules, frame[list(re_.NAMES)].to_numpy(float)), atol=1e-12)
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 30, f"text {i} " * (i % 7 + 1), 1.0, "a", "b") for i in range(90)], "doc_id long, text string, y double, id string, `m.k` string")
+    labels = spark.createDataFrame([(i, i % 2, "t") for i in range(30)], "doc_id long, quality int, text string")
+    rules = re_.learn(docs, labels, F.lit(True), re_.Fit(rows=10))
+    assert re_.described(docs).withColumn("score", re_.score(rules)).count() == 90
+
+
 def test_odd_inputs(spark):
     rows = [(1, None), (2, ""), (3, "a " * 60000), (None, "x"), (3, "a " * 60000)]
     docs = spark.createDataFrame([(*r, 1, "w", 0.1) for r in rows], "doc_id long, text string, words int, w string, score double")

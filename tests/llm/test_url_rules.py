@@ -1,6 +1,8 @@
 import re
 
+import pytest
 from barspark.llm import url_rules
+from pyspark.sql import functions as F
 
 URLS = [
     "https://www.Example.NET/en/1", "http://example.net/EN/1", "http://example.net", "http://a.net/", "x.net/en/", None, "", "http://example.com/de/",
@@ -24,8 +26,8 @@ def brute(url):
     ]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    parts = set(re.split(r"[./]", host + path))
-    return host, path, None, "block" if parts & {r.name for r in url_rules.SEGMENTS} else "allow"
+    parts = set(re.split(r"[./]", host + path)) & set(url_rules.SEGMENTS) | set(re.split(r"[^A-Za-z0-9]", host)) & set(url_rules.HOST_WORDS)
+    return host, path, None, "block" if parts else "allow"
 
 
 def test_against_brute_force(spark):
@@ -38,8 +40,34 @@ def test_against_brute_force(spark):
     assert url_rules.judge(pages.limit(0)).count() == 0
 
 
-def test_rule_without_literal_is_tried(spark):
-    pages = spark.createDataFrame([(1, "http://a.b/ü"), (2, "http://a.b/c")], "page_id long, url string")
-    rule = url_rules.Rule("odd", "block", "[^ -~]", (), False)
-    got = {r.id: r.verdict for r in url_rules.judge(pages, (rule, url_rules.segment_rule("block", "q"))).collect()}
-    assert got == {1: "block", 2: "allow"}
+def test_rules_without_literal_are_tried(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/ü"), (2, "http://a.b/c"), (3, "http://a.b/xqx")], "page_id long, url string")
+    rules = (url_rules.Rule("odd", "ü"), url_rules.Rule("q", "*q*"), url_rules.Rule("z", "^z^"))
+    assert {r.id: r.verdict for r in url_rules.judge(pages, rules).collect()} == {1: "block", 2: "allow", 3: "block"}
+    many = url_rules.table_of(spark, tuple(url_rules.Rule(str(i), f"*{i}*") for i in range(url_rules.WITHOUT_LITERAL + 1)))
+    with pytest.raises(ValueError):
+        url_rules.judge(pages, many)
+
+
+def test_patterns(spark):
+    rows = [
+        ("||ex.org/a", ["ex", "org"], ["ex.org/a", "www.ex.org/ab"], ["nex.org/a", "a/ex.org/a"]), ("||ads-*.com^", ["ads", "com"], ["ads-1.com/x", "m.ads-1.b.com"], ["xads-1.com", "ads.com"]),
+        ("|m.a*/b|", ["m", "b"], ["m.a/b", "m.abc/x/b"], ["x.m.a/b", "m.a/b/"]), ("^old^", ["old"], ["x.com/old", "old.com", "a/old/b"], ["x/older", "a/old-b"]),
+        ("~old~", ["old"], ["x/old-b", "my-old.com"], ["x/older"]), ("a+(b)*", ["b"], ["xa+(b)y"], ["aab"]), ("/c*d/e?", ["e"], ["/cxd/e?"], ["/cd/e"]),
+    ]
+    for r in spark.createDataFrame([(i, x[0]) for i, x in enumerate(rows)], "i int, p string").select("i", url_rules.regex_of(F.col("p")).alias("r"), url_rules.literals_of(F.col("p")).alias("t")).collect():
+        (_, tokens, good, bad), regex = rows[r.i], r.r.replace(r"\z", r"\Z")
+        assert sorted(r.t) == sorted(tokens), rows[r.i]
+        assert all(re.search(regex, x) for x in good) and not any(re.search(regex, x) for x in bad), (rows[r.i], regex)
+
+
+def test_many_rules_run_few_expressions(spark):
+    """Of a hundred thousand rules a URL meets those that are filed under its tokens only."""
+    n = 100_000
+    rules = spark.range(n).selectExpr("concat('r', id) AS rule", "concat('||h', id % 5000, '.example.com/s', id, '^') AS pattern", "'block' AS verdict", "'place' AS scope", "false AS site")
+    pages = spark.range(2000).selectExpr("id AS page_id", "concat('http://www.h', id % 50, '.example.com/s', id, '/x') AS url")
+    host, path = url_rules.host_and_path(F.col("url"))
+    places = pages.groupBy(host.alias("host"), path.alias("path")).agg(F.count("*").alias("n"))
+    assert url_rules.candidates(places, rules).count() <= 2 * 2000
+    verdicts = {r.id: r.verdict for r in url_rules.judge(pages, rules).collect()}
+    assert {i for i, v in verdicts.items() if v == "block"} == {i for i in range(2000) if i % 5000 == i % 50}
