@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barspark.llm import bpe, line_rules, mixing, simhash, suffix_dedup
-from barspark.llm.common import stored
+from barspark.llm.common import row_of, stored
 from barspark.llm.queries import tokenizer_file
 
 #: Any number of words, and up to half of them in repeated windows, where the query's own limits are 10 words and a fifth.
-#: A line goes for a boilerplate phrase in every 25 words or a bar in every 10, so that a mention in a long line is no fault.
-RULES = line_rules.LineRules(min_words=1, repeats=50, phrase_words=25, bar_words=10)
-#: Bytes of a repeated passage: about forty words, so that one of fifty words is seen whatever its words.
+RULES = line_rules.LineRules(min_words=1, repeats=50)
+#: Bytes of a repeated passage: about forty words of usual length. Fifty words are longer but where they average under 3.8 bytes.
 PASSAGE = 240
 
 
@@ -27,13 +26,14 @@ def _key(docs: DataFrame) -> Column:
 
 def _packed(docs: DataFrame) -> DataFrame:
     """The key, the text and the whole row as one column, whatever its columns are called."""
-    return docs.select(_key(docs).alias("id"), docs["text"].alias("text"), docs["source"].alias("source"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return docs.select(_key(docs).alias("id"), docs["text"].alias("text"), docs["source"].alias("source"), row_of(docs).alias("row"))
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
     """The columns of ``docs``, with another text and its length if given."""
     new = {} if text is None else {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    fields = rows.select("*", *[F.col("row").getField(c).alias(f"field{i}") for i, c in enumerate(docs.columns)])
+    return fields.select(*[new.get(c, F.col(f"field{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +66,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(rows, id_col="id").where("copies > 0").select("id", by_source, "size", "copies")
     copies = mixed.groupBy(group).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
     found = rows.select("id", by_source, mixing.size_of(F.col("text")).alias("size"), "row").join(copies, group)
-    # rows that repeat each have a number of copies of their own
-    nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.lit(1)))
+    # rows that repeat each have a number of copies of their own, in an order that is the same in every run
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("row.text"), "row.text"))
     each = found.withColumn("n", F.coalesce(F.get("copies", nth - 1), F.lit(0)))
     out = each.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return _unpacked(out, docs)
