@@ -2,7 +2,9 @@
 
 Both halves of the vectors are quantised by centroids of their own; a pair of centroids is a cell. A query takes cells in
 order of the summed distance of its halves, from a heap that holds the next pair of every row begun, until the cells hold
-``share`` of all rows; what they hold is ranked by the exact distance. Cells are dealt out to blocks of bounded size.
+a share of all rows; what they hold is ranked by the exact distance. The share is measured on a sample, whose neighbours
+are known. Cells are dealt out to blocks of bounded size; a row goes to one block, a query to the blocks of its cells, and a
+task holds one block's rows while that block's queries pass by.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -21,16 +23,19 @@ from .common import stored
 
 @dataclass(frozen=True)
 class MultiIndex:
-    """``sample``: vectors that the centroids are fitted to; ``centroids`` of each half; ``share`` of the rows that a query
-    looks at (0.6 finds over 0.9 of the true neighbours even among vectors without any structure); ``block``: rows of one; ``asked``:
-    queries that meet a block at once."""
+    """``sample``: vectors that the centroids are fitted to; ``centroids`` of each half; ``share`` of the rows that a query looks
+    at, measured where it is None: so many that ``recall`` of the neighbours in the sample are among them, for ``probes`` of its
+    vectors. ``least``: rows that a query looks at whatever the share, so that a small table is searched whole; ``block``: rows
+    of one, about."""
 
     sample: int = 8192
     centroids: int = 64
     rounds: int = 12
-    share: float = 0.6
+    share: float | None = None
+    recall: float = 0.97
+    probes: int = 256
+    least: int = 1000
     block: int = 20000
-    asked: int = 4000
     nearest: int = 10
 
 
@@ -72,6 +77,24 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough:
     return found
 
 
+def measured_share(sample: np.ndarray, halves: list[np.ndarray], index: MultiIndex) -> float:
+    """The share of the sample that must be looked at so that ``recall`` of the probes' neighbours in it are. A larger table has
+    nearer neighbours than its sample, in nearer cells, so that this share is enough there."""
+    middle, columns = len(halves[0][0]), len(halves[1])
+    cell = closest(sample[:, :middle], halves[0]) * columns + closest(sample[:, middle:], halves[1])
+    counts, needed = np.bincount(cell, minlength=len(halves[0]) * columns), []
+    for p in np.linspace(0, len(sample) - 1, min(index.probes, len(sample))).astype(int):
+        far = ((sample - sample[p]) ** 2).sum(1)
+        far[p] = np.inf
+        near = np.argsort(far, kind="stable")[: min(index.nearest, len(sample) - 1)]
+        v = sample[p : p + 1]
+        order = np.argsort((_apart(v[:, :middle], halves[0])[0][:, None] + _apart(v[:, middle:], halves[1])[0]).ravel(), kind="stable")
+        upto = np.empty(len(order), np.int64)
+        upto[order] = np.cumsum(counts[order])
+        needed.append(upto[cell[near]])
+    return float(np.quantile(np.concatenate(needed), index.recall, method="higher") / len(sample)) if len(sample) > 1 else 1.0
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, v``: without null, zero or non-finite vectors and null components; of the most frequent length."""
     v = F.col("v")
@@ -82,15 +105,37 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (lengths["n"] if lengths else 0))
 
 
+def blocks_of(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each cell and over how many it is dealt: cells next to each other fill one, a larger cell several."""
+    first, parts, last, room = np.full(len(counts), -1), np.ones(len(counts), np.int64), -1, 0
+    for cell in np.flatnonzero(counts):
+        n = int(counts[cell])
+        if n > block:
+            parts[cell], first[cell] = -(-n // block), last + 1
+            last, room = last + int(parts[cell]), 0
+        else:
+            if room < n:
+                last, room = last + 1, block
+            first[cell], room = last, room - n
+    return first, parts
+
+
+def _part(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which of a cell's blocks a row goes to, by a hash of its id."""
+    mixed = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
+
+
 def search(
     vectors: DataFrame, every: int = 100, index: MultiIndex = MultiIndex(), id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``: their nearest others found.
+    """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``: their nearest others found, all others
+    if there are fewer.
 
     Ties go to the smaller id. Equal vectors are equally near, so the index holds no more of them than can be among the
     nearest. Rows that repeat an id count once, with the least of their vectors. Vectors that are not usable() take no part; no usable vector: no row.
     """
-    spark = vectors.sparkSession
+    spark: SparkSession = vectors.sparkSession
     good = usable(vectors, id_col, vector_col)
     sample = good.orderBy(F.xxhash64("id")).limit(index.sample).select("v").toPandas()
     if not len(sample):
@@ -113,67 +158,67 @@ def search(
     distinct = good.select("id", "v").groupBy("id").agg(F.min("v").alias("v"))
     held = distinct.withColumn("n", F.row_number().over(few)).where(F.col("n") <= index.nearest + 1).select("id", "v")
     placed = stored(held.mapInPandas(place, "id long, v array<double>, cell long"), "cells")
-    counted = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most centroids ** 2 rows
     counts = np.zeros(len(halves[0]) * columns, np.int64)
-    for cell, n in counted.items():
-        counts[cell] = n
-    # cells next to each other fill a block; a cell larger than a block is dealt out over several
-    block_of, block, room = {}, -1, 0
-    for cell in sorted(counted):
-        n = counted[cell]
-        if n > index.block:
-            parts = -(-n // index.block)
-            block_of[cell], block, room = (block + 1, parts), block + parts, 0
-        else:
-            if room < n:
-                block, room = block + 1, index.block
-            block_of[cell], room = (block, 1), room - n
-    plan = spark.sparkContext.broadcast((counts, block_of))
-    enough = int(np.ceil(index.share * counts.sum()))
-
-    # a block meets the queries by chunks: neither side of a task grows with the table
-    chunks = max(1, -(-distinct.where(F.col("id") % every == 0).count() // index.asked))
+    for r in placed.groupBy("cell").count().collect():  # at most centroids ** 2 rows
+        counts[r.cell] = r["count"]
+    share = measured_share(fitted, halves, index) if index.share is None else index.share
+    enough = max(int(np.ceil(share * counts.sum())), index.least, index.nearest + 1)
+    plan = spark.sparkContext.broadcast((counts, *blocks_of(counts, index.block)))  # as many numbers as there are cells
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, blocks = plan.value
+        _, first, parts = plan.value
         for batch in batches:
-            first, parts = (np.array([blocks[c][k] for c in batch["cell"]], dtype=np.int64) for k in (0, 1))
-            yield batch.assign(block=first + batch["id"].to_numpy() % np.maximum(parts, 1))
+            cell, ids = batch["cell"].to_numpy(), batch["id"].to_numpy()
+            yield batch.assign(block=first[cell] + _part(ids, parts[cell]), asks=False, cells=[[]] * len(batch))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = shared.value
-        counts, blocks = plan.value
+        counts, first, parts = plan.value
         for batch in batches:
             for qid, v in zip(batch["id"], batch["v"], strict=True):
-                cells = traverse(_apart(v[None, :middle], one)[0], _apart(v[None, middle:], two)[0], counts, enough)
-                where: dict[int, list[int]] = {}
-                for c in cells:
-                    first, parts = blocks[c]
-                    for b in range(first, first + parts):
-                        where.setdefault(b, []).append(c)
-                yield pd.DataFrame({"query_id": qid, "v": [v] * len(where), "cells": list(where.values()), "block": list(where)})
-
-    def rank(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            rows = rows.sort_values(["cell", "id"])
-            x, cell, ids = np.stack(rows["v"].to_numpy()), rows["cell"].to_numpy(), rows["id"].to_numpy()
-            for qid, v, cells in zip(queries["query_id"], queries["v"], queries["cells"], strict=True):
-                at = np.flatnonzero(np.isin(cell, cells) & (ids != qid))
-                far = np.sqrt(((x[at] - v) ** 2).sum(1))
-                if len(at) > 4 * index.nearest:  # ties at the edge stay in
-                    near = far <= np.partition(far, index.nearest)[index.nearest]
-                    at, far = at[near], far[near]
-                best = np.lexsort((ids[at], far))[: index.nearest]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at[best]], "score": far[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    rows = placed.mapInPandas(deal, "id long, v array<double>, cell long, block long")
-    queries = distinct.where(F.col("id") % every == 0).mapInPandas(ask, "query_id long, v array<double>, cells array<long>, block long")
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
-    both = ("block", "chunk")
-    found = queries.groupBy(*both).cogroup(rows.groupBy(*both)).applyInPandas(rank, "query_id long, vec_id long, score double")
+                cells = np.sort(traverse(_apart(v[None, :middle], one)[0], _apart(v[None, middle:], two)[0], counts, enough))
+                to = np.repeat(first[cells], parts[cells]) + np.arange(parts[cells].sum()) - np.repeat(np.cumsum(parts[cells]) - parts[cells], parts[cells])
+                order = np.argsort(to, kind="stable")
+                blocks, at = np.unique(to[order], return_index=True)
+                lists = np.split(np.repeat(cells, parts[cells])[order], at[1:])
+                yield pd.DataFrame({"id": qid, "v": [v] * len(blocks), "cell": -1, "block": blocks, "asks": True, "cells": lists})
+
+    def nearest(rows: tuple[np.ndarray, ...], asked: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        x, cell, ids = rows
+        for qid, v, cells in zip(asked["id"], asked["v"], asked["cells"], strict=True):
+            lo, hi = np.searchsorted(cell, cells, "left"), np.searchsorted(cell, cells, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            at = at[ids[at] != qid]
+            far = np.sqrt(((x[at] - v) ** 2).sum(1))
+            if len(at) > 4 * index.nearest:  # ties at the edge stay in
+                near = far <= np.partition(far, index.nearest)[index.nearest]
+                at, far = at[near], far[near]
+            best = np.lexsort((ids[at], far))[: index.nearest]
+            yield pd.DataFrame({"query_id": qid, "vec_id": ids[at[best]], "score": far[best]})
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A block's rows come first, in order of cell, then its queries, however many."""
+        block, held, rows = None, [], None
+        for batch in batches:
+            out = []
+            for b, group in batch.groupby("block", sort=False):
+                if b != block:
+                    block, held, rows = b, [], None
+                own, asked = group[~group["asks"]], group[group["asks"]]
+                if len(own):
+                    held.append((np.stack(own["v"].to_numpy()), own["cell"].to_numpy(), own["id"].to_numpy()))
+                if len(asked) and held:
+                    rows = rows or tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                    out += nearest(rows, asked)
+            yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    schema = "id long, v array<double>, cell long, block long, asks boolean, cells array<long>"
+    queries = distinct.where(F.col("id") % every == 0).mapInPandas(ask, schema)
+    both = placed.mapInPandas(deal, schema).unionByName(queries)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that blocks stay apart
+    dealt = both.repartition(parts, "block").sortWithinPartitions("block", "asks", "cell", "id")
+    found = dealt.mapInPandas(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= index.nearest)
     return ranked.select("query_id", "rank", "vec_id", "score")
