@@ -4,8 +4,11 @@ The start has an arc for every symbol. The gadget of a merge ``u v -> w`` redire
 their target that lacks the arc ``v``, and gives every state with an arc ``u`` an arc ``w`` to where ``v`` led. All arcs
 of one label lead to one state, so a state is named by the label that leads to it and kept as what its gadgets changed:
 ``w`` begins as the state of ``v`` at that time, ``u`` loses ``v`` from that time on, and an arc that came later stands or
-falls with the left part of its label. A word has exactly one path through the finished automaton: its encoding. Arcs
-that have been looked up stay in a table.
+falls with the left part of its label. A word has exactly one path through the finished automaton: its encoding.
+
+Written out, the table of transitions would have nearly as many arcs as there are pairs of tokens (over two billion for a
+vocabulary of 49,000). So what is compiled is its complement, the arcs that gadgets removed; an arc is read off from it when
+a word first comes to it, and then stays in a table.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ class MergeAutomaton:
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.ids, self.labels = vocab, {i: t for t, i in vocab.items()}
-        self.begun = {t[:n] for t in (x.removesuffix(END) for x in vocab) for n in range(1, len(t) + 1)}
+        self.longest = max((len(t.removesuffix(END)) for t in vocab), default=0)
         self.born = dict.fromkeys(vocab.values(), -1)
         self.left: dict[int, int] = {}
         self.trunk: dict[int, tuple[int, int]] = {}  # a label's state: that of another label up to a time
@@ -82,23 +85,29 @@ class MergeAutomaton:
         return found
 
     def encode_word(self, symbols: str) -> list[int]:
-        """The labels of the path that spells ``symbols`` and ends with the word end."""
-        n, ids, begun, step = len(symbols), self.ids, self.begun, self.step
-        reached: list[tuple[int | None, int] | None] = [(None, -1)] + [None] * n  # label, from where
-        for i in range(n):
-            if (here := reached[i]) is None:
-                continue
-            for j in range(i + 1, n + 1):
-                if (piece := symbols[i:j]) not in begun:
+        """The labels of the path that spells ``symbols`` and ends with the word end. Long arcs are tried first; as every
+        beginning of a word has one path at most, a place from which the end was not reached is not tried again."""
+        n, ids, longest, step = len(symbols), self.ids, self.longest, self.step
+        out: list[int] = []
+        begins: list[int] = []
+        dead: set[int] = set()
+        at, last, j = 0, None, min(n, longest)
+        while at < n:
+            while j > at:
+                label = ids.get(symbols[at:j] if j < n else symbols[at:] + END)
+                if label is not None and j not in dead and step(last, label):
                     break
-                label = ids.get(piece if j < n else piece + END)
-                if label is not None and step(here[0], label):
-                    reached[j] = (label, i)
-        out, at = [], n
-        while at > 0:
-            label, at = reached[at]
-            out.append(label)
-        return out[::-1]
+                j -= 1
+            if j > at:
+                out.append(label)
+                begins.append(at)
+                at, last, j = j, label, min(n, j + longest)
+            else:
+                dead.add(at)
+                j, at = at - 1, begins.pop()
+                out.pop()
+                last = out[-1] if out else None
+        return out
 
 
 class _Chunks(dict):
