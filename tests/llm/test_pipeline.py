@@ -73,6 +73,16 @@ def test_rows_that_repeat(spark):
 
 
 
+def test_columns_of_any_name_stay(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(rng, 6), "en", "s0", 9, "x", 7) for i in range(4)]
+    docs = spark.createDataFrame(rows, SCHEMA.replace("id string, size int", "`m.k` string, `a``b` int"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[-2:] == ["m.k", "a`b"] and {(r["m.k"], r["a`b"]) for r in docs.collect()} == {("x", 7)}
+    assert corpus_pipeline.token_ids(spark, docs, "").count() == docs.count()
+
+
 def test_a_mention_in_a_long_line_is_clean(spark):
     rng = np.random.default_rng(6)
     long, more = prose(rng, 8), prose(rng, 8)
