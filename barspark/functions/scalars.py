@@ -174,6 +174,11 @@ def range_place(low: Column, high: Column, now: Column, pad: float = 0.08) -> Co
     return F.when(there, F.struct(place(a).alias("start"), place(b).alias("end"), place(now).alias("at")))
 
 
+def in_millions(series: Column) -> Column:
+    """Amounts of a series in millions; what is missing stays so."""
+    return F.transform(series, lambda x: x.cast("double") / 1e6)
+
+
 def table_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 

@@ -77,6 +77,13 @@ def by_symbol(docs: DataFrame, links: DataFrame) -> DataFrame:
     return docs.join(roles, "doc_id")
 
 
+def with_flag(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """``docs`` with ``csv_flag``: 1 or 0 where the list of the day of ``submit_at`` has the document (its first entry counts),
+    null where it hasn't or is missing. ``listed``: ``day, pos, doc_id, csv_flag`` (text)."""
+    first = listed.groupBy("day", "doc_id").agg(F.coalesce(F.min_by("csv_flag", "pos") == "1", F.lit(False)).cast("int").alias("csv_flag"))
+    return docs.withColumn("day", F.to_date("submit_at")).join(first, ["day", "doc_id"], "left").drop("day")
+
+
 def counts(listed: DataFrame) -> DataFrame:
     cat, gone = category(F.col("doc_type")), F.coalesce(F.col("withdrawal") == 1, F.lit(False))
     each = [F.count_if(cat == c).alias(c) for c in ("report", "supply", "other")]

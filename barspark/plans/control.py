@@ -466,6 +466,14 @@ def _place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("symbol", "date", "x.*"), "symbol", "date", "start", "end", "at")
 
 
+@_query("series_millions", """SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_totalprice AS DOUBLE) / 1e6 END, 9) AS millions FROM orders""")
+def _millions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    point = F.struct("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("amount"))
+    series = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(point)).alias("s"))
+    pairs = series.select(F.explode(F.arrays_zip(F.col("s.o_orderkey").alias("k"), sc.in_millions(F.col("s.amount")).alias("v"))).alias("x"))
+    return pairs.select(F.col("x.k").alias("o_orderkey"), F.round("x.v", 9).alias("millions"))
+
+
 @_query("escapes", """SELECT p_partkey, p_name || '\\|<b> & "' AS cell, 'a&amp;b &lt;' || p_name || '&gt; &quot;x&quot; &#x27;' AS html FROM part""")
 def _escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell, html = F.concat("p_name", F.lit('|<b>\n& "')), F.concat(F.lit("a&b <"), "p_name", F.lit("> \"x\" '"))

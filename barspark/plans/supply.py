@@ -304,6 +304,14 @@ def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.withColumn("nth", F.row_number().over(order)).where("nth <= 6").select("symbol", "doc_id", "submit_at", "nth")
 
 
+@_query("csv_flags", f"""WITH {_LINKS} SELECT doc_id, CASE WHEN withdrawal = 1 THEN NULL WHEN doc_type IN ('120','130','140','150','160','170') THEN 1 ELSE 0 END AS csv_flag FROM filings""")
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = filings(spark, sf_dir)
+    entry = docs.where(~F.coalesce(F.col("withdrawal") == 1, F.lit(False))).select(F.to_date("submit_at").alias("day"), F.lit(0).alias("pos"), "doc_id", F.when(F.col("doc_type").isin(*fil.REPORT), "1").when(F.col("doc_type").isin(*fil.SUPPLY), "0").alias("csv_flag"))
+    again = entry.withColumns({"pos": F.lit(1), "csv_flag": F.lit("1")})  # later entries of a document don't count
+    return fil.with_flag(docs, entry.unionByName(again)).select("doc_id", "csv_flag")
+
+
 @_query("stock_coverage", f"""WITH {BARS}, st AS (SELECT * FROM (VALUES ('A'), ('N'), ('R'), ('Z')) t(symbol)) SELECT st.symbol, count("date") AS n, min("date") AS first_date, max("date") AS last_date
 FROM st LEFT JOIN bars ON bars.symbol = st.symbol GROUP BY 1""")
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
