@@ -7,7 +7,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_rules, mixing, multi_index, quotation, rule_ensemble, simhash, suffix_dedup, url_rules
+from . import (
+    bpe, language_id, license_scan, line_rules, middle, mixing, multi_index, part_codes, quotation, rule_ensemble, simhash, suffix_dedup, url_rules,
+)
 from .common import table
 
 
@@ -213,6 +215,57 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base, names = F.filter("places", lambda x: x["kind"] == "base"), lambda xs: F.array_join(F.array_sort(F.array_distinct(xs["label"])), ",")
+    starts = F.col("base")["word"]
+    return found.withColumn("base", base).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(F.col("base")).alias("base_labels"),
+        names(F.col("places")).alias("labels"),
+        (F.coalesce(F.array_max(F.col("places")["level"]), F.lit(0)) / 100).alias("score"),
+    )
+
+
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = part_codes.encode(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return part_codes.with_label_errors(coded.rows).select(
+        F.col("id").alias("vec_id"), F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(coded.digest()).alias("codebooks_sha256")
+    )
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.rearrange(table(spark, sf_dir, "documents"))
+    again = middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+    ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES = {
     "op1_cross_parsing": op1_cross_parsing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -225,6 +278,9 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op10_quality_rules": op10_quality_rules,
+    "op11_license_scan": op11_license_scan,
+    "op12_part_codes": op12_part_codes,
+    "op13_middle": op13_middle,
 }
 #: The others can't be told in SQL; tests hold them against brute force, exact round trips or held-out labels.
-ORACLE_SQL = {"op3_url_rules": OP3_SQL, "op5_quotation": OP5_SQL, "quoted_replies": QUOTED_REPLIES_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op3_url_rules": OP3_SQL, "op5_quotation": OP5_SQL, "quoted_replies": QUOTED_REPLIES_SQL, "op10_quality_rules": OP10_SQL, "op13_middle": OP13_SQL}
