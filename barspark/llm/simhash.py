@@ -10,18 +10,19 @@ the blocks, which keeps the number of copies low and the number of anchors high
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate, combinations, product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import alike as exact
 from .common import stored
 from .graph import components, forest
 
@@ -34,8 +35,7 @@ class Scheme:
     """``words`` a shingle, ``prints`` fingerprints of 64 bits a text, ``tables``: the blocks of each table, by number of
     block; fingerprints meet if all blocks of a table together differ in ``threshold`` bits at most, and link if the
     first ``compared`` fingerprints together differ in ``max_bits`` at most. ``distinct``: a shingle counts once a text,
-    however often it stands there. ``all_bits``: in how many bits all fingerprints together may differ where ``alike`` looks
-    at each pair."""
+    however often it stands there."""
 
     words: int = 3
     prints: int = 1
@@ -44,7 +44,6 @@ class Scheme:
     compared: int = 1
     max_bits: int = 2
     distinct: bool = False
-    all_bits: int = 64
     salt: int = field(default=0x9E3779B97F4A7C15)
 
 
@@ -52,8 +51,9 @@ def for_similarity(similarity: float = 0.8, words: int = 5, prints: int = 8, com
     """Every block of 23 bits is a table of its own. Texts whose shingle sets have the given Jaccard similarity differ in
     a share acos(2 J / (1 + J)) / pi of the bits on average; ``spread`` times the spread of that number is allowed above it."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    few, all_ = (int(n * share + spread * math.sqrt(n * share * (1 - share))) for n in (64 * compared, 64 * prints))
-    return Scheme(words, prints, tuple((i,) for i in range(64 * prints // BITS)), 1, compared, few, distinct=True, all_bits=all_)
+    bits = 64 * compared
+    most = int(bits * share + spread * math.sqrt(bits * share * (1 - share)))
+    return Scheme(words, prints, tuple((i,) for i in range(64 * prints // BITS)), 1, compared, most, distinct=True)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -203,12 +203,7 @@ def _compare_large(prints: np.ndarray, owners: np.ndarray, most: int) -> Iterato
     yield from _near(prints, owners[~together], rows, most)
 
 
-def _compare_all(prints: np.ndarray, owners: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All near pairs of an owner and a row."""
-    return _near(prints, owners, np.arange(len(prints)), most)
-
-
-def _pairs(anchor: np.ndarray, own: np.ndarray, prints: np.ndarray, most: int, among: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(anchor: np.ndarray, own: np.ndarray, prints: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Near pairs among rows in order of anchor: owners against all of their anchor, in blocks of bounded size."""
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[starts, len(anchor)])
@@ -220,7 +215,7 @@ def _pairs(anchor: np.ndarray, own: np.ndarray, prints: np.ndarray, most: int, a
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         mine = owners[large][lo:hi]
         first, n = starts[group[mine[0]]], sizes[group[mine[0]]]
-        for left, right in among(prints[first : first + n], mine - first, most):
+        for left, right in _compare_large(prints[first : first + n], mine - first, most):
             yield first + left, first + right
     # small ones all at once
     small = owners[~large]
@@ -239,42 +234,15 @@ def _pairs(anchor: np.ndarray, own: np.ndarray, prints: np.ndarray, most: int, a
 def _compare(anchor: np.ndarray, own: np.ndarray, ids: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows in order of anchor, thinned."""
     a, b = np.empty(0, ids.dtype), np.empty(0, ids.dtype)
-    for left, right in _pairs(anchor, own, prints, most, _compare_large):
+    for left, right in _pairs(anchor, own, prints, most):
         a, b = np.concatenate([a, ids[left]]), np.concatenate([b, ids[right]])
         if len(a) > LINKS:
             a, b = forest(a, b)
     return forest(a, b) if len(a) else (a, b)
 
 
-#: Pairs whose blocks a task counts at once.
-COUNTED = 50_000
-
-
-def _apart(anchor: np.ndarray, own: np.ndarray, ids: np.ndarray, prints: np.ndarray, part: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All near pairs of different parts among rows in order of anchor, smaller id first. A pair that is sure to meet, in the
-    tables whose blocks differ in ``threshold`` bits at most, is given by the first of them alone, at its smaller id's anchor."""
-    raw = prints.view(np.uint8).reshape(len(prints), -1)
-    table = anchor >> BITS * len(scheme.tables[0])
-    for left, right in _pairs(anchor, own, prints, scheme.max_bits, _compare_all):
-        other = part[left] != part[right]
-        left, right = left[other], right[other]
-        for at in range(0, len(left), COUNTED):
-            a, b = left[at : at + COUNTED], right[at : at + COUNTED]
-            bits = np.unpackbits(raw[a] ^ raw[b], axis=1, bitorder="little")
-            far = bits[:, : bits.shape[1] // BITS * BITS].reshape(len(a), -1, BITS).sum(axis=2, dtype=np.int64)
-            meets = np.stack([far[:, list(blocks)].sum(axis=1) <= scheme.threshold for blocks in scheme.tables], axis=1)
-            here = ~meets.any(axis=1) | (table[a] == meets.argmax(axis=1)) & (ids[a] < ids[b])
-            x, y = ids[a[here]], ids[b[here]]
-            if len(x):
-                found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield found[0], found[1]
-
-
 def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
-    """``id`` (long), ``print`` of different texts -> ``a, b``: links whose components are those of all near pairs. With a
-    column ``part`` (long) instead all near pairs of different parts, some of them more than once; all fingerprints are to be
-    compared then."""
-    parted = "part" in distinct.columns
+    """``id`` (long), ``print`` of different texts -> ``a, b``: links whose components are those of all near pairs."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,11 +251,10 @@ def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 short = np.array([x.tobytes() for x in raw[:, : 8 * scheme.compared]], dtype=object)
-                more = [part.column(2).to_numpy(zero_copy_only=False)] if parted else []
                 for row, key, own in anchors(blocks_of(raw), scheme):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(np.full(len(key), own)), pa.array(ids[row]), pa.array(short[row], pa.binary()), *[pa.array(m[row]) for m in more]],
-                        names=["anchor", "own", "id", "print", "part"][: 4 + len(more)],
+                        [pa.array(key), pa.array(np.full(len(key), own)), pa.array(ids[row]), pa.array(short[row], pa.binary())],
+                        names=["anchor", "own", "id", "print"],
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +266,8 @@ def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
             end = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
             now = [c[:end] for c in cols]
             held = [tuple(c[end:] for c in cols)]
-            for a, b in _apart(*now, scheme) if parted else filter(lambda x: len(x[0]), [_compare(*now, scheme.max_bits)]):
+            a, b = _compare(*now, scheme.max_bits)
+            if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         rows = 0
@@ -309,7 +277,7 @@ def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
                 continue
             held.append((
                 batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(),
-                np.frombuffer(raw, np.uint64).reshape(batch.num_rows, -1), *[c.to_numpy() for c in batch.columns[4:]],
+                np.frombuffer(raw, np.uint64).reshape(batch.num_rows, -1),
             ))
             rows += batch.num_rows
             if rows >= ROWS:
@@ -318,8 +286,7 @@ def links(distinct: DataFrame, scheme: Scheme) -> DataFrame:
         if held:
             yield from flush(True)
 
-    more = ["part"] if parted else []
-    placed = distinct.select("id", "print", *more).mapInArrow(place, "anchor long, own boolean, id long, print binary" + ", part long" * parted)
+    placed = distinct.select("id", "print").mapInArrow(place, "anchor long, own boolean, id long, print binary")
     return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
@@ -343,19 +310,14 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     return prints.join(named, prints["print"] == named["p"]).select("id", "print", "component")
 
 
-#: Texts of a group of candidates that the rest of it is checked against before any others, by round.
-CENTRES = (32, 128)
-
-
 def alike(docs: DataFrame, similarity: float, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: id, ``component`` (the smallest id that links reach), where a link is a pair that the
-    scheme finds and whose sets of shingles have the given Jaccard similarity. Shingles are compared by 64-bit hashes.
-
-    Texts with one set are one node, however many they are; texts without a word are one. The thinned links of the scheme are
-    checked first. Where one is wrong, those outside their group's largest part are checked against a few texts of the group
-    (``CENTRES``), more of them each round, so that a group with many links comes together in work that grows with its rows.
-    Then all near pairs between the parts that are left are checked: a wrong link neither joins two texts nor hides a right one. A null id is never a component unless all of it is null. Rows that
-    repeat each give a row; an empty table gives none.
+    """A row for each row of ``docs``: id, ``component`` (the smallest id that links reach), where a link is a pair of one group
+    of the scheme's candidates whose sets of shingles have the given Jaccard similarity. Shingles are compared by 64-bit hashes.
+
+    Texts with one set are one node, however many they are; texts without a word are one. The scheme's links, thinned, tell
+    which texts can have to do with each other at all; in these groups the sets themselves are compared (``alike.links``), so
+    that a wrong link neither joins two texts nor hides a right one. A null id is never a component unless all of it is null.
+    Rows that repeat each give a row; an empty table gives none.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("h"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -372,50 +334,17 @@ def alike(docs: DataFrame, similarity: float, scheme: Scheme, id_col: str = "doc
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingles(text.as_py(), scheme)).view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
+            found = [np.unique(shingles(text.as_py(), scheme)).view(np.int64) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], names=["node", "root", "set"])
 
     prints = stored(rows.mapInArrow(printed, f"id {kind}, h long, node long, print binary"), "prints")
     nodes = prints.groupBy("node").agg(F.min("print").alias("print"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("one"))
     nodes = stored(nodes, "nodes")
-    near = stored(links(nodes.select(F.col("node").alias("id"), "print"), scheme).distinct(), "near")
-    loose = components(near)
-    ones = nodes.join(loose, "node", "left_semi").select("node", F.col("one.id").alias("i"), F.col("one.h").alias("g"))
-    texts = rows.join(ones, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("node", "text")
-    shingled = stored(texts.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "shingles")
-
-    def right(pairs: DataFrame) -> DataFrame:
-        """The pairs that are as alike as asked."""
-        for end in ("a", "b"):
-            pairs = pairs.join(shingled.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        return pairs.where(both >= (F.size("set_a") + F.size("set_b") - both) * F.lit(similarity) - 1e-9).select("a", "b")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, other = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in batch.columns[2:])
-                yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64) <= scheme.all_bits))
-
-    def apart(sure: DataFrame) -> DataFrame:
-        """``node, root, part, print`` of the groups of candidates that the links leave in several parts."""
-        part = components(sure).withColumnRenamed("root", "part")
-        parts = stored(loose.join(part, "node", "left").select("node", "root", F.coalesce("part", "node").alias("part")), "parts")
-        sizes = parts.groupBy("root", "part").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("root").agg(F.count("*").alias("several"), F.max_by("part", F.struct("n", "part")).alias("main")).where("several > 1")
-        return parts.join(split, "root").join(nodes, "node").select("node", "root", "part", (F.col("part") == F.col("main")).alias("main"), "print")
-
-    sure = stored(right(near), "sure")
-    for turn, number in enumerate(CENTRES):
-        rest = stored(apart(sure), "rest")
-        nth = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
-        centres = rest.withColumn("nth", nth).where(F.col("nth") <= number).select("root", F.col("node").alias("b"), F.col("part").alias("theirs"), F.col("print").alias("print_b"))
-        offered = rest.where("not main").join(centres, "root").where("part <> theirs").select(F.col("node").alias("a"), "b", "print", "print_b")
-        sure = stored(sure.unionByName(right(offered.mapInArrow(close, "a long, b long"))), "sure")
-    # all fingerprints tell texts below the similarity from those above it more sharply, and these rows are few
-    left = apart(sure).select(F.col("node").alias("id"), "print", "part")
-    more = stored(links(left, replace(scheme, compared=scheme.prints, max_bits=scheme.all_bits)).distinct(), "near")
-    roots = components(sure.unionByName(right(more)))
+    loose = components(links(nodes.select(F.col("node").alias("id"), "print"), scheme))
+    ones = nodes.join(loose, "node").select("node", "root", F.col("one.id").alias("i"), F.col("one.h").alias("g"))
+    texts = rows.join(ones, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("node", "root", "text")
+    grouped = stored(texts.mapInArrow(sets, "node long, root long, set array<long>").dropDuplicates(["node"]), "shingles")
+    roots = components(exact.links(grouped, similarity))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stored(rooted.groupBy("root").agg(F.min("one.id").alias("component")), "least")
     return prints.join(rooted.select("node", "root").join(least, "root"), "node").select("id", "component")

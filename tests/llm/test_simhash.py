@@ -152,20 +152,3 @@ def test_large_anchors_give_the_same_components(monkeypatch):
         root[a] = b
         found.append(root.tolist())
     assert found[0] == found[1] == found[2] == found[3] and 8 < len(set(found[0])) < 1000
-
-
-def test_a_pair_that_meets_often_is_not_lost_and_rarely_repeated():
-    scheme = simhash.for_similarity(0.8, words=5, prints=2, compared=2)
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, 16, dtype=np.uint8)
-    raw = np.stack([base ^ np.packbits(rng.random(128) < 0.06) for _ in range(60)])
-    ids, part = rng.permutation(60), np.arange(60) % 7
-    placed = [np.concatenate(c) for c in zip(*[(row, key, np.full(len(row), own)) for row, key, own in simhash.anchors(simhash.blocks_of(raw), scheme)], strict=True)]
-    order = np.argsort(placed[1], kind="stable")
-    row, key, own = (c[order] for c in placed)
-    prints = np.ascontiguousarray(raw[row]).view(np.uint64)
-    every = [(a, b) for left, right in simhash._pairs(key, own, prints, scheme.max_bits, simhash._compare_all) for a, b in zip(row[left], row[right], strict=True)]
-    want = {tuple(sorted((int(ids[a]), int(ids[b])))) for a, b in every if part[a] != part[b]}
-    found = [(int(x), int(y)) for a, b in simhash._apart(key, own, ids[row], prints, part[row], scheme) for x, y in zip(a, b, strict=True)]
-    assert want and set(found) == want
-    assert len(found) < len(every) / 2
