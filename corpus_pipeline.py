@@ -44,7 +44,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents whose sets of five-word shingles are alike by 0.8 or more, through others too, the smallest id stays;
-    fingerprints find the pairs and the sets themselves decide. Of rows that have one key and one text, one. Rows of one key with different texts stay together or go together."""
+    fingerprints find the groups and the sets themselves decide in them. Of rows that have one key and one text, one. Rows of one key with different texts stay together or go together."""
     rows = _packed(docs)
     found = simhash.alike(rows, 0.8, simhash.for_similarity(0.8, words=5, prints=12, spread=3), id_col="id")
     stay = found.where(F.col("id") == F.col("component")).select("id").distinct()
@@ -53,13 +53,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE bytes that come again, in any document, go wherever they are; a character cut in two goes."""
+    """Passages of PASSAGE bytes that come again, in any document, go wherever they are; a character cut in two goes. A null text
+    stays null; rows without an id are known by text and source, so that rows that repeat lose what they share with each other."""
     done = suffix_dedup.remove_repeats(_packed(docs), PASSAGE, id_col="id", carry="row")
     return _unpacked(done, docs, F.when(F.size("spans") > 0, F.col("kept_text")).otherwise(F.col("row.text")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target weight has it: not at all, or up to three times."""
+    """Every document as often as its source's target weight has it: not at all, or up to three times. A null text has size 0 and
+    comes at most as often as the mix says; null sources are one source. Of rows that repeat, in id, source and size, each has a
+    number of its own: those of one key are put in order in one task."""
     rows = _packed(docs)
     group = ["id", "skey", "size"]
     by_source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("skey")
@@ -74,7 +77,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded text of every document of the mix."""
+    """doc_id, n_tokens, ids and decoded text of every document of the mix. A null text has no ids and an empty decoded text; a
+    null doc_id stays null."""
     coded = bpe.encode_decode(docs, tokenizer_file())
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
