@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import BARS, bars
+from ..operators import blocks
 from ..operators import indicators as ind
 from ..operators import signals as sig
 
@@ -205,6 +206,7 @@ for _key, _columns in (
 ):
     _register(_key, lambda b: ind.indicators(b, with_frames=False), _columns, PANEL, "panel", recursive=True)
 _register("ind_all", ind.panel, ind.COLUMNS, PANEL, "panel", recursive=True)
+_register("ind_blocks", lambda b: blocks.indicators(b), ind.COLUMNS, PANEL, "panel", recursive=True)
 
 
 def _query(key: str, sql: str):
