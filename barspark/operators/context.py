@@ -5,8 +5,12 @@ Only bars, indicators, filings and fundamentals come here, never supply reports.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.scalars import number_tokens
 
 RAW = 20
 LEVEL = ("macd", "macd_signal", "momentum", "momentum_signal", "stddev", "parabolic")
@@ -47,39 +51,65 @@ def indicator_summary(older: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return by.withColumn("direction", direction(F.col("start_value"), F.col("end_value"), F.col("indicator").isin(*PERCENT_KIND)))
 
 
-def decimals(token: Column) -> Column:
+def tokens(rows: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each number or date of a text, with ``place`` (from 0) and ``token``; the other columns stay, the text too."""
+    return rows.select("*", F.posexplode(number_tokens(F.col(text))).alias("place", "token"))
+
+
+@F.pandas_udf(T.StringType())
+def _shown(token: pd.Series, decimals: pd.Series) -> pd.Series:
+    """The number as a double at so many decimals, rounded by its exact value; with -1 as short as it can be read back."""
+    values = token.str.replace(",", "").astype(float)
+    return pd.Series([str(v) if d < 0 else f"{v:.{d}f}" for v, d in zip(values, decimals, strict=True)], dtype=object)
+
+
+def _is_date(token: Column) -> Column:
+    return token.rlike(r"^\d{4}-\d{2}-\d{2}$")
+
+
+def _decimals(token: Column) -> Column:
     return F.length(F.regexp_extract(token, r"\.(\d+)$", 1))
 
 
-def verify(claims: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
-    """Of the number tokens of a claim, how many its sources have: ``key, checked, found``.
+def judged(claims: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
+    """``claims`` (the key, ``token`` and any others) with ``found``: whether the sources of their key have the token. Whole numbers
+    from 1 to 10 are left out.
 
-    Dates must be the same. Numbers agree if one equals the other rounded to its decimals, so both are compared at the
-    lesser number of decimals: each source number is offered at all its lesser precisions, and a hash join finds it.
-    Whole numbers from 1 to 10 are left out. Equal tokens of a key are judged once and counted as often as they come.
+    Dates must be the same. Numbers agree if one is the other at the decimals of either, whatever the number of digits. Every
+    number is written at its own decimals and at those that the other side has in its key, and hash joins find what agrees.
+    A claim whose key has no sources isn't found; a null key meets null keys.
     """
-    date = F.col("token").rlike(r"^\d{4}-\d{2}-\d{2}$")
-
-    def forms(token: str) -> Column:
-        """The token's number at each number of decimals up to its own."""
-        bare = F.regexp_replace(token, ",", "")
-        as_number = bare.try_cast("decimal(38,10)")
-        levels = F.transform(F.sequence(F.lit(0), F.least(decimals(bare), F.lit(10))), lambda d: F.struct(d.alias("d"), _rounded(as_number, d).alias("v")))
-        return levels
-
-    small = ~F.col("token").rlike("[,.]") & F.col("token").try_cast("int").between(1, 10)
-    asked = claims.where(date | ~F.coalesce(small, F.lit(False))).groupBy(*key, "token").agg(F.count("*").alias("times"))
-    own = sources.select(*key, "token").distinct()
-    said = asked.where(~date).select(*key, "token", decimals(F.col("token")).alias("own_d"), F.explode(forms("token")).alias("f")).select(*key, "token", "own_d", "f.*")
-    there = own.where(~date).select(*key, decimals(F.col("token")).alias("their_d"), F.explode(forms("token")).alias("f")).select(*key, "their_d", "f.*").distinct()
-    # at the claim's own decimals or at the source's own: whichever has fewer
-    hit = said.join(there, [*key, "d", "v"]).where((F.col("d") == F.col("own_d")) | (F.col("d") == F.col("their_d"))).select(*key, "token").distinct()
-    same = asked.where(date).join(own, [*key, "token"], "left_semi").select(*key, "token")
-    marked = asked.join(hit.unionByName(same).withColumn("ok", F.lit(True)), [*key, "token"], "left")
-    return marked.groupBy(*key).agg(F.sum("times").alias("checked"), F.sum(F.when(F.col("ok"), F.col("times")).otherwise(0)).alias("found"))
-
-
-def _rounded(x: Column, d: Column) -> Column:
-    """Half to even at a number of decimals that differs by row."""
-    scaled = x * F.pow(F.lit(10.0), d).cast("decimal(20,0)")
-    return (F.bround(scaled, 0).cast("double") / F.pow(F.lit(10.0), d)).cast("string")
+    names = [f"_k{i}" for i in range(len(key))]
+    packed = lambda df: df.select(*[F.coalesce(F.to_json(F.struct(k)), F.lit("")).alias(n) for k, n in zip(key, names, strict=True)], "token")
+    token = F.col("token")
+    small = F.coalesce(~token.rlike("[,.]") & token.try_cast("int").between(1, 10), F.lit(False))
+    asked = claims.where(token.isNotNull() & ~small)
+    own, theirs = packed(asked).distinct(), packed(sources.where(token.isNotNull())).distinct()
+    told = [df.where(~_is_date(token)).withColumn("d", _decimals(token)) for df in (own, theirs)]
+    written = [df.withColumn("v", _shown("token", "d")) for df in told]
+
+    def at_others(df: DataFrame, other: DataFrame) -> DataFrame:
+        """The numbers at each number of decimals that the other side has."""
+        return df.drop("d").join(other.select(*names, "d").distinct(), names).withColumn("v", _shown("token", "d"))
+
+    on = [*names, "d", "v"]
+    hits = [
+        written[0].join(at_others(told[1], told[0]).select(*on).distinct(), on, "left_semi"),
+        at_others(told[0], told[1]).join(written[1].select(*on).distinct(), on, "left_semi"),
+    ]
+    same = own.where(_is_date(token)).join(theirs, [*names, "token"], "left_semi")
+    hit = hits[0].select(*names, "token").unionByName(hits[1].select(*names, "token")).unionByName(same).distinct().withColumn("found", F.lit(True))
+    keyed = asked.withColumns({n: F.coalesce(F.to_json(F.struct(k)), F.lit("")) for k, n in zip(key, names, strict=True)})
+    return keyed.join(hit, [*names, "token"], "left").withColumn("found", F.coalesce("found", F.lit(False))).select(*claims.columns, "found")
+
+
+def verify(claims: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
+    """``key, checked, found, rate``: how many of a key's tokens its sources have. A key without a token to check has no row."""
+    by = judged(claims, sources, key).groupBy(*key).agg(F.count("*").alias("checked"), F.count_if("found").alias("found"))
+    return by.withColumn("rate", F.col("found") / F.col("checked"))
+
+
+def missing(claims: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
+    """The claims that their sources don't have, with ``number``: a number as a double reads, a date as it stands."""
+    gone = judged(claims, sources, key).where("not found").drop("found")
+    return gone.withColumn("number", F.when(_is_date(F.col("token")), F.col("token")).otherwise(_shown(F.when(_is_date(F.col("token")), "0").otherwise(F.col("token")), F.lit(-1))))

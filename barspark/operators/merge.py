@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -13,8 +13,10 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return best.select(*key, *[F.col("v").getField(c).alias(c) for c in rest])
 
 
-def last_writer_wins(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    return latest(old.unionByName(new), key, [F.col(order)])
+def last_writer_wins(old: DataFrame, new: DataFrame, key: list[str], order: str, place: str) -> DataFrame:
+    """By batch (``order``), and within one by the row's ``place`` in it, so that rows of one batch and key give the same however
+    they are partitioned."""
+    return latest(old.unionByName(new), key, [F.col(order), F.col(place)])
 
 
 def keep_old_where_missing(old: DataFrame, new: DataFrame, key: list[str], fixed: tuple[str, ...] = ()) -> DataFrame:
@@ -26,9 +28,42 @@ def keep_old_where_missing(old: DataFrame, new: DataFrame, key: list[str], fixed
     return both.select(*key, *pick)
 
 
-def final_over_prelim(rows: DataFrame, key: list[str]) -> DataFrame:
-    """A final row is never replaced by a preliminary one; of one kind the newer batch wins."""
-    return latest(rows, key, [F.col("kind") == "final", F.col("batch")])
+def final_over_prelim(rows: DataFrame, key: list[str], place: str) -> DataFrame:
+    """A final row is never replaced by a preliminary one; of one kind the newer batch wins, and in a batch the later ``place``."""
+    return latest(rows, key, [F.col("kind") == "final", F.col("batch"), F.col(place)])
+
+
+def balance_outcomes(kept: DataFrame, batch: DataFrame, registered: DataFrame) -> DataFrame:
+    """What a batch of balances does for each registered symbol: its row with ``outcome`` saved, skipped (it is preliminary and a
+    final one is kept for its day) or missing (the batch has no row).
+
+    ``kept``: symbol, date, kind and others; ``batch``: code, ``place`` and the columns of ``kept`` but the symbol, of a code the row of
+    the last place counts; ``registered``: symbol, code, a row a symbol.
+    """
+    last = latest(batch, ["code"], [F.col("place")])
+    had = kept.select("symbol", "date", F.col("kind").alias("_had"))
+    asked = registered.select("symbol", "code").join(last.withColumn("_there", F.lit(True)), "code", "left").join(had, ["symbol", "date"], "left")
+    over = (F.col("_had") == "final") & (F.col("kind") != "final")
+    outcome = F.when(F.col("_there").isNull(), "missing").when(over, "skipped").otherwise("saved")
+    return asked.withColumn("outcome", outcome).drop("_there", "_had", "place")
+
+
+def save_balances(kept: DataFrame, batch: DataFrame, registered: DataFrame, counts: Observation) -> DataFrame:
+    """``kept`` after the batch; ``counts`` has saved, skipped and missing once the result was computed, by the same pass."""
+    counted = [F.count_if(F.col("outcome") == k).alias(k) for k in ("saved", "skipped", "missing")]
+    judged = balance_outcomes(kept, batch, registered).observe(counts, *counted)
+    saved = judged.select(*kept.columns, "outcome")
+    both = kept.withColumn("outcome", F.lit("kept")).unionByName(saved)
+    # only a saved row replaces; a skipped one and that of a missing symbol have no say, but are counted on their way here
+    best = latest(both.withColumn("_rank", F.when(F.col("outcome") == "saved", 1).otherwise(0)), ["symbol", "date"], [F.col("outcome").isin("kept", "saved"), F.col("_rank")])
+    return best.where(F.col("outcome").isin("kept", "saved")).select(*kept.columns)
+
+
+def replace_linked(old: DataFrame, new: DataFrame, links: DataFrame, key: str, place: str) -> DataFrame:
+    """Rows whose key has a link are taken over whole, whatever was there; new rows without a link are dropped. Of several new rows of
+    a key the last ``place`` counts."""
+    linked = latest(new.join(links.select(key).distinct(), key, "left_semi"), [key], [F.col(place)])
+    return old.join(linked.select(key), key, "left_anti").unionByName(linked.select(*old.columns))
 
 
 def replace_suffix(old: DataFrame, new: DataFrame, group: str, date: str) -> DataFrame:

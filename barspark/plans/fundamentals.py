@@ -237,18 +237,33 @@ def _indicator_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(context.indicator_summary(older, _SHOWN), "symbol", "indicator", "start_value", "end_value", "low", "high", "direction")
 
 
-@_query("verify_numbers", r"""WITH t AS (SELECT doc_id, doc_id % 50 AS grp, unnest(regexp_extract_all(coalesce(text, ''), '(\d{4}-\d{2}-\d{2}|-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?)')) AS token FROM documents),
-c AS (SELECT row_number() OVER () AS id, grp, token FROM t WHERE doc_id % 2 = 0 AND NOT (NOT regexp_matches(token, '[,.]') AND coalesce(TRY_CAST(token AS INT) BETWEEN 1 AND 10, false))),
-s AS (SELECT DISTINCT grp, token FROM t WHERE doc_id % 2 = 1),
-n AS (SELECT *, TRY_CAST(replace(token, ',', '') AS DECIMAL(38,10)) AS v, length(regexp_extract(token, '\.(\d+)$', 1)) AS d FROM c WHERE NOT regexp_matches(token, '^\d{4}-\d{2}-\d{2}$')),
-m AS (SELECT *, TRY_CAST(replace(token, ',', '') AS DECIMAL(38,10)) AS v, length(regexp_extract(token, '\.(\d+)$', 1)) AS d FROM s WHERE NOT regexp_matches(token, '^\d{4}-\d{2}-\d{2}$')),
-hit AS (SELECT DISTINCT id FROM n JOIN m ON n.grp = m.grp AND round_even(CAST(n.v AS DOUBLE), CAST(least(n.d, m.d) AS INT)) = round_even(CAST(m.v AS DOUBLE), CAST(least(n.d, m.d) AS INT))
-  UNION SELECT id FROM c JOIN s ON c.grp = s.grp AND c.token = s.token WHERE regexp_matches(c.token, '^\d{4}-\d{2}-\d{2}$'))
-SELECT grp, count(*) AS checked, count(hit.id) AS found FROM c LEFT JOIN hit ON hit.id = c.id GROUP BY 1""")
+_JUDGED = r"""t AS (SELECT doc_id, doc_id % 50 AS grp, unnest(tok) AS token, unnest(range(len(tok))) AS place FROM (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(\d{4}-\d{2}-\d{2}|-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?)') AS tok FROM documents)),
+k AS (SELECT *, regexp_matches(token, '^\d{4}-\d{2}-\d{2}$') AS dated, CASE WHEN NOT regexp_matches(token, '^\d{4}-\d{2}-\d{2}$') THEN CAST(replace(token, ',', '') AS DOUBLE) END AS v,
+  length(regexp_extract(token, '\.(\d+)$', 1)) AS d FROM t),
+c AS (SELECT * FROM k WHERE doc_id % 2 = 0 AND NOT (NOT regexp_matches(token, '[,.]') AND coalesce(TRY_CAST(token AS INT) BETWEEN 1 AND 10, false))),
+c1 AS (SELECT DISTINCT grp, token, dated, v, d FROM c), s1 AS (SELECT DISTINCT grp, token, dated, v, d FROM k WHERE doc_id % 2 = 1),
+hit AS (SELECT DISTINCT c1.grp, c1.token, true AS ok FROM c1 JOIN s1 ON c1.grp = s1.grp AND c1.dated = s1.dated AND CASE WHEN c1.dated THEN c1.token = s1.token
+  ELSE format('{:.' || c1.d || 'f}', c1.v) = format('{:.' || c1.d || 'f}', s1.v) OR format('{:.' || s1.d || 'f}', c1.v) = format('{:.' || s1.d || 'f}', s1.v) END),
+judged AS (SELECT c.*, coalesce(ok, false) AS found FROM c LEFT JOIN hit ON hit.grp = c.grp AND hit.token = c.token)"""
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 50).alias("grp"), "text")
+    found = context.tokens(docs).drop("text")
+    return found.where("doc_id % 2 = 0"), found.where("doc_id % 2 = 1").select("grp", "token")
+
+
+@_query("verify_numbers", f"WITH {_JUDGED} SELECT grp, count(*) AS checked, count_if(found)::BIGINT AS found, count_if(found) / count(*) AS rate FROM judged GROUP BY 1")
 def _verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    tokens = docs.select("doc_id", (F.col("doc_id") % 50).alias("grp"), F.explode(sc.number_tokens(F.col("text"))).alias("token"))
-    return context.verify(tokens.where("doc_id % 2 = 0").select("grp", "token"), tokens.where("doc_id % 2 = 1").select("grp", "token"), ["grp"])
+    return context.verify(*_claims(spark, sf_dir), ["grp"])
+
+
+@_query("verify_missing", f"""WITH {_JUDGED} SELECT grp, doc_id, CAST(place AS INT) AS place, token, v AS number_value, CASE WHEN dated THEN token END AS day FROM judged WHERE NOT found""")
+def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = context.missing(*_claims(spark, sf_dir), ["grp"])
+    dated = F.col("token").rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return gone.select("grp", "doc_id", "place", "token", F.when(~dated, F.col("number")).cast("double").alias("number_value"), F.when(dated, F.col("number")).alias("day"))
 
 
 _CURRENCY = "CASE WHEN symbol = 'A' THEN 'JPY' ELSE 'USD' END"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import BARS, FILINGS, MARGIN, SHORTS, bars, filings, margin_rows, short_reports, table
@@ -70,7 +70,7 @@ def _margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("merge_final_over_prelim", f"WITH {MARGIN}, {_BEST} SELECT * FROM best")
 def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.latest(_margin(spark, sf_dir), ["symbol", "date"], [F.col("kind") == "final", F.col("batch"), F.col("balance")])
+    return merge.final_over_prelim(_margin(spark, sf_dir), ["symbol", "date"], "balance").select("symbol", "date", "kind", "balance", "batch")
 
 
 @_query("align_to_bars", f"""WITH {MARGIN}, {_BEST}, {BARS} SELECT best.* FROM best SEMI JOIN bars ON bars."date" = best."date" AND bars.symbol = 'A' AND bars."close" > bars."open" """)
@@ -84,11 +84,59 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
 
 
-@_query("merge_lww", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
+@_query("merge_lww", """SELECT o_custkey, arg_max(o_orderkey, (o_orderkey % 3, o_orderkey)) AS o_orderkey, arg_max(o_totalprice, (o_orderkey % 3, o_orderkey)) AS o_totalprice
+FROM orders GROUP BY 1""")
 def _lww(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir).select("o_custkey", "o_orderkey", "o_totalprice")
-    old, new = rows.where("o_orderkey % 3 <> 0"), rows.where("o_orderkey % 3 = 0")
-    return merge.last_writer_wins(old, new, ["o_custkey"], "o_orderkey")
+    rows = _orders(spark, sf_dir).select("o_custkey", (F.col("o_orderkey") % 3).alias("batch"), "o_orderkey", "o_totalprice")
+    old, new = rows.where("batch <> 2"), rows.where("batch = 2")
+    return merge.last_writer_wins(old, new, ["o_custkey"], "batch", "o_orderkey").drop("batch")
+
+
+_BALANCES = """balances AS (SELECT o_custkey % 400 AS code, DATE '1996-01-01' + CAST(o_custkey % 3 + o_orderkey % 2 AS INT) AS "date", CASE WHEN o_orderkey % 3 = 0 THEN 'final' ELSE 'prelim' END AS kind,
+  o_totalprice AS balance, o_orderkey AS place, o_orderstatus FROM orders),
+reg AS (SELECT c_custkey AS code, c_custkey || '.T' AS symbol FROM customer WHERE c_custkey < 500),
+kept AS (SELECT code || '.T' AS symbol, "date", kind, balance FROM (
+  SELECT *, row_number() OVER (PARTITION BY code, "date" ORDER BY kind = 'final' DESC, place DESC) AS n FROM balances WHERE o_orderstatus <> 'F') WHERE n = 1),
+fresh AS (SELECT * FROM balances WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY code ORDER BY place DESC) = 1),
+outcomes AS (SELECT reg.symbol, reg.code, f."date", f.kind, f.balance, CASE WHEN f.code IS NULL THEN 'missing' WHEN k.kind = 'final' AND f.kind <> 'final' THEN 'skipped' ELSE 'saved' END AS outcome
+  FROM reg LEFT JOIN fresh f ON f.code = reg.code LEFT JOIN kept k ON k.symbol = reg.symbol AND k."date" = f."date")"""
+
+
+def _balances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Balances that are kept, a batch, and the registered symbols."""
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        (cust % 400).alias("code"), F.date_add(F.lit("1996-01-01").cast("date"), (cust % 3 + key % 2).cast("int")).alias("date"),
+        F.when(key % 3 == 0, "final").otherwise("prelim").alias("kind"), F.col("o_totalprice").alias("balance"), key.alias("place"), "o_orderstatus", F.lit(1).alias("batch"),
+    )
+    symbol = lambda c: F.concat(F.col(c).cast("string"), F.lit(".T")).alias("symbol")
+    kept = merge.final_over_prelim(rows.where("o_orderstatus <> 'F'").select(symbol("code"), "date", "kind", "balance", "batch", "place"), ["symbol", "date"], "place")
+    registered = table(spark, sf_dir, "customer").where("c_custkey < 500").select(F.col("c_custkey").alias("code"), symbol("c_custkey"))
+    return kept.select("symbol", "date", "kind", "balance"), rows.where("o_orderstatus = 'F'").select("code", "date", "kind", "balance", "place"), registered
+
+
+@_query("balance_outcomes", f"WITH {_BALANCES} SELECT * FROM outcomes")
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.balance_outcomes(*_balances(spark, sf_dir)).select("symbol", "code", "date", "kind", "balance", "outcome")
+
+
+@_query("save_balances", f"""WITH {_BALANCES}, s AS (SELECT * FROM outcomes WHERE outcome = 'saved')
+SELECT symbol, "date", kind, balance FROM s UNION ALL SELECT k.* FROM kept k ANTI JOIN s ON s.symbol = k.symbol AND s."date" = k."date" """)
+def _save(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.save_balances(*_balances(spark, sf_dir), Observation())
+
+
+@_query("merge_linked", """WITH n AS (SELECT o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)),
+l AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM n GROUP BY 1),
+o AS (SELECT o_custkey, max(o_totalprice) AS o_totalprice FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1)
+SELECT o_custkey, round(o_totalprice, 2) + 0.0 AS o_totalprice FROM l UNION ALL SELECT o_custkey, round(o_totalprice, 2) + 0.0 FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM l)""")
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    old = rows.where("o_orderkey % 3 = 1").groupBy("o_custkey").agg(F.max("o_totalprice").alias("o_totalprice"))
+    new = rows.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    links = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    done = merge.replace_linked(old, new, links, "o_custkey", "o_orderkey")
+    return done.select("o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
 @_query("merge_coalesce", """WITH o AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0),

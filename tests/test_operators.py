@@ -44,9 +44,9 @@ def test_runs_and_carry(spark):
 
 def test_merges_are_idempotent_and_independent_of_order(spark):
     margin = spark.createDataFrame([("X", "d", "prelim", 1, 1), ("X", "d", "final", 2, 2), ("X", "d", "prelim", 3, 3), ("X", "e", "final", 4, 4), ("X", "e", "final", 5, 5)], "symbol string, date string, kind string, balance int, batch int")
-    best = merge.final_over_prelim(margin, ["symbol", "date"])
+    best = merge.final_over_prelim(margin, ["symbol", "date"], "balance")
     assert {r.date: r.balance for r in best.collect()} == {"d": 2, "e": 5}
-    again = merge.final_over_prelim(best.unionByName(margin.orderBy(F.desc("batch"))), ["symbol", "date"])
+    again = merge.final_over_prelim(best.unionByName(margin.orderBy(F.desc("batch"))), ["symbol", "date"], "balance")
     assert rows(again, "date") == rows(best.select(*again.columns), "date")
     old = spark.createDataFrame([("k", 1, "a"), ("m", None, "b")], "k string, v int, fixed string")
     new = spark.createDataFrame([("k", None, "z"), ("m", 7, "z"), ("n", 9, "z")], "k string, v int, fixed string")
@@ -152,7 +152,7 @@ def test_scalars(spark):
 def test_verification_rounds_either_way(spark):
     claims = spark.createDataFrame([(1, t) for t in ("1,234.6", "12.345", "2024-01-05", "2024-01-06", "7", "99")], "k int, token string")
     sources = spark.createDataFrame([(1, t) for t in ("1234.56", "12.3", "2024-01-05", "7")], "k int, token string")
-    assert rows(context.verify(claims, sources, ["k"])) == [(1, 5, 3)]
+    assert rows(context.verify(claims, sources, ["k"])) == [(1, 5, 3, 0.6)]
 
 
 def test_csv_for_people(spark, tmp_path):
