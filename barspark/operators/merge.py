@@ -108,5 +108,5 @@ def orphans(rows: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
 def needs_reload(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """``symbol, reload``: a later bar with a split asks for the whole history, otherwise a merge will do."""
     last = stored.groupBy("symbol").agg(F.max("date").alias("last"))
-    split = (F.col("date") > F.col("last")) & (F.coalesce("splits", F.lit(0.0)) != 0)
+    split = (F.col("date") > F.col("last")) & (F.coalesce(F.nanvl("splits", F.lit(0.0)), F.lit(0.0)) != 0)
     return fresh.join(last, "symbol").groupBy("symbol").agg(F.bool_or(split).alias("reload"))
