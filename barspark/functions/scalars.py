@@ -82,36 +82,6 @@ def axis(low: Column, high: Column, zero: bool = False, pad: float = 0.08) -> Co
     return F.struct((lo - (hi - lo) * pad).alias("lo"), (hi + (hi - lo) * pad).alias("hi"))
 
 
-#: What a page's texts are trimmed of.
-_BLANK = "[ \\t\\r\\n\\f\\x0B\\xA0\u3000]+"
-
-
-def _unescaped(text: Column) -> Column:
-    for name, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
-
-def html_text(html: Column) -> Column:
-    """The texts of a page, each between two tags on a line of its own, without script, style, head and comments; runs of blank
-    lines are one."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>", "\x01")
-    bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", "\x01")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", "\x01")
-    texts = F.transform(F.split(bare, "\x01"), lambda x: F.regexp_replace(_unescaped(x), f"^{_BLANK}|{_BLANK}$", ""))
-    return F.regexp_replace(F.array_join(F.filter(texts, lambda x: x != ""), "\n"), r"\n\s*\n+", "\n\n")
-
-
-def html_title(html: Column) -> Column:
-    """The title of a page, else its first heading; null without either."""
-
-    def first(pattern: str) -> Column:
-        bare = F.regexp_replace(F.regexp_extract(html, pattern, 1), r"(?s)<[^>]*>", "")
-        return F.nullif(F.regexp_replace(_unescaped(bare), f"^{_BLANK}|{_BLANK}$", ""), F.lit(""))
-
-    return F.coalesce(first(r"(?is)<title\b[^>]*>(.*?)</title\s*>"), first(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>"))
-
-
 #: Exchange codes and names, a domestic code, notes that are known.
 EXCHANGES = {
     "JPX": "東証",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixtures import BARS, USAGE, bars, table, usage_events
+from ..functions import html
 from ..functions import scalars as sc
 from ..operators import control, metering, supply
 from ..operators import fundamentals as fin
@@ -263,11 +264,11 @@ _EDGE = "[ \\t\\r\\n\\f\\x0B\\xA0　]+"
 @_query("html_to_text", rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', chr(1), 'g'), '(?is)<style\b.*?</style\s*>', chr(1), 'g'),
   '(?is)<head\b.*?</head\s*>', chr(1), 'g') AS t FROM pages),
 b AS (SELECT page_id, string_split(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', chr(1), 'g'), '(?s)<[^>]*>', chr(1), 'g'), chr(1)) AS l FROM a),
-c AS (SELECT page_id, list_transform(l, lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'),
+c AS (SELECT page_id, list_transform(l, lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'),
   '^{_EDGE}|{_EDGE}$', '', 'g')) AS l FROM b)
 SELECT page_id, regexp_replace(array_to_string(list_filter(l, lambda x: x <> ''), chr(10)), '\n\s*\n+', chr(10) || chr(10), 'g') AS text FROM c""")
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", sc.html_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", html.text_of(F.col("html")).alias("text"))
 
 
 @_query("fmt_units", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN format('{:,}', CAST(floor(o_totalprice) * 7 AS BIGINT)) || ' M' WHEN 1 THEN format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || '.25'
@@ -378,20 +379,30 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.code_list(made.select("path", content.alias("content")), "EdinetcodeDlInfo.csv", _CODE_COLUMNS)
 
 
-@_query("filings_parse", """SELECT 'S' || o_orderkey AS doc_id, CAST(o_custkey AS VARCHAR) AS filer, '120' AS doc_type, strftime(o_orderdate, '%Y-%m-%d') || ' 10:00' AS submitted, CAST(o_orderkey % 3 AS INT) AS withdrawal
+@_query("filings_parse", """SELECT 'S' || o_orderkey AS doc_id, CAST(o_custkey AS VARCHAR) AS filer, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'Co ' || o_custkey END AS filer_name, '120' AS doc_type,
+  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-01-01') END AS period_start, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-12-31') END AS period_end,
+  strftime(o_orderdate, '%Y-%m-%d') || ' 10:00' AS submitted, CAST(o_orderkey % 3 AS INT) AS withdrawal, CASE WHEN o_orderkey % 7 <> 0 THEN 1 END AS disclosure,
+  CASE WHEN o_orderkey % 4 = 0 THEN '{"n":' || o_orderkey || '}' END AS extra, o_orderpriority AS priority
 FROM orders WHERE o_orderstatus <> 'P'""")
 def _filing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    item = F.struct(
-        F.concat(F.lit("S"), key.cast("string")).alias("docID"), F.col("o_custkey").cast("string").alias("edinetCode"), F.when(F.col("o_orderstatus") != "P", "120").alias("docTypeCode"),
-        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 10:00")).alias("submitDateTime"), (key % 3).cast("string").alias("withdrawalStatus"),
-    )
-    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.collect_list(item).alias("results"))
-    text = F.to_json(F.struct(F.struct(F.lit("200").alias("status")).alias("metadata"), "results"))
-    docs, _ = files.split_stubs(files.filing_rows(days.select(text.alias("text")).unionAll(spark.createDataFrame([("{ not json",)], "text string"))))
+    key, text = F.col("o_orderkey"), lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    day = F.col("o_orderdate")
+    fields = {
+        "docID": text(F.concat(F.lit("S"), key.cast("string"))), "edinetCode": text(F.col("o_custkey")), "docTypeCode": F.when(F.col("o_orderstatus") != "P", text(F.lit("120"))),
+        "filerName": F.when(key % 5 == 0, key.cast("string")).otherwise(text(F.concat(F.lit("Co "), F.col("o_custkey").cast("string")))),  # a number now and then
+        "periodStart": F.when(key % 2 == 0, text(F.date_format(day, "yyyy-01-01"))).otherwise(text(F.lit(" "))), "periodEnd": F.when(key % 2 == 0, text(F.date_format(day, "yyyy-12-31"))),
+        "submitDateTime": text(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 10:00"))), "withdrawalStatus": F.when(key % 2 == 0, text(key % 3)).otherwise((key % 3).cast("string")),
+        "disclosureStatus": F.when(key % 7 == 0, text(F.lit("?"))).otherwise(text(F.lit("1"))), "extra": F.when(key % 4 == 0, F.concat(F.lit('{"n":'), key.cast("string"), F.lit("}"))),
+        "priority": text(F.col("o_orderpriority")),
+    }
+    item = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), v) for n, v in fields.items()]), F.lit("}"))
+    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.concat_ws(",", F.collect_list(item)).alias("results"))
+    list_ = F.concat(F.lit('{"metadata":{"status":"200"},"results":['), "results", F.lit("]}"))
+    docs, _ = files.split_stubs(files.filing_rows(days.select(list_.alias("text")).unionAll(spark.createDataFrame([("{ not json",)], "text string"))))
     return docs.select(
-        F.col("docID").alias("doc_id"), F.col("edinetCode").alias("filer"), F.col("docTypeCode").alias("doc_type"), F.col("submitDateTime").alias("submitted"),
-        F.col("withdrawalStatus").try_cast("int").alias("withdrawal"),
+        F.col("docID").alias("doc_id"), F.col("edinetCode").alias("filer"), F.col("filerName").alias("filer_name"), F.col("docTypeCode").alias("doc_type"),
+        F.col("periodStart").alias("period_start"), F.col("periodEnd").alias("period_end"), F.col("submitDateTime").alias("submitted"), F.col("withdrawalStatus").alias("withdrawal"),
+        F.col("disclosureStatus").alias("disclosure"), F.try_element_at("other", F.lit("extra")).alias("extra"), F.try_element_at("other", F.lit("priority")).alias("priority"),
     )
 
 

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import html_text, html_title, scrub_number
+from ..functions.html import page
+from ..functions.scalars import scrub_number
 
 TOKYO, FINAL, PRELIM = "東証", "確報", "速報"
 
@@ -191,11 +192,11 @@ def filing_texts(files: DataFrame, most: int = 200_000) -> DataFrame:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 pages = sorted(n for n in archive.namelist() if n.lower().endswith((".htm", ".html")))
                 for pos, name in enumerate([n for n in pages if "PublicDoc/" in n] or pages):
-                    yield path, pos, archive.read(name).decode("utf-8", "replace")
+                    yield path, pos, *page(archive.read(name).decode("utf-8", "replace"))
         except zipfile.BadZipFile:
             pass
 
-    pages = _parsed(files, parse, "path string, pos long, html string").select("path", "pos", html_title(F.col("html")).alias("title"), html_text(F.col("html")).alias("text"))
+    pages = _parsed(files, parse, "path string, pos long, title string, text string")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"]), "\n\n")
     by = pages.groupBy("path").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("pos"))).alias("title"), text.alias("whole"))
     every = files.select("path").join(by, "path", "left").withColumn("whole", F.coalesce("whole", F.lit("")))
@@ -222,21 +223,32 @@ def fact_rows(files: DataFrame) -> DataFrame:
     return _parsed(files, parse, "file string, pos long, element string, context string, unit_id string, value string, doc_period string")
 
 
+#: The fields of the filing list, texts and numbers.
 FILING = (
-    "docID", "edinetCode", "secCode", "docTypeCode", "submitDateTime", "docDescription", "issuerEdinetCode", "subjectEdinetCode", "parentDocID",
-    "withdrawalStatus", "disclosureStatus",
+    "docID", "edinetCode", "secCode", "filerName", "issuerEdinetCode", "subjectEdinetCode", "docTypeCode", "formCode", "ordinanceCode", "docDescription",
+    "currentReportReason", "periodStart", "periodEnd", "submitDateTime", "parentDocID",
 )
+FILING_NUMBERS = ("withdrawalStatus", "disclosureStatus")
 
 
 def filing_rows(days: DataFrame) -> DataFrame:
-    """Daily lists as JSON in ``text``, one a row: the results as rows. A text that is no JSON is skipped; a list whose status
-    isn't 200 is an error, never a day without filings."""
-    item = ", ".join(f"{c}: string" for c in FILING)
-    read = days.select(F.from_json("text", f"metadata struct<status: string>, results array<struct<{item}>>").alias("day"))
-    status = F.col("day.metadata.status")
+    """Daily lists as JSON in ``text``, one a row: the results as rows, with ``other``: whatever fields a result has beside the known
+    ones, as text. A text that is no JSON is skipped; a list whose status isn't 200 is an error, never a day without filings.
+
+    The lists are read as VARIANT, so that a field of another type or place in one result changes nothing in the others: a text
+    that comes as a number is that number's text, a number that can't be read is null, as is an empty text.
+    """
+    day = F.try_parse_json("text")
+    status = F.try_variant_get("day", "$.metadata.status", "string")
     refused = F.raise_error(F.concat(F.lit("filing list with status "), status)).cast("boolean")
     good = F.when(status.isNull(), False).when(status == "200", True).otherwise(refused)
-    return read.where(good).select(F.explode("day.results").alias("r")).select("r.*")
+    results = F.try_variant_get("day", "$.results", "array<variant>")
+    each = days.select(day.alias("day")).where(good).select(F.explode(results).alias("r"))
+    text = lambda name: F.nullif(F.trim(F.try_variant_get("r", f"$.{name}", "string")), F.lit("")).alias(name)
+    number = lambda name: F.trim(F.try_variant_get("r", f"$.{name}", "string")).try_cast("int").alias(name)
+    other = F.map_filter(F.try_variant_get("r", "$", "map<string, variant>"), lambda k, v: ~k.isin(*FILING, *FILING_NUMBERS))
+    shown = F.transform_values(other, lambda k, v: F.when(~F.is_variant_null(v), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))))
+    return each.select(*[text(n) for n in FILING], *[number(n) for n in FILING_NUMBERS], shown.alias("other"))
 
 
 def filing_list(spark: SparkSession, path: str) -> DataFrame:
@@ -257,15 +269,19 @@ def kept_days(spark: SparkSession, path: str) -> DataFrame:
 
 
 def kept_dates(spark: SparkSession, path: str) -> DataFrame:
-    """The days there are, oldest first; only names are read."""
-    return kept_days(spark, path).select("date").distinct().orderBy("date")
+    """The days there are, oldest first. Only names are read: a day whose file is empty, cut off or huge is there, and folders that
+    aren't named by a day are not."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(path, "date=*/[!._]*")) or []
+    names = {re.search(r"/date=([^/]*)/[^/]*$", f.getPath().toString())[1] for f in found if f.isFile()}
+    rows = spark.createDataFrame([(n,) for n in sorted(names)], "date string")
+    return rows.where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date("date", "yyyy-MM-dd").isNotNull()).orderBy("date")
 
 
 def split_stubs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that have what is required, and stubs that only tell of a withdrawal."""
     whole = F.col("docID").isNotNull() & F.col("docTypeCode").isNotNull() & F.col("submitDateTime").isNotNull()
-    status = F.col("withdrawalStatus").try_cast("int")
-    return rows.where(whole), rows.where(~whole & F.col("docID").isNotNull() & (F.coalesce(status, F.lit(0)) != 0))
+    return rows.where(whole), rows.where(~whole & F.col("docID").isNotNull() & (F.coalesce("withdrawalStatus", F.lit(0)) != 0))
 
 
 def folded(word: Column) -> Column:

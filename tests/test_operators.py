@@ -3,6 +3,7 @@ import io
 import zipfile
 
 import pytest
+from barspark.functions import html
 from barspark.functions import scalars as sc
 from barspark.operators import context, control, export, filings, fundamentals, merge, metering, supply
 from barspark.sources import files
@@ -144,8 +145,8 @@ def test_scalars(spark):
     assert pick(sc.scrub_number(F.lit(" -1,234.5% "))) == -1234.5 and pick(sc.scrub_number(F.lit("-"))) is None
     assert pick(sc.thin(F.lit(10), 4)) == [0, 3, 6, 9] and pick(sc.thin(F.lit(2), 4)) == [0, 1]
     assert pick(sc.mask_secrets(F.lit("a?API_KEY=abc&x=1"))) == "a?API_KEY=***&x=1" and pick(sc.first_four(F.lit("abcdef"))) == "abcd**"
-    html = "<head><title>x</title></head><body><script>1</script><p>One &amp; two</p><p> </p><div>Three</div></body>"
-    assert pick(sc.html_text(F.lit(html))) == "One & two\nThree"
+    page = "<head><title>x</title></head><body><script>1</script><p>One &amp; two</p><p> </p><div>Three</div></body>"
+    assert pick(html.text_of(F.lit(page))) == "One & two\nThree"
     assert spark.createDataFrame([("ｔｏｙｏｔａ ",)], "q string").select(files.folded(F.col("q"))).first()[0] == "TOYOTA"
 
 
