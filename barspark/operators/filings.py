@@ -99,5 +99,5 @@ def markers(marked: DataFrame) -> DataFrame:
         F.min_by(cat, rank).alias("category"),
         F.count("*").alias("n"),
         F.array_sort(F.collect_list("doc_id")).alias("doc_ids"),
-        F.when(F.count("*") == 1, F.first(name)).otherwise(F.concat(F.count("*").cast("string"), F.lit(" items"))).alias("text"),
+        F.when(F.count("*") == 1, F.first(name)).otherwise(F.concat(F.lit("開示"), F.count("*").cast("string"), F.lit("件"))).alias("text"),
     )

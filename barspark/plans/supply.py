@@ -301,7 +301,7 @@ def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MARKERS = f"""{_MARKED}, c AS (SELECT *, {_CATEGORY} AS category, {_LABEL} AS label FROM marked WHERE marker_date IS NOT NULL AND withdrawal <> 1),
 markers AS (SELECT symbol, marker_date, arg_min(category, CASE category WHEN 'supply' THEN 1 WHEN 'report' THEN 2 ELSE 3 END) AS category, count(*) AS n,
-  string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids, CASE WHEN count(*) = 1 THEN min(label) ELSE count(*) || ' items' END AS text FROM c GROUP BY 1, 2)"""
+  string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids, CASE WHEN count(*) = 1 THEN min(label) ELSE '開示' || count(*) || '件' END AS text FROM c GROUP BY 1, 2)"""
 
 
 def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:

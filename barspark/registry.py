@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import bars, control, fundamentals, supply
+from .plans import bars, control, fundamentals, series, supply
 
-_PLANS = (bars, supply, control, fundamentals)
+_PLANS = (bars, supply, control, fundamentals, series)
 QUERIES: dict = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 ORACLE_SQL: dict = {k: q for p in _PLANS for k, q in p.ORACLE_SQL.items()}
