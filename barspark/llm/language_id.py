@@ -71,7 +71,9 @@ def automaton(text: str) -> list[dict[str, int]]:
 
 
 #: Bits of a character's number and of a state's in an entry of the table of transitions.
-CHAR, STATE = 15, 24
+CHAR, STATE = 16, 23
+#: Letters of the samples that one table holds: languages beyond go to further tables, each of which judges all texts.
+LETTERS = 2_000_000
 
 
 class Judge:
@@ -94,7 +96,7 @@ class Judge:
             self.start[chars[: size[0]], k] = to[-1][: size[0]]
             states += len(moves)
         if states >= 1 << STATE or len(letters) >= 1 << CHAR:
-            raise ValueError("too many or too long samples for one table of transitions")
+            raise ValueError("a sample is too long, or has too many different characters, for a table of transitions")
         key, to = np.concatenate([np.empty(0, np.int64), *keys]), np.concatenate([np.empty(0, np.int64), *to])
         self.shift = np.uint64(64 - max(4, (2 * len(key)).bit_length()))
         self.table = np.full(1 << 64 - int(self.shift), -1, np.int64)
@@ -153,17 +155,38 @@ class Judge:
         found = self.phrases(chars, begins[order], lengths[order])
         return np.stack([np.bincount(text[order], found[:, k], len(texts)) for k in range(found.shape[1])], axis=1) * self.bits
 
+    def weighed(self, flat: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of plain texts the nearest language, its bits a letter (at most fifty letters' worth: a long text is not a surer one), and
+        the odds of all languages against it, its own included."""
+        costs = self.costs(flat)
+        best = costs.argmin(axis=1)  # of equal ones the first in order of name
+        letters = np.array([len(t) for t in flat])
+        scaled = costs * (np.minimum(letters, 50) / np.maximum(letters, 1))[:, None]
+        least = scaled.min(axis=1)
+        odds = np.exp2(-np.minimum(scaled - least[:, None], 60.0)).sum(axis=1)
+        return [self.languages[b] for b in best], least, odds
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         flat = [plain(t) for t in texts]
         if not self.languages or not any(flat):
             return [NONE] * len(texts), [0.0] * len(texts)
-        costs = self.costs(flat)
-        best = costs.argmin(axis=1)  # of equal ones the first in order of name
-        # bits of the whole text, at most of fifty letters of it: a long text is not a surer one
-        letters = np.array([len(t) for t in flat])
-        above = (costs - costs.min(axis=1, keepdims=True)) * (np.minimum(letters, 50) / np.maximum(letters, 1))[:, None]
-        odds = np.exp2(-np.minimum(above, 60.0)).sum(axis=1)
-        return [self.languages[b] if t else NONE for b, t in zip(best, flat, strict=True)], [1 / o if t else 0.0 for o, t in zip(odds.tolist(), flat, strict=True)]
+        langs, _, odds = self.weighed(flat)
+        return [x if t else NONE for x, t in zip(langs, flat, strict=True)], [1 / o if t else 0.0 for o, t in zip(odds.tolist(), flat, strict=True)]
+
+
+def tables_of(texts: dict[str, str], letters: int | None = None) -> list[dict[str, str]]:
+    """The samples dealt to as many tables as it takes, in order of name."""
+    groups: list[dict[str, str]] = []
+    seen: set[str] = set()
+    size = 0
+    for x in sorted(texts):
+        seen |= set(texts[x])
+        if not groups or size + len(texts[x]) > (letters or LETTERS) or len(seen) >= 1 << CHAR:
+            groups.append({})
+            size, seen = 0, set(texts[x])
+        groups[-1][x] = texts[x]
+        size += len(texts[x])
+    return groups or [{}]
 
 
 def learn(docs: DataFrame, allowed: Column, sample: Sample = Sample(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
@@ -197,34 +220,74 @@ def learn(docs: DataFrame, allowed: Column, sample: Sample = Sample(), id_col: s
 _JUDGES: dict[int, Judge] = {}
 
 
-def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, lang, score`` of each row. A null text, or one without a letter, is ``und`` with score 0, and all are if
-    nothing was learnt. Rows that repeat are judged alike; other columns are not read; an empty table gives no row.
-    Whole texts are parsed; one of over STRETCH characters in stretches of that many."""
-    shared = docs.sparkSession.sparkContext.broadcast(texts)
-    name = xxhash.xxh64_intdigest(repr(sorted(texts.items())))
+def _judge(name: int, texts: dict[str, str]) -> Judge:
+    """One table a worker at a time."""
+    if name not in _JUDGES:
+        _JUDGES.clear()
+        _JUDGES[name] = Judge(texts)
+    return _JUDGES[name]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _JUDGES:
-            _JUDGES.clear()
-            _JUDGES[name] = Judge(shared.value)
-        judge = _JUDGES[name].judge
 
-        def judged(ids: list[pa.Array], held: list[str | None]) -> pa.RecordBatch:
-            langs, scores = judge(held)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang", "score"])
+def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The rows, texts last, in parts of as many characters as are parsed side by side; texts apart."""
+    rows, held, size = [], [], 0
+    for batch in batches:
+        last = batch.num_columns - 1
+        for n, text in enumerate(batch.column(last)):
+            rows.append(batch.slice(n, 1).select(range(last)))
+            held.append(text.as_py())
+            size += len(held[-1] or "") + 20
+            if size > BATCH:
+                yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0], held
+                rows, held, size = [], [], 0
+    if held:
+        yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0], held
 
-        ids, held, size = [], [], 0
-        for batch in batches:
-            for n, text in enumerate(batch.column(1)):
-                ids.append(batch.column(0).slice(n, 1))
-                held.append(text.as_py())
-                size += len(held[-1] or "") + 20
-                if size > BATCH:
-                    yield judged(ids, held)
-                    ids, held, size = [], [], 0
-        if held:
-            yield judged(ids, held)
 
+def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text", letters: int | None = None) -> DataFrame:
+    """``id, lang, score`` of each row. A null text, or one without a letter, is ``und`` with score 0, and all are if
+    nothing was learnt. Rows that repeat are judged alike; other columns are not read; an empty table gives no row.
+    Whole texts are parsed; one of over STRETCH characters in stretches of that many.
+
+    Samples of more than ``letters`` (LETTERS) in all are dealt to several tables: every text goes to each of them, a task holds
+    one of them, and what they find is put together by id and text."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, lang string, score double")
+    groups = tables_of(texts, letters)
+    shared = [docs.sparkSession.sparkContext.broadcast(g) for g in groups]
+    names = [xxhash.xxh64_intdigest(repr(sorted(g.items()))) for g in groups]
+    if len(groups) == 1:
+        table, name = shared[0], names[0]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            judge = _judge(name, table.value)
+            for part, held in _side_by_side(batches):
+                langs, scores = judge.judge(held)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang", "score"])
+
+        return rows.mapInArrow(run, f"id {kind}, lang string, score double")
+
+    def by_table(table, name: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            judge = _judge(name, table.value)
+            for part, held in _side_by_side(batches):
+                flat = [plain(t) for t in held]
+                langs, least, odds = judge.weighed(flat)
+                langs = [x if t else None for x, t in zip(langs, flat, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(least, pa.float64()), pa.array(odds, pa.float64())], names=["id", "h", "lang", "least", "odds"])
+
+        return run
+
+    hashed = rows.withColumn("h", F.xxhash64("text")).select("id", "h", "text")
+    found = None
+    for nth, (table, name) in enumerate(zip(shared, names, strict=True)):
+        one = hashed.mapInArrow(by_table(table, name), f"id {kind}, h long, lang string, least double, odds double").withColumn("nth", F.lit(nth))
+        found = one if found is None else found.unionByName(one)
+    each = found.groupBy("id", "h", "nth", "lang", "least", "odds").agg(F.count("*").alias("n"))  # rows that repeat
+    weighed = each.groupBy("id", "h").agg(
+        F.min_by("lang", F.struct("least", "lang")).alias("lang"), F.min("least").alias("best"), F.max("n").alias("n"), F.collect_list(F.struct("least", "odds")).alias("all")
+    )
+    total = F.aggregate("all", F.lit(0.0), lambda t, x: t + x["odds"] * F.pow(F.lit(2.0), -F.least(x["least"] - F.col("best"), F.lit(60.0))))
+    score = F.when(F.col("lang").isNull(), 0.0).otherwise(1 / total)
+    judged = weighed.select("id", F.coalesce("lang", F.lit(NONE)).alias("lang"), score.alias("score"), "n")
+    return judged.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")

@@ -67,3 +67,24 @@ def test_texts_without_letters_and_no_labels(spark):
     assert li.learn(docs.limit(0), F.lit(True)) == {}
     assert {r.lang for r in li.predict(docs, {}).collect()} == {"und"}
     assert set(li.learn(docs, F.lit(True))) == {"en"}
+
+
+def test_more_languages_than_a_table_holds(spark):
+    rng = np.random.default_rng(6)
+    words = {f"l{k:03d}": ["".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 8)))) for _ in range(60)] for k in range(300)}
+    texts = {k: li.plain(" ".join(rng.choice(w, 150))) for k, w in words.items()}
+    rows = [(i, " ".join(rng.choice(words[k], 12)), k) for i, k in enumerate(list(words) * 2)]
+    rows += [(9000, None, "und"), (9001, " 1 ", "und"), (9002, rows[0][1], rows[0][2]), (9002, rows[0][1], rows[0][2])]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    assert len(li.tables_of(texts, 20_000)) > 5 and sum(map(len, li.tables_of(texts, 20_000))) == 300
+    many = sorted((r.id, r.lang, r.score) for r in li.predict(docs, texts, letters=20_000).collect())
+    one = sorted((r.id, r.lang, r.score) for r in li.predict(docs, texts).collect())
+    assert [m[:2] for m in many] == [o[:2] for o in one] and np.allclose([m[2] for m in many], [o[2] for o in one])
+    assert len(many) == len(rows) and np.mean([m[1] == w for m, (_, _, w) in zip(many, sorted(rows), strict=True)]) > 0.97
+
+
+def test_a_script_of_many_characters():
+    chars = [chr(c) for c in range(0x3400, 0x3400 + 60_000) if chr(c).isalpha()][:50_000]
+    sample = " ".join("".join(chars[i : i + 20]) for i in range(0, len(chars), 20))
+    judge = li.Judge({"h": li.plain(sample), "l": " latin text here "})
+    assert len(chars) > 32_767 and judge.judge(["".join(chars[40_000:40_030]), "text"])[0] == ["h", "l"]
