@@ -16,6 +16,7 @@ from ..functions import scalars as sc
 from ..operators import control, metering, supply
 from ..operators import fundamentals as fin
 from ..sources import files
+from ..streaming import rates
 from .bars import rounded
 
 QUERIES: dict = {}
@@ -128,6 +129,11 @@ def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metering.trailing_minute(usage_events(spark, sf_dir)).select("event_id", "requests_60s", "tokens_60s")
 
 
+@_query("rate_stream_60s", ORACLE_SQL["rate_window_60s"])
+def _rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.trailing_minute(usage_events(spark, sf_dir)).select("event_id", "requests_60s", "tokens_60s")
+
+
 _AT = "CAST('2024-01-15 12:00:00' AS TIMESTAMP)"
 
 
