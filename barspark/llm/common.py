@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import dropped, shared_folder, stored  # noqa: F401  what the operators of this subpackage write goes there too
+
 #: White space of every word rule of this subpackage; a word is a run of anything else.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,29 +31,3 @@ def row_of(docs: DataFrame) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where the session has none, a folder of its own on this machine does if Spark runs
-    on this machine alone; on a cluster, where others could not read it, it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: steps that are written need a folder that all executors share")
-        found = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table that stored() wrote, by the file system that holds it."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -118,7 +118,11 @@ d AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host, '(^|[^A-Za-z0-9])(%s)([^A-Za-z0-9]|$)') OR regexp_matches(host || path, '(^|[./])(%s)([./]|$)') THEN 'block'
+    WHEN regexp_matches(host, '(^|[^A-Za-z0-9])(%s)([^A-Za-z0-9]|$)') OR regexp_matches(host || path, '(^|[./])(%s)([./]|$)')
+      OR regexp_matches(host || path, '(?s)(^|[./])(page([./]|$).*(^|[./])page|tag([./]|$).*(^|[./])tag|category([./]|$).*(^|[./])category|calendar([./]|$).*(^|[./])calendar|search([./]|$).*(^|[./])search|wp-json|index\.php([./]|$)index\.php)([./]|$)')
+      OR regexp_matches(host || path, ';jsessionid=|(^|[./])sid=') OR regexp_matches(host || path, '(^|[./])(feed/?|rss|print/?|trackback/?|amp/?|xmlrpc\.php)\z')
+      OR regexp_matches(host || path, '\.(pdf|tar\.gz|mp3|apk|iso|webm)\z') OR regexp_matches(host, '(?s)^(ad\.|(ads|adserv|track|click|pixel).*\.)')
+      OR regexp_matches(host, '(?s)^([^/]*\.)?(banner|affiliate).*\.') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM d
 """ % ("|".join(url_rules.HOST_WORDS), "|".join(url_rules.SEGMENTS))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 TOKEN = "[A-Za-z0-9]+"
 SCHEMA = "rule string, pattern string, verdict string, scope string, site boolean"
-#: Rules without any literal that one call takes: each of them is tried on every URL.
+#: Rules without any literal, each of which is tried on every URL, that one pass over the URLs tries.
 WITHOUT_LITERAL = 100
 
 
@@ -54,7 +54,19 @@ HOST_WORDS = (
 SEGMENTS = (
     "login", "signin", "signup", "register", "cart", "checkout", "porn", "casino", "xxx", "wp-admin", "wp-login", "cgi-bin", "jpg", "jpeg", "png", "gif", "zip", "exe", "mp4",
 )
-PLAIN = (*(Rule(w, f"~{w}~", scope="host") for w in HOST_WORDS), *(Rule(w, f"^{w}^") for w in SEGMENTS))
+#: Places where a crawl goes round or finds no page of its own: segments that come again, sessions in the path, other forms of a page,
+#: downloads at the end; and hosts whose first label begins as those of advertising and counting do.
+TRAPS = (
+    "^page^*^page^", "^tag^*^tag^", "^category^*^category^", "^calendar^*^calendar^", "^search^*^search^", "*;jsessionid=*", "*^sid=*", "^feed|", "^feed/|", "^rss|", "^print|",
+    "^print/|", "^trackback|", "^trackback/|", "^amp|", "^amp/|", "^wp-json^*", "^xmlrpc.php|", "*.pdf|", "*.tar.gz|", "*.mp3|", "*.apk|", "*.iso|", "*.webm|", "^index.php^index.php^",
+)
+HOST_STARTS = ("|ad.*", "|ads*.*", "|adserv*.*", "|track*.*", "|click*.*", "|pixel*.*", "||banner*.*", "||affiliate*.*")
+PLAIN = (
+    *(Rule(w, f"~{w}~", scope="host") for w in HOST_WORDS),
+    *(Rule(w, f"^{w}^") for w in SEGMENTS),
+    *(Rule(t, t) for t in TRAPS),
+    *(Rule(h, h, scope="host") for h in HOST_STARTS),
+)
 
 
 def table_of(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
@@ -104,8 +116,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = SITES + PLAIN,
 
     A site rule decides; without one the longest of the other rules that fit; without any the URL is allowed, as are null
     URLs and those without ``://``. Equal URLs are judged once. Of rules of one length one wins, always the same. ``rules``
-    may be a table; of its rules without a literal there may be WITHOUT_LITERAL, more are an error. Other columns are not
-    read; an empty table gives no row.
+    may be a table; those of its rules that have no literal come to the driver and are tried on all URLs, WITHOUT_LITERAL of
+    them in one pass. Other columns are not read; an empty table gives no row.
     """
     spark = pages.sparkSession
     table = rules if isinstance(rules, DataFrame) else table_of(spark, rules)
@@ -118,12 +130,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = SITES + PLAIN,
 
     hit = F.struct("rule", "verdict", "site")
     hits = candidates(places, table).where(fits(F.col("regex"), F.col("scope"))).select("host", "path", hit.alias("hit"))
-    bare = table.where(F.size(literals_of(F.col("pattern"))) == 0).withColumn("regex", regex_of(F.col("pattern"))).limit(WITHOUT_LITERAL + 1).collect()
-    if len(bare) > WITHOUT_LITERAL:
-        raise ValueError(f"more than {WITHOUT_LITERAL} rules without a literal")
-    if bare:
+    bare = table.where(F.size(literals_of(F.col("pattern"))) == 0).withColumn("regex", regex_of(F.col("pattern"))).collect()
+    for at in range(0, len(bare), WITHOUT_LITERAL):
         tried = [
-            F.when(fits(F.lit(r.regex), F.lit(r.scope)), F.struct(F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.site).alias("site"))) for r in bare
+            F.when(fits(F.lit(r.regex), F.lit(r.scope)), F.struct(F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.site).alias("site")))
+            for r in bare[at : at + WITHOUT_LITERAL]
         ]
         hits = hits.unionByName(places.select("host", "path", F.explode(F.array_compact(F.array(*tried))).alias("hit")))
     best = hits.groupBy("host", "path").agg(F.max_by("hit", F.struct("hit.site", F.length("hit.rule"), F.xxhash64("hit.rule", "hit.verdict"))).alias("hit"))
