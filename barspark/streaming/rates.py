@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MINUTE = 60_000_000
+#: Microseconds, and bits that hold two minutes of them.
+MINUTE, SPAN = 60_000_000, 27
 
 
 def trailing_minute(events: DataFrame, delay: str = "2 minutes") -> DataFrame:
@@ -29,18 +29,22 @@ def trailing_minute(events: DataFrame, delay: str = "2 minutes") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(batch.num_rows):
-                rows = batch.column(2).slice(n, 1).flatten()
-                at = rows.field("at").to_numpy()
-                order = np.argsort(at, kind="stable")
-                at, rows = at[order], rows.take(pa.array(order))
-                upto, since = np.searchsorted(at, at, "right"), np.searchsorted(at, at - MINUTE, "right")
-                sums = [np.r_[0, np.cumsum(rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64))] for c in ("is_request", "tokens")]
-                own = pa.array(at >= batch.column(1)[n].as_py() + MINUTE)
-                columns = [pa.array([batch.column(0)[n].as_py()] * len(at), batch.schema.field(0).type), pa.array(at), *[rows.field(c) for c in ("tokens", "is_request", "event_id")]]
-                columns += [pa.array(s[upto] - s[since]) for s in sums]
-                names = ["model", "at", "tokens", "is_request", "event_id", "requests_60s", "tokens_60s"]
-                yield pa.RecordBatch.from_arrays([pc.filter(c, own) for c in columns], names=names)
+            if not batch.num_rows:
+                continue
+            events = batch.column(2).flatten()
+            span = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            at = events.field("at").to_numpy()
+            key = span << SPAN | at - batch.column(1).to_numpy()[span]  # the span, and the time in it
+            order = np.argsort(key, kind="stable")
+            key, span = key[order], span[order]
+            own = (key & (1 << SPAN) - 1) >= MINUTE
+            upto, since = np.searchsorted(key, key[own], "right"), np.searchsorted(key, key[own] - MINUTE, "right")
+            kept = pa.array(order[own])
+            columns = [batch.column(0).take(pa.array(span[own])), *[events.field(c).take(kept) for c in ("at", "tokens", "is_request", "event_id")]]
+            for c in ("is_request", "tokens"):
+                sums = np.r_[0, np.cumsum(events.field(c).to_numpy(zero_copy_only=False).astype(np.int64)[order])]
+                columns.append(pa.array(sums[upto] - sums[since]))
+            yield pa.RecordBatch.from_arrays(columns, names=["model", "at", "tokens", "is_request", "event_id", "requests_60s", "tokens_60s"])
 
     schema = f"model {kinds['model']}, at long, tokens long, is_request boolean, event_id {kinds['event_id']}, requests_60s long, tokens_60s long"
     done = held.mapInArrow(count, schema)
