@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from barspark.llm import mixing
+from barspark.llm import mixing, queries
 
 
 def expected_targets(sizes):
@@ -65,3 +65,22 @@ def test_expectation_is_kept(spark):
     up = mixing.round_parts(parts, 8, 3000).selectExpr("key.id % 3 AS k", "cast(up AS int) AS up").groupBy("k").avg("up").collect()
     for r in up:
         assert abs(r[1] - (0.2, 0.5, 0.7)[r[0]]) < 0.06
+
+
+def test_the_query_over_the_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    rows = {r.doc_id: r for r in queries.op4_mixing(spark, sf).collect()}
+    assert len(rows) == len(docs)
+    sizes, largest, taken = {}, {}, {}
+    for d in docs:
+        n, r = words(d.text), rows[d.doc_id]
+        assert r.size == n and 0 <= r.taken <= 3 * n
+        sizes[d.source] = sizes.get(d.source, 0) + n
+        largest[d.source] = max(largest.get(d.source, 0), n)
+        taken[d.source] = taken.get(d.source, 0) + r.taken
+    targets = expected_targets(sizes)
+    for d in docs:
+        assert rows[d.doc_id].source_size == sizes[d.source] and abs(rows[d.doc_id].target - targets[d.source]) < 1e-6 * max(1, targets[d.source])
+    assert all(abs(taken[s] - targets[s]) <= largest[s] for s in sizes)
+    again = {r.doc_id: r.taken for r in queries.op4_mixing(spark, sf).collect()}
+    assert again == {k: r.taken for k, r in rows.items()}
