@@ -75,13 +75,34 @@ def runs(rows: DataFrame, flag: Column) -> DataFrame:
 
 def next_bar(docs: DataFrame, bars: DataFrame, day: Column) -> DataFrame:
     """``docs`` with ``marker_date``: the first bar date of the symbol on or after ``day``; null before the first bar, after
-    the last, and for a missing day. One pass over both from the newest date back, without a join."""
-    left = docs.select("symbol", day.alias("day"), F.lit(None).cast("date").alias("bar"), F.struct(*docs.columns).alias("doc"))
-    right = bars.select("symbol", F.col("date").alias("day"), F.col("date").alias("bar"), F.lit(None).cast(left.schema["doc"].dataType).alias("doc"))
-    both = left.unionByName(right)
-    whole = Window.partitionBy("symbol")
-    # newest first, bars before the documents of their day: the last bar so far is the next one, in a frame that only grows
-    back = Window.partitionBy("symbol").orderBy(F.desc("day"), F.col("bar").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("next", F.last("bar", ignorenulls=True).over(back)).withColumn("start", F.min("bar").over(whole))
-    inside = F.col("day").isNotNull() & (F.col("day") >= F.col("start"))
+    the last, and for a missing day.
+
+    One pass over each month of a symbol from its newest date back, without a join. The first bar of a month is carried to the
+    months before it, back to the last one that has bars, so that no task holds more of a symbol than a month. Documents without a day
+    stay dealt as they came. Bars without a date count for nothing.
+    """
+
+    def month(c: Column) -> Column:
+        return F.year(c) * 12 + F.month(c)
+
+    left = docs.select(
+        "symbol", day.alias("day"), F.coalesce(month(day), -1 - F.spark_partition_id()).alias("block"),
+        F.lit(None).cast("date").alias("bar"), F.lit(None).cast("date").alias("start"), F.struct(*docs.columns).alias("doc"),
+    )
+    none = F.lit(None).cast(left.schema["doc"].dataType).alias("doc")
+    dated = bars.where(bars["date"].isNotNull()).select("symbol", F.col("date").alias("bar"), month(F.col("date")).alias("block"))
+    right = dated.select("symbol", F.col("bar").alias("day"), "block", "bar", F.lit(None).cast("date").alias("start"), none)
+    firsts = dated.groupBy("symbol", "block").agg(F.min("bar").alias("bar"))
+    before = F.lag("block").over(Window.partitionBy("symbol").orderBy("block"))  # a row a month
+    to = F.when(F.col("before").isNull(), F.array("block")).otherwise(F.sequence("before", F.col("block") - 1))
+    is_first = F.col("before").isNull()
+    carried = firsts.withColumn("before", before).select(
+        "symbol", F.lit(None).cast("date").alias("day"), F.explode(to).alias("block"), F.when(~is_first, F.col("bar")).alias("bar"),
+        F.when(is_first, F.col("bar")).alias("start"), none,
+    )
+    # what is carried first, then newest first, bars before the documents of their day: the last bar so far is the next one
+    back = Window.partitionBy("symbol", "block").orderBy(F.desc_nulls_first("day"), F.col("bar").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right).unionByName(carried)
+    found = both.withColumn("next", F.last("bar", ignorenulls=True).over(back)).withColumn("from", F.last("start", ignorenulls=True).over(back))
+    inside = F.col("day").isNotNull() & F.coalesce(F.col("day") >= F.col("from"), F.lit(True))
     return found.where("doc is not null").select("doc.*", F.when(inside, F.col("next")).alias("marker_date"))

@@ -211,3 +211,22 @@ def test_next_bar_grows_with_the_rows(spark):
     assert {(r.symbol, str(r.day)): str(r.marker_date) for r in found.collect()} == {
         ("A", "2024-01-06"): "2024-01-09", ("A", "None"): "None", ("A", "2023-01-01"): "None", ("A", "2024-02-01"): "None", ("B", "2024-01-05"): "None",
     }
+
+
+def test_next_bar_of_a_symbol_is_dealt_by_month(spark):
+    """Gaps of months and years between bars, many filings of one symbol, days that are missing, a symbol without bars."""
+    import random
+    from datetime import timedelta
+
+    r, begin = random.Random(11), D("2019-03-10")
+    held = sorted({begin + timedelta(days=d) for d in [*r.sample(range(400), 60), *r.sample(range(1100, 1500), 40)]})
+    asked = [(i, "X" if i % 9 else "Q", None if i % 50 == 7 else begin + timedelta(days=r.randrange(-60, 1700))) for i in range(900)]
+    bars = spark.createDataFrame([*[("X", d) for d in held], ("X", None)], "symbol string, date date")
+    found = supply.next_bar(spark.createDataFrame(asked, "doc_id long, symbol string, day date"), bars, F.col("day"))
+    got = {x.doc_id: x.marker_date for x in found.collect()}
+    want = {i: min((h for h in held if s == "X" and d and held[0] <= d <= h), default=None) for i, s, d in asked}
+    assert got == want and len(set(got.values())) > 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(symbol" in plan and "block" in plan.split("Window")[1]
+    empty = bars.limit(0)
+    assert supply.next_bar(spark.createDataFrame(asked, "doc_id long, symbol string, day date"), empty, F.col("day")).where("marker_date is not null").count() == 0
