@@ -25,16 +25,16 @@ from .common import stored
 class MultiIndex:
     """``sample``: vectors that the centroids are fitted to; ``centroids`` of each half; ``share`` of the rows that a query looks
     at, measured where it is None: so many that ``recall`` of the neighbours in the sample are among them, for ``probes`` of its
-    vectors. ``least``: rows that a query looks at whatever the share, so that a small table is searched whole; ``block``: rows
-    of one, about."""
+    vectors, with ``errors`` standard errors of such a measurement added, so that few probes ask for more. ``block``: rows of
+    one, about."""
 
     sample: int = 8192
-    centroids: int = 64
+    centroids: int = 128
     rounds: int = 12
     share: float | None = None
-    recall: float = 0.97
+    recall: float = 0.95
     probes: int = 256
-    least: int = 1000
+    errors: float = 2.0
     block: int = 20000
     nearest: int = 10
 
@@ -78,12 +78,16 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough:
 
 
 def measured_share(sample: np.ndarray, halves: list[np.ndarray], index: MultiIndex) -> float:
-    """The share of the sample that must be looked at so that ``recall`` of the probes' neighbours in it are. A larger table has
-    nearer neighbours than its sample, in nearer cells, so that this share is enough there."""
-    middle, columns = len(halves[0][0]), len(halves[1])
+    """The share of the sample that must be looked at so that ``recall`` of the probes' neighbours in it are, and as many more as
+    ``errors`` standard errors of so many probes are. A larger table has nearer neighbours than its sample, in nearer cells, so
+    that this share is enough there."""
+    if len(sample) < 2:
+        return 1.0
+    middle, columns, probes = len(halves[0][0]), len(halves[1]), min(index.probes, len(sample))
+    wanted = min(1.0, index.recall + index.errors * (index.recall * (1 - index.recall) / probes) ** 0.5)
     cell = closest(sample[:, :middle], halves[0]) * columns + closest(sample[:, middle:], halves[1])
     counts, needed = np.bincount(cell, minlength=len(halves[0]) * columns), []
-    for p in np.linspace(0, len(sample) - 1, min(index.probes, len(sample))).astype(int):
+    for p in np.linspace(0, len(sample) - 1, probes).astype(int):
         far = ((sample - sample[p]) ** 2).sum(1)
         far[p] = np.inf
         near = np.argsort(far, kind="stable")[: min(index.nearest, len(sample) - 1)]
@@ -92,7 +96,7 @@ def measured_share(sample: np.ndarray, halves: list[np.ndarray], index: MultiInd
         upto = np.empty(len(order), np.int64)
         upto[order] = np.cumsum(counts[order])
         needed.append(upto[cell[near]])
-    return float(np.quantile(np.concatenate(needed), index.recall, method="higher") / len(sample)) if len(sample) > 1 else 1.0
+    return float(np.quantile(np.concatenate(needed), wanted, method="higher") / len(sample))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -162,7 +166,7 @@ def search(
     for r in placed.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         counts[r.cell] = r["count"]
     share = measured_share(fitted, halves, index) if index.share is None else index.share
-    enough = max(int(np.ceil(share * counts.sum())), index.least, index.nearest + 1)
+    enough = max(int(np.ceil(share * counts.sum())), index.nearest + 1)  # beside the query itself, as many as are asked for
     plan = spark.sparkContext.broadcast((counts, *blocks_of(counts, index.block)))  # as many numbers as there are cells
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -53,7 +53,7 @@ def test_recall_and_scores(spark, sf):
 def test_clustered_vectors_need_a_small_share(spark, n):
     rng = np.random.default_rng(n)
     x = rng.normal(size=(60, 16))[rng.integers(0, 60, n)] * 4 + rng.normal(size=(n, 16))
-    index = mi.MultiIndex(sample=3000, centroids=24, block=2500, least=50, probes=100)
+    index = mi.MultiIndex(sample=3000, centroids=24, block=2500, probes=100)
     halves = [mi.fit(x[:3000, :8], 24, 12, 1), mi.fit(x[:3000, 8:], 24, 12, 2)]
     assert mi.measured_share(x[:3000], halves, index) < 0.25
     frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
@@ -69,6 +69,17 @@ def test_small_tables_by_the_default_index(spark, n):
     assert got == {q: [(v, pytest.approx(s)) for v, s in near] for q, near in exact(np.arange(n), x, 3).items()}
 
 
+def test_small_tables_are_looked_at_in_part_too():
+    """The share holds at any size: 600 clustered rows are not searched whole, and few probes ask for more than many."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20, 8))[rng.integers(0, 20, 600)] * 6 + rng.normal(size=(600, 8))
+    halves = [mi.fit(x[:, :4], 16, 12, 1), mi.fit(x[:, 4:], 16, 12, 2)]
+    many, few = (mi.measured_share(x, halves, mi.MultiIndex(probes=p)) for p in (600, 12))
+    assert many < 0.4
+    needs_all = mi.measured_share(x, halves, mi.MultiIndex(probes=12, recall=1.0))
+    assert few == needs_all  # two standard errors of twelve probes reach beyond everything
+
+
 def test_blocks_are_bounded():
     counts = np.array([3, 0, 50, 4, 4, 4, 9, 10, 1])
     first, parts = mi.blocks_of(counts, 10)
