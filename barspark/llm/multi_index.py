@@ -218,9 +218,9 @@ def search(
             yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     schema = "id long, v array<double>, cell long, block long, asks boolean, cells array<long>"
-    queries = distinct.where(F.col("id") % every == 0).mapInPandas(ask, schema)
-    both = placed.mapInPandas(deal, schema).unionByName(queries)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that blocks stay apart
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that blocks stay apart, and queries, which cost far more than their bytes
+    asked = good.select("id", "v").where(F.col("id") % every == 0).repartition(parts, "id").groupBy("id").agg(F.min("v").alias("v"))
+    both = placed.mapInPandas(deal, schema).unionByName(asked.mapInPandas(ask, schema))
     dealt = both.repartition(parts, "block").sortWithinPartitions("block", "asks", "cell", "id")
     found = dealt.mapInPandas(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
