@@ -145,9 +145,13 @@ l1 AS (
     regexp_replace(regexp_replace(translate(regexp_replace(raw, '^(?:[ \t]*>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS line
   FROM l0),
+lw AS (
+  SELECT *, coalesce(level = lead(level) OVER w AND regexp_matches(line || chr(10) || lead(line) OVER w,
+    '^(?:on|am|le|el) [^\n]*[0-9,](?:[^\n]*[^.!?:;\n])?\n(?:[^\n]* )?(?:wrote|schrieb[^\n]*|a écrit|escribió) ?:$'), false) AS wrapped FROM l1 WINDOW w AS (PARTITION BY rid ORDER BY i)),
 l2 AS (
-  SELECT *, NOT (coalesce(lead(level) OVER (PARTITION BY rid ORDER BY i) > level, false) AND regexp_matches(line,
-    '^(?:on|am|le|el) .*(?:wrote|schrieb.*|a écrit|escribió) ?:$|^[^:]* (?:wrote|writes|schrieb|a écrit|escribió) ?:$')) AS own FROM l1),
+  SELECT *, NOT (coalesce(lead(level) OVER w > level, false) AND (coalesce(lag(wrapped) OVER w, false) OR regexp_matches(line,
+    '^(?:on|am|le|el) .*(?:wrote|schrieb.*|a écrit|escribió) ?:$|^[^:]* (?:wrote|writes|schrieb|a écrit|escribió) ?:$'))
+    OR coalesce(lead(level, 2) OVER w > level, false) AND wrapped) AS own FROM lw WINDOW w AS (PARTITION BY rid ORDER BY i)),
 l AS (SELECT *, own AND line <> '' AS counts FROM l2),
 l3 AS (SELECT *, counts AND NOT coalesce(lag(counts) OVER w AND lag(level) OVER w = level, false) AS begins FROM l WINDOW w AS (PARTITION BY rid ORDER BY i)),
 l4 AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY rid ORDER BY i) AS run FROM l3),
@@ -176,19 +180,20 @@ OP5_SQL = "WITH RECURSIVE src AS (SELECT * FROM conversations), " + _OP5
 
 
 def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of messages that quote: each turn begins with an attribution and what the one before says, every third of them
-    with what that quotes in turn."""
+    """The same of messages that quote: each turn begins with an attribution, every fifth one over two lines, and what the one
+    before says, every third of them with what that quotes in turn."""
     said = table(spark, sf_dir, "conversations").where("text is not null and conv_id is not null and turn is not null")
     one = said.groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role")).alias("v")).select("conv_id", "turn", "v.role", "v.text")
     by = Window.partitionBy("conv_id").orderBy("turn")
     marked = lambda c, mark: F.concat(F.lit(mark), F.replace(c, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
     before, older = F.lag("text").over(by), F.lag("text", 2).over(by)
-    quote = F.concat(F.lit("On Monday u wrote:\n"), F.when(F.col("turn") % 3 == 2, F.coalesce(marked(older, ">> "), F.lit(""))).otherwise(""), marked(before, "> "))
+    told = F.when(F.col("turn") % 5 == 4, "On Monday, 6 May,\nu wrote:\n").otherwise("On Monday u wrote:\n")
+    quote = F.concat(told, F.when(F.col("turn") % 3 == 2, F.coalesce(marked(older, ">> "), F.lit(""))).otherwise(""), marked(before, "> "))
     return _shown(quotation.conversations(one.select("conv_id", "turn", "role", F.concat(F.coalesce(quote, F.lit("")), "text").alias("text"))))
 
 
 QUOTED_REPLIES_SQL = r"""WITH RECURSIVE one AS (SELECT conv_id, turn, min({'text': text, 'role': role}) AS v FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-src AS (SELECT conv_id, turn, v.role AS role, coalesce('On Monday u wrote:' || chr(10) || CASE WHEN turn % 3 = 2 THEN coalesce('>> ' || replace(lag(v.text, 2) OVER w, chr(10), chr(10) || '>> ') || chr(10), '') ELSE '' END
+src AS (SELECT conv_id, turn, v.role AS role, coalesce(CASE WHEN turn % 5 = 4 THEN 'On Monday, 6 May,' || chr(10) || 'u wrote:' ELSE 'On Monday u wrote:' END || chr(10) || CASE WHEN turn % 3 = 2 THEN coalesce('>> ' || replace(lag(v.text, 2) OVER w, chr(10), chr(10) || '>> ') || chr(10), '') ELSE '' END
     || '> ' || replace(lag(v.text) OVER w, chr(10), chr(10) || '> ') || chr(10), '') || v.text AS text
   FROM one WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), """ + _OP5
 

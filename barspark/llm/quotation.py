@@ -17,6 +17,8 @@ from .common import dropped, let, stored
 QUOTED = r"^(?:[ \t]*>)+"
 #: Who is quoted, on the line before a quotation.
 ATTRIBUTION = r"^(?:on|am|le|el) .*(?:wrote|schrieb.*|a écrit|escribió) ?:$|^[^:]* (?:wrote|writes|schrieb|a écrit|escribió) ?:$"
+#: The same wrapped over two lines: the first begins so, has a date or a comma and doesn't end a sentence, the second ends so.
+WRAPPED = r"^(?:on|am|le|el) [^\n]*[0-9,](?:[^\n]*[^.!?:;\n])?\n(?:[^\n]* )?(?:wrote|schrieb[^\n]*|a écrit|escribió) ?:$"
 #: Characters of a line or passage that leads somewhere; all of a text does, however short.
 LEAST = 12
 
@@ -33,13 +35,20 @@ def _level(line: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """The lines of a text: ``raw``, ``level``, ``line`` (normal) and ``own``, false for an attribution."""
+    """The lines of a text: ``raw``, ``level``, ``line`` (normal) and ``own``, false for an attribution, of one line or two."""
     cut = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("raw"), _level(x).alias("level"), normal(x).alias("line")))
 
     def told(lines: Column) -> Column:
+        def wrapped(a: Column, b: Column) -> Column:
+            return F.coalesce((a["level"] == b["level"]) & F.concat(a["line"], F.lit("\n"), b["line"]).rlike(WRAPPED), F.lit(False))
+
+        def quoted_after(x: Column, i: Column, n: int) -> Column:
+            return F.coalesce(F.get(lines, i + n)["level"] > x["level"], F.lit(False))
+
         def one(x: Column, i: Column) -> Column:
-            before_quote = F.coalesce(F.get(lines, i + 1)["level"] > x["level"], F.lit(False))
-            return F.struct(x["raw"].alias("raw"), x["level"].alias("level"), x["line"].alias("line"), (~(before_quote & x["line"].rlike(ATTRIBUTION))).alias("own"))
+            second = quoted_after(x, i, 1) & (x["line"].rlike(ATTRIBUTION) | wrapped(F.get(lines, i - 1), x))
+            first = quoted_after(x, i, 2) & wrapped(x, F.get(lines, i + 1))
+            return F.struct(x["raw"].alias("raw"), x["level"].alias("level"), x["line"].alias("line"), (~(first | second)).alias("own"))
 
         return F.transform(lines, one)
 
@@ -79,7 +88,8 @@ def units(lines: Column) -> Column:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """``conv, turn, text`` -> ``conv, turn, parent``: for messages that quote an earlier one.
+    """``conv, turn, text`` -> ``conv, turn, parent``: for messages that quote an earlier one. Where several earlier messages say
+    the same, the first of them is who said it.
 
     Of the levels that lead to an earlier message the shallowest counts: deeper ones are what the parent itself quotes. The
     parent is the message with the most characters in units of that level, of several the latest.

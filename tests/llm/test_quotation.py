@@ -43,3 +43,21 @@ def test_deeper_levels_short_lines_and_nested_attributions(spark):
     assert got[3][0] is None  # a short line of two messages leads nowhere
     assert got[4] == (1, 1, "both") and got[5] == (None, 5, "he wrote:\nno quotation follows")
     assert got[6][0] is None and got[7] == (6, 6, "end")  # all of a message's own text does, however short
+
+
+def test_attributions_over_two_lines(spark):
+    rows = [
+        (0, "The statement that they all answer."),
+        (1, "On Mon, x\nwrote:\n> The statement that they all answer.\none"),
+        (2, "Hello,\nAm 5. Mai 2024 um 10:15\nEva Muster schrieb:\n> The statement that they all answer.\ntwo"),
+        (3, "On the whole, I agree.\nShe wrote:\n> The statement that they all answer.\nthree"),  # a sentence is no half of one
+        (4, "On Mon, x\nwrote:\nno quotation follows"),
+        (5, "> On Mon, x\n> wrote:\n>> The statement that they all answer.\n> two\nfive"),
+        (6, "> On Mon, x\nwrote:\n>> The statement that they all answer.\nsix"),  # halves of two levels
+        (7, "On Mon, x\nwrote:"),
+    ]
+    frame = spark.createDataFrame([(1, t, "u", x) for t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.parent, r.body) for r in quotation.conversations(frame).collect()}
+    assert got[1] == (0, "one") and got[2] == (0, "Hello,\ntwo") and got[3] == (0, "On the whole, I agree.\nthree")
+    assert got[4] == (None, rows[4][1]) and got[7] == (None, rows[7][1])
+    assert got[5] == (0, "five") and got[6] == (0, "wrote:\nsix")
