@@ -13,14 +13,22 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Marks that prose hardly uses; full stops and commas are not among them.
 MARKS = r"[#*$%&|<>!?~^=_{}\\]"
 BARS = r"[|>]"
-NAVIGATION = (
-    r"(?i)^[ \t]*(home|menu|log ?in|sign (in|up)|register|next|previous|back to top|read more|click here|share"
-    r"|search|contact( us)?|about( us)?)[ .:!]*$"
+#: Fixed phrases by language, English, German, French, Spanish: whole lines that lead elsewhere, and what sites add to a text.
+#: Letters beyond ASCII stand as classes, since the flag (?i) folds A-Z alone in Java.
+LEADS = (
+    "home|menu|log ?in|sign (in|up)|register|next|previous|back to top|read more|click here|share|search|contact( us)?|about( us)?",
+    "startseite|men[üÜ]|anmelden|registrieren|weiter|zur[üÜ]ck|nach oben|mehr lesen|weiterlesen|teilen|suche|kontakt|impressum|[üÜ]ber uns",
+    "accueil|connexion|se connecter|s['’]inscrire|suivant|pr[éÉ]c[éÉ]dent|haut de page|lire la suite|cliquez ici|partager|recherche|contactez[ -]nous|[àÀ] propos",
+    "inicio|men[úÚ]|iniciar sesi[óÓ]n|registrarse|siguiente|anterior|volver arriba|leer m[áÁ]s|haga clic aqu[íÍ]|compartir|buscar|contacto|sobre nosotros",
 )
-BOILERPLATE = (
-    r"(?i)(all rights reserved|copyright|licensed under|released under the|privacy policy|cookie policy"
-    r"|terms of (use|service)|subscribe to our)"
+ADDED = (
+    "all rights reserved|copyright|licensed under|released under the|privacy policy|cookie policy|terms of (use|service)|subscribe to our",
+    "alle rechte vorbehalten|datenschutzerkl[äÄ]rung|cookie-richtlinie|allgemeine nutzungsbedingungen|abonnieren sie unser",
+    "tous droits r[éÉ]serv[éÉ]s|politique de (confidentialit[éÉ]|cookies)|conditions (g[éÉ]n[éÉ]rales )?d['’]utilisation|abonnez-vous [àÀ]",
+    "todos los derechos reservados|pol[íÍ]tica de (privacidad|cookies)|t[éÉ]rminos (de (uso|servicio)|y condiciones)|suscr[íÍ]base a",
 )
+NAVIGATION = rf"(?i)^[ \t]*({'|'.join(LEADS)})[ .:!]*$"
+BOILERPLATE = rf"(?i)({'|'.join(ADDED)})"
 
 
 @dataclass(frozen=True)

@@ -53,8 +53,8 @@ judged AS (
     NOT (len(regexp_extract_all(l, '[#*$%&|<>!?~^=_{}\\]')) * 100
            > length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) * 10
       OR (len(regexp_extract_all(l, '[|>]')) >= 3 AND len(regexp_extract_all(l, '[|>]')) * 10 >= len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')))
-      OR regexp_matches(l, '(?i)^[ \t]*(home|menu|log ?in|sign (in|up)|register|next|previous|back to top|read more|click here|share|search|contact( us)?|about( us)?)[ .:!]*$')
-      OR len(regexp_extract_all(l, '(?i)(all rights reserved|copyright|licensed under|released under the|privacy policy|cookie policy|terms of (use|service)|subscribe to our)')) * 25
+      OR regexp_matches(l, '{navigation}')
+      OR len(regexp_extract_all(l, '{boilerplate}')) * 25
            >= greatest(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')), 1)
     ) AS ok
   FROM lines),
@@ -72,6 +72,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (word_chars - left_chars) * 100 <= word_chars * 50 AS kept
 FROM f
 """
+for _name, _pattern in (("{navigation}", line_rules.NAVIGATION), ("{boilerplate}", line_rules.BOILERPLATE)):
+    OP10_SQL = OP10_SQL.replace(_name, _pattern.replace("'", "''"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,13 @@ def test_a_mention_in_a_long_line_and_dotted_names(spark):
     docs = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "doc_id long, text string, `m.k` int")
     got = {r.id: (r.kept, r.cleaned, r.row["m.k"]) for r in line_rules.clean(docs, carry=True).collect()}
     assert got == {1: (True, texts[1], 1), 2: (True, texts[2], 1), 3: (False, "", 1), 4: (True, texts[4].split("\n")[0], 1)}
+
+
+def test_lines_in_the_languages_of_the_table(spark):
+    body, end = " ".join(f"wort{i}" for i in range(14)), " ".join(f"ende{i}" for i in range(14))
+    gone = ["STARTSEITE", "Menü", "MENÚ", " Über uns ", "ÜBER UNS.", "Zurück", "Précédent", "S’inscrire", "À propos", "Leer más", "Contacto:",
+            "Alle Rechte vorbehalten 2020", "© 2021 Tous DROITS RÉSERVÉS", "Conditions générales d'utilisation", "Política de privacidad", "Términos y condiciones"]
+    stay = ["weiter geht es", "Der Kontakt ist gut", "une recherche longue", f"{' '.join(f'a{i}' for i in range(30))} Datenschutzerklärung", "Menues", "Urheberrecht"]
+    docs = spark.createDataFrame([(n, f"{body}\n{line}\n{end}") for n, line in enumerate(gone + stay)], "doc_id long, text string")
+    got = {r.id: (r.kept, r.cleaned.split("\n")[1:-1]) for r in line_rules.clean(docs).collect()}
+    assert got == {n: (True, [] if n < len(gone) else [line]) for n, line in enumerate(gone + stay)}
