@@ -61,19 +61,30 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target weight has it: not at all, or up to three times. A null text has size 0 and
-    comes at most as often as the mix says; null sources are one source. Of rows that repeat, in id, source and size, each has a
-    number of its own: those of one key are put in order in one task."""
-    rows = _packed(docs)
+    comes at most as often as the mix says; null sources are one source. Rows of one id, source and size share what the mix gives
+    them: each as often as all can, what remains by the order of a digest of the row. Rows that repeat whole are one row with
+    their number until then, so that none of these groups meets in one task, however many rows share a key."""
     group = ["id", "skey", "size"]
     by_source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("skey")
-    mixed = mixing.mix(rows, id_col="id").where("copies > 0").select("id", by_source, "size", "copies")
-    copies = mixed.groupBy(group).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    found = rows.select("id", by_source, mixing.size_of(F.col("text")).alias("size"), "row").join(copies, group)
-    # rows that repeat each have a number of copies of their own, in an order that is the same in every run
-    nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("row.text"), "row.text"))
-    each = found.withColumn("n", F.coalesce(F.get("copies", nth - 1), F.lit(0)))
-    out = each.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return _unpacked(out, docs)
+    packed = _packed(docs)
+    digest = F.sha2(F.to_json("row", {"ignoreNullFields": "false"}), 256).alias("digest")
+    rows = packed.select("id", by_source, mixing.size_of(F.col("text")).alias("size"), digest, "row")
+    mixed = mixing.mix(packed, id_col="id").groupBy("id", by_source, "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    # of n rows of a key, all come whole times, and the first more of them once more
+    shares = mixed.where("copies > 0").select(*group, F.expr("copies div n").alias("whole"), F.expr("copies % n").alias("more"))
+    # how many rows of the key are before a row: within the digest's part, and in the parts before it
+    part = F.substring("digest", 1, 4).alias("part")
+    each = rows.groupBy(*group, "digest").agg(F.count("*").alias("m")).select("*", part)
+    until = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.groupBy(*group, "part").agg(F.sum("m").alias("m"))
+    parts = parts.select(*group, "part", F.coalesce(F.sum("m").over(until.partitionBy(*group).orderBy("part")), F.lit(0)).alias("earlier"))
+    within = F.coalesce(F.sum("m").over(until.partitionBy(*group, "part").orderBy("digest")), F.lit(0))
+    placed = each.select("*", within.alias("within")).join(parts, [*group, "part"]).join(shares, group)
+    before = F.col("within") + F.col("earlier")
+    times = F.col("whole") * F.col("m") + F.greatest(F.lit(0), F.least("m", F.col("more") - before))
+    picked = placed.select(*group, "digest", times.alias("times")).where("times > 0")
+    out = rows.dropDuplicates([*group, "digest"]).join(picked, [*group, "digest"])
+    return _unpacked(out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
