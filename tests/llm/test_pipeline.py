@@ -1,6 +1,8 @@
+from collections import Counter
+
 import corpus_pipeline
 import numpy as np
-from barspark.llm import simhash
+from barspark.llm import mixing, simhash
 from tests.llm.test_mixing import expected_targets, words
 
 from barspark.llm import bpe, queries
@@ -71,6 +73,29 @@ def test_rows_that_repeat(spark):
     assert [r.text for r in unique] == [single[0].text]
 
 
+def test_rows_of_one_key_share_what_the_mix_gives(spark):
+    rng = np.random.default_rng(4)
+    rows = [(7, f"{prose(rng, 1)[:-1]} w", "en", "s0", 9, "x", i % 2) for i in range(60)] + [(7, "one two three", "en", "s0", 9, "x", 7)] * 40
+    rows += [(7, "one two three", "en", "s0", 9, "y", 7), (7, None, "en", "s0", 0, "x", 7)] + [(i, prose(rng, 2), "en", "s1", 9, "x", 7) for i in range(30)]
+    rows += [(8, "one two three four", None, "s2", 9, "x", 7)] * 50
+    results = []
+    for n in (1, 7):
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(n)
+        given = Counter()
+        for r in mixing.mix(docs, id_col="doc_id").collect():
+            given[r.id, r.source, r.size] += r.copies
+        out = corpus_pipeline.source_mix(spark, docs, "").collect()
+        assert Counter((r.doc_id, r.source, words(r.text)) for r in out) == +given
+        times, there = Counter(tuple(r) for r in out), Counter(tuple(r) for r in docs.collect())
+        assert set(times) <= set(there) and all(k <= 3 * there[r] for r, k in times.items())
+        by_key = {}
+        for r, m in there.items():
+            by_key.setdefault((r[0], r[3], words(r[1])), []).append((times[r], m))
+        for key, found in by_key.items():  # none has two more than another
+            whole = given[key] // sum(m for _, m in found)
+            assert all(whole * m <= k <= (whole + 1) * m for k, m in found)
+        results.append(times)
+    assert results[0] == results[1]
 
 
 def test_columns_of_any_name_stay(spark):
