@@ -26,6 +26,13 @@ def test_pages(case):
     assert html.page(page) == (title, text)
 
 
+@pytest.mark.parametrize("text", ["a&amp", "a&amp&lt", "&ampx; &notit;", "&#39 &#x27 &quo &", "&amp;amp;lt;"])
+def test_references_need_their_semicolon(text):
+    want = text.replace("&amp;", "&")
+    assert html.page(f"<title>{text}</title><h1>{text}</h1><p title='&amp'>{text}</p>") == (want, f"{want}\n{want}")
+    assert html.page(text) == (None, want)
+
+
 def test_pages_as_columns(spark):
     frame = spark.createDataFrame([(i, p) for i, (p, _, _) in enumerate(PAGES)] + [(99, None)], "i int, p string")
     got = {r.i: (r.t, r.x) for r in frame.select("i", html.title_of(F.col("p")).alias("t"), html.text_of(F.col("p")).alias("x")).collect()}
