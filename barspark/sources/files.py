@@ -5,40 +5,64 @@ Columns are found by name, and a missing one is an error.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import re
 import unicodedata
 import zipfile
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.html import page
+from ..functions.html import Tags, page
 from ..functions.scalars import scrub_number
 
 TOKYO, FINAL, PRELIM = "東証", "確報", "速報"
 
 
-def _parsed(files: DataFrame, parse, schema: str) -> DataFrame:
-    """``path, content`` of files through ``parse(path, bytes) -> rows``; every file is taken by itself."""
+#: Rows and characters of a batch that goes on, whatever the number and the size of the files.
+ROWS, CHARACTERS = 10_000, 1 << 22
+KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def batched(parse, schema: str):
+    """``path, content`` in record batches through ``parse(path, buffer) -> rows``: rows of many small files go on together, those
+    of a large one in several batches."""
+    names, kinds = zip(*[f.split(" ") for f in schema.split(", ")], strict=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        rows, size = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(list(parse(path, bytes(content))), columns=re.findall(r"(\w+) \w+", schema), dtype=object)
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                for row in parse(path.as_py(), content.as_buffer()):
+                    rows.append(row)
+                    size += sum([len(v) for v in row if v.__class__ is str])
+                    if len(rows) >= ROWS or size >= CHARACTERS:
+                        yield made()
+                        rows, size = [], 0
+        if rows:
+            yield made()
+
+    return run
+
 
-    return files.select("path", "content").mapInPandas(run, schema)
+def _parsed(files: DataFrame, parse, schema: str) -> DataFrame:
+    """Files through batched(); every file is taken by itself."""
+    return files.select("path", "content").mapInArrow(batched(parse, schema), schema)
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-class _Table(HTMLParser):
+class _Table(Tags):
     """Cells and links of the rows of the table with an id."""
 
     def __init__(self, table_id: str):
@@ -46,7 +70,7 @@ class _Table(HTMLParser):
         self.wanted, self.depth, self.rows, self.cell = table_id, 0, [], None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        found = dict(attrs)
+        found = dict(attrs) if attrs else {}
         if tag == "table" and (self.depth or found.get("id") == self.wanted):
             self.depth += 1
         elif self.depth and tag == "tr":
@@ -71,23 +95,19 @@ class _Table(HTMLParser):
 
 def html_rows(files: DataFrame, table_id: str = "sort", classes: tuple[str, ...] = ("obb", "occ"), columns: int = 7) -> DataFrame:
     """``path, pos, cells, links`` of the rows of some classes; a file without the table, or with other columns, is an error."""
+    wanted = set(classes)
 
-    def parse(path: str, content: bytes):
+    def parse(path: str, content: pa.Buffer):
         page = _Table(table_id)
-        page.feed(content.decode("utf-8", "replace"))
+        page.feed(str(content, "utf-8", "replace"))
         if not page.rows:
             raise ValueError(f"{path}: no table {table_id}")
-        for pos, row in enumerate(r for r in page.rows if set(r["classes"]) & set(classes)):
+        for pos, row in enumerate(r for r in page.rows if wanted.intersection(r["classes"])):
             if len(row["cells"]) != columns:
                 raise ValueError(f"{path}: {len(row['cells'])} columns")
             yield path, pos, [c.strip() for c in row["cells"]], row["links"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(list(parse(path, bytes(content))), columns=["path", "pos", "cells", "links"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, pos long, cells array<string>, links array<string>")
+    return _parsed(files, parse, "path string, pos long, cells array<string>, links array<string>")
 
 
 def short_positions(rows: DataFrame) -> DataFrame:
@@ -141,12 +161,15 @@ def margin_rows(files: DataFrame) -> DataFrame:
     """The same of files as bytes: Tokyo rows with days, kinds and numbers. The day must be there; the day of settlement and
     numbers that can't be read are null."""
 
-    def parse(path: str, content: bytes):
-        rows = csv.DictReader(io.StringIO(content.decode("cp932")))
-        if missing := [c for c in MARGIN if c not in (rows.fieldnames or [])]:
+    def parse(path: str, content: pa.Buffer):
+        rows = csv.reader(io.TextIOWrapper(pa.BufferReader(content), "cp932", newline="\n"))
+        at = {name: i for i, name in enumerate(next(rows, []))}
+        if missing := [c for c in MARGIN if c not in at]:
             raise ValueError(f"{path}: columns missing: {missing}")
+        places = [at[c] for c in MARGIN]
         for row in rows:
-            yield (path, *[(row[c] or "").strip() for c in MARGIN])
+            if row:
+                yield (path, *[row[i].strip() if i < len(row) else "" for i in places])
 
     text = _parsed(files, parse, ", ".join(f"{n} string" for n in ("path", *MARGIN.values())))
     numbers = [n for n in MARGIN.values() if n.endswith(("_new", "_repay", "_balance"))]
@@ -169,16 +192,17 @@ def code_list(files: DataFrame, member: str, columns: dict[str, str]) -> DataFra
     Blank rows go; empty values are null."""
     names = list(columns.values())
 
-    def parse(path: str, content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            text = archive.read(member).decode("cp932")
-        head, *rows = list(csv.reader(io.StringIO(text)))[1:]
-        if missing := [c for c in columns if c not in head]:
-            raise ValueError(f"{path}: columns missing: {missing}")
-        at = [head.index(c) for c in columns]
-        for row in rows:
-            if any(x.strip() for x in row):
-                yield tuple((row[i].strip() or None) if i < len(row) else None for i in at)
+    def parse(path: str, content: pa.Buffer):
+        with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(member) as file:
+            rows = csv.reader(io.TextIOWrapper(file, "cp932", newline="\n"))
+            next(rows, None)
+            head = next(rows, [])
+            if missing := [c for c in columns if c not in head]:
+                raise ValueError(f"{path}: columns missing: {missing}")
+            at = [head.index(c) for c in columns]
+            for row in rows:
+                if any(x.strip() for x in row):
+                    yield tuple((row[i].strip() or None) if i < len(row) else None for i in at)
 
     return _parsed(files, parse, ", ".join(f"{n} string" for n in names))
 
@@ -187,20 +211,22 @@ def filing_texts(files: DataFrame, most: int = 200_000) -> DataFrame:
     """``path, title, text, truncated`` of filings as ZIPs: their pages by name, those of the public folder if there are any,
     else all. A file that is no ZIP or has no page has an empty text."""
 
-    def parse(path: str, content: bytes):
+    def parse(path: str, content: pa.Buffer):
+        title, texts = None, []
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 pages = sorted(n for n in archive.namelist() if n.lower().endswith((".htm", ".html")))
-                for pos, name in enumerate([n for n in pages if "PublicDoc/" in n] or pages):
-                    yield path, pos, *page(archive.read(name).decode("utf-8", "replace"))
+                for name in [n for n in pages if "PublicDoc/" in n] or pages:
+                    named, text = page(archive.read(name).decode("utf-8", "replace"))
+                    title = title or named
+                    if text:
+                        texts.append(text)
         except zipfile.BadZipFile:
             pass
+        whole = "\n\n".join(texts)
+        yield path, title, whole[:most], len(whole) > most
 
-    pages = _parsed(files, parse, "path string, pos long, title string, text string")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"]), "\n\n")
-    by = pages.groupBy("path").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("pos"))).alias("title"), text.alias("whole"))
-    every = files.select("path").join(by, "path", "left").withColumn("whole", F.coalesce("whole", F.lit("")))
-    return every.select("path", "title", F.substring("whole", 1, most).alias("text"), (F.length("whole") > most).alias("truncated"))
+    return _parsed(files, parse, "path string, title string, text string, truncated boolean")
 
 
 FACT_MEMBER = re.compile(r"jpcrp\d{6}-(asr|ssr)-")
@@ -210,15 +236,17 @@ FACT_COLUMNS = {"element": "要素ID", "context": "コンテキストID", "unit_
 def fact_rows(files: DataFrame) -> DataFrame:
     """The tagged rows of the first fact file (UTF-16, by tabs) in each ZIP, with ``doc_period``."""
 
-    def parse(path: str, content: bytes):
+    def parse(path: str, content: pa.Buffer):
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             name = next((n for n in sorted(archive.namelist()) if FACT_MEMBER.search(n)), None)
             if name is None:
                 return
-            text = archive.read(name).decode("utf-16")
-        period = "FY" if FACT_MEMBER.search(name)[1] == "asr" else "HY"
-        for pos, row in enumerate(csv.DictReader(io.StringIO(text), delimiter="\t")):
-            yield (path, pos, *[row.get(c) for c in FACT_COLUMNS.values()], period)
+            period = "FY" if FACT_MEMBER.search(name)[1] == "asr" else "HY"
+            with archive.open(name) as file:
+                marked = file.peek(2)[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)
+                text = io.TextIOWrapper(file, "utf-16" if marked else "utf-16-le", newline="\n")
+                for pos, row in enumerate(csv.DictReader(text, delimiter="\t")):
+                    yield (path, pos, *[row.get(c) for c in FACT_COLUMNS.values()], period)
 
     return _parsed(files, parse, "file string, pos long, element string, context string, unit_id string, value string, doc_period string")
 

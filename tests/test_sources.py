@@ -1,7 +1,12 @@
 import datetime as dt
 import gzip
+import io
 import json
+import random
+import re
+import zipfile
 
+import pyarrow as pa
 import pytest
 from barspark.functions import html
 from barspark.sources import days, files
@@ -39,6 +44,62 @@ def test_pages_as_columns(spark):
     assert got == {i: (t, x) for i, (_, t, x) in enumerate(PAGES)} | {99: (None, None)}
 
 
+def test_the_short_way_through_plain_tags(monkeypatch):
+    class Seen(html.Tags):
+        def __init__(self, text):
+            super().__init__()
+            self.seen = []
+            self.feed(text)
+            self.close()
+
+        handle_starttag = lambda self, tag, attrs: self.seen.append((tag, attrs))
+        handle_startendtag = lambda self, tag, attrs: self.seen.append((tag, attrs, "/"))
+        handle_endtag = handle_data = handle_comment = handle_decl = handle_pi = unknown_decl = lambda self, text: self.seen.append(text)
+
+    bits = ("<p>", "</P>", "<tr class='obb'>", "<a href=\"/x?f=1\" ID=''>", "<a b='&lt;' c=d>", "<br/>", "<td", "<", ">", "x ", "&amp;", "&#39", "<script>", "</script>", "<title>",
+            "</title>", "<!-- c -->", "<!--", "<!doctype html>", "<?x?>", "</p class='x'>", "'", '"', "<a b='c'd='e'>")
+    pick = random.Random(3)
+    texts = ["".join(pick.choices(bits, k=pick.randint(1, 10))) for _ in range(5000)]
+    short = [Seen(t).seen for t in texts]
+    monkeypatch.setattr(html, "PLAIN", re.compile("(?!)"))
+    assert short == [Seen(t).seen for t in texts]
+
+
+def _files(*contents):
+    return pa.RecordBatch.from_pydict({"path": [str(i) for i in range(len(contents))], "content": [c.encode("cp932") for c in contents]})
+
+
+def test_rows_of_files_go_on_in_bounded_batches():
+    run = files.batched(lambda path, content: ((path, line) for line in str(content, "cp932").split()), "path string, line string")
+    assert [b.num_rows for b in run(iter([_files(*["x y"] * 50), _files("z")]))] == [101]
+    big = list(run(iter([_files("x " * (2 * files.ROWS + 5), ("y" * (files.CHARACTERS // 2) + " ") * 3)])))
+    assert [b.num_rows for b in big] == [files.ROWS, files.ROWS, 7, 1] and big[2]["path"].to_pylist() == ["0"] * 5 + ["1"] * 2
+
+
+def test_margin_files_of_odd_lines(spark):
+    head = ",".join(reversed(files.MARGIN))
+    row = "0,,,,,,\"1,000\",確報,東証,1301,,2024/01/05"
+    content = f"{head}\r\n{row},more\r\n\r\n{row.replace('0,,', '7,,')}\n東証\n{row.replace('東証', '名証')}".encode("cp932")
+    got = files.margin_rows(spark.createDataFrame([("a", bytearray(content))], "path string, content binary")).collect()
+    assert [(r.code, r.date, r.settle_date, r.kind, r.yushi_new, r.net_balance) for r in got] == [("1301", D("2024-01-05"), None, "final", 1000, n) for n in (0, 7)]
+    with pytest.raises(Exception, match="columns missing"):
+        files.margin_rows(spark.createDataFrame([("a", bytearray())], "path string, content binary")).collect()
+
+
+def test_texts_of_filings_file_by_file(spark):
+    def pack(**pages):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for name, page in pages.items():
+                archive.writestr(name.replace("_", "/") + ".htm", page)
+        return bytearray(out.getvalue())
+
+    given = [("a", pack(PublicDoc_2="<p>two", PublicDoc_1="<h1>T</h1>", other="<p>no")), ("b", pack(x="<p></p>")), ("c", bytearray(b"no zip")), ("d", pack())]
+    made = files.filing_texts(spark.createDataFrame(given, "path string, content binary"), most=5)
+    assert sorted(made.collect()) == [("a", "T", "T\n\ntw", True), ("b", None, "", False), ("c", None, "", False), ("d", None, "", False)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def filings(n, status="200", **more):
     return json.dumps({"metadata": {"status": status}, "results": [{"docID": f"S{n}", "edinetCode": 7, "docTypeCode": "120", "periodStart": "", "withdrawalStatus": "1", "disclosureStatus": 2, "new": {"a": [1]}, "flag": True} | more, {"docID": None, "withdrawalStatus": "x"}]})
 
