@@ -335,9 +335,9 @@ def _lines(rows: DataFrame, key: Column, order: str, line: Column) -> DataFrame:
     return by.select("path", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("body"))
 
 
-@F.pandas_udf(T.BinaryType())
-def _cp932(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t.encode("cp932"))
+def _cp932(text: str) -> str:
+    """The bytes of a fixed text in cp932, as characters: a whole file of such characters is encoded by Spark as ISO-8859-1."""
+    return text.encode("cp932").decode("latin-1")
 
 
 def _zipped(member: str, encoding: str):
@@ -361,13 +361,14 @@ def _zipped(member: str, encoding: str):
 def _margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, day, quoted = F.col("o_orderkey"), lambda c: F.date_format(c, "yyyy/MM/dd"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     settled = F.when(key % 8 == 0, "soon").when(key % 4 == 0, "").otherwise(day(F.date_add(F.to_date("o_orderdate"), 2)))
+    jp = lambda t: F.lit(_cp932(t))
     cells = (
-        day(F.to_date("o_orderdate")), settled, (1000 + key % 9000).cast("string"), F.when(F.col("o_orderstatus") == "O", "名証").otherwise("東証およびPTS"),
-        F.when(key % 3 == 0, " 確報 ").when(key % 3 == 1, "速報").otherwise("暫定"), key.cast("string"), F.lit("-"), quoted(F.format_number(F.floor("o_totalprice"), 0)),
+        day(F.to_date("o_orderdate")), settled, (1000 + key % 9000).cast("string"), F.when(F.col("o_orderstatus") == "O", jp("名証")).otherwise(jp("東証およびPTS")),
+        F.when(key % 3 == 0, jp(" 確報 ")).when(key % 3 == 1, jp("速報")).otherwise(jp("暫定")), key.cast("string"), F.lit("-"), quoted(F.format_number(F.floor("o_totalprice"), 0)),
         F.lit(""), (-key).cast("string"), F.lit("0"), quoted(F.lit("1,234,567")),
     )
     made = _lines(table(spark, sf_dir, "orders"), F.col("o_custkey") % 100, "o_orderkey", F.concat_ws(",", *cells))
-    content = _cp932(F.concat(F.lit(",".join(files.MARGIN) + "\n"), "body", F.lit("\n")))
+    content = F.encode(F.concat(jp(",".join(files.MARGIN) + "\n"), "body", F.lit("\n")), "ISO-8859-1")
     return files.margin_rows(made.select("path", content.alias("content")))
 
 
