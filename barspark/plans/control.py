@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -340,6 +342,23 @@ def _cp932(text: str) -> str:
     return text.encode("cp932").decode("latin-1")
 
 
+def _stored(members: list) -> bytes:
+    """A ZIP of names and texts, not compressed. Most of zipfile's time for members of a line goes to what is the same in all."""
+    if len(members) >= 0xFFFF:  # what the short form of the directory can't count
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for name, text in members:
+                archive.writestr(name, text)
+        return out.getvalue()
+    body, directory = bytearray(), bytearray()
+    for name, text in members:
+        name, data = name.encode(), text.encode()
+        head = struct.pack("<5H3L2H", 20, 0, 0, 0, 33, zlib.crc32(data), len(data), len(data), len(name), 0)
+        directory += b"PK\1\2\24\0" + head + struct.pack("<3H2L", 0, 0, 0, 0, len(body)) + name
+        body += b"PK\3\4" + head + name + data
+    return bytes(body + directory + struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, len(members), len(members), len(directory), len(body), 0))
+
+
 def _zipped(member: str, encoding: str):
     @F.pandas_udf(T.BinaryType())
     def pack(text: pd.Series) -> pd.Series:
@@ -418,17 +437,13 @@ FROM orders GROUP BY o_custkey""")
 def _filing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     page = F.concat(F.lit("<html><head><title>Of "), F.col("o_custkey").cast("string"), F.lit("</title></head><body><p>Order "), key.cast("string"), F.lit("</p><td> "), "o_orderstatus", F.lit("</td></body></html>"))
-    by = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.collect_list(F.struct(key.alias("k"), page.alias("page"))).alias("pages"))
+    named = F.concat(F.format_string("XBRL/PublicDoc/%012d.htm\n", key), page)
+    by = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("path")).agg(F.collect_list(named).alias("pages"))
 
     @F.pandas_udf(T.BinaryType())
     def pack(pages: pd.Series) -> pd.Series:
         def one(found) -> bytes:
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w") as archive:
-                archive.writestr("XBRL/AuditDoc/a.htm", "<p>left out</p>")
-                for p in found:
-                    archive.writestr(f"XBRL/PublicDoc/{p['k']:012d}.htm", p["page"])
-            return out.getvalue()
+            return _stored([("XBRL/AuditDoc/a.htm", "<p>left out</p>"), *[p.split("\n", 1) for p in found]])
 
         return pages.map(one)
 

@@ -9,6 +9,7 @@ import zipfile
 import pyarrow as pa
 import pytest
 from barspark.functions import html
+from barspark.plans import control
 from barspark.sources import days, files
 from pyspark.sql import functions as F
 
@@ -86,6 +87,13 @@ def test_margin_files_of_odd_lines(spark):
         files.margin_rows(spark.createDataFrame([("a", bytearray())], "path string, content binary")).collect()
 
 
+@pytest.mark.parametrize("n", [0, 3, 70_000])
+def test_stored_zips_are_read_by_zipfile(n):
+    given = [(f"a/{i}.htm", f"é{i}" * (i % 3)) for i in range(n)]
+    with zipfile.ZipFile(io.BytesIO(control._stored(given))) as archive:
+        assert archive.testzip() is None and [(m, archive.read(m).decode()) for m in archive.namelist()] == given
+
+
 def test_texts_of_filings_file_by_file(spark):
     def pack(**pages):
         out = io.BytesIO()
