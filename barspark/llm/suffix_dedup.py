@@ -2,8 +2,8 @@
 
 A string of ``length`` bytes counts as repeated if it starts anywhere else, in the same document or another. Suffix
 arrays of whole texts would cost far more than the work needs: two equal strings of ``length`` bytes also share the
-place of their least hashed piece (``anchor``, half as long as the string), so text whose anchors come up once has no
-repeat. The steps:
+place of their least hashed piece (``anchor``, half as long as the string, a third of a passage), so text whose anchors
+come up once has no repeat. The steps:
 
 1. every document is cut into stretches: the strings whose anchor is the same piece, one after the other, with the bytes
    that they cover. Equal stretches are one class; a class of two or more is repeated as a whole;
@@ -15,6 +15,9 @@ repeat. The steps:
    compared byte by byte);
 4. shards that share a spread anchor hand on one digest for each of their groups, with the number of its places; digests
    are dealt out in order, and each is looked up among the others by binary search.
+
+Where shorter passages are asked for too, they come first: a repeated string is made of repeated passages, one at each place, so
+that it lies in one run of them, and only those runs are cut and sorted again for the longer strings.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from pyspark.sql import types as T
 from .common import stored
 
 LENGTH = 400
+#: Bytes of a repeated passage: fifty words are longer but where they average under 3.8 bytes.
+PASSAGE = 240
 #: Bytes of text that a task hashes at once (a longer document is taken alone), stretches of one anchor and bytes in a shard.
 BATCH, SPREAD, SHARD = 1 << 21, 2000, 1 << 21
 
@@ -39,6 +44,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -47,9 +53,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def stretches(raw: bytes, lengths: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Documents joined to ``raw`` -> document, anchor, first and last start of each stretch, and the anchor's hash."""
-    piece = length // 2
+def stretches(raw: bytes, lengths: np.ndarray, length: int, pieces: int = 2) -> tuple[np.ndarray, ...]:
+    """Documents joined to ``raw`` -> document, anchor, first and last start of each stretch, and the anchor's hash; an anchor is
+    one of ``pieces`` parts of ``length``."""
+    piece = length // pieces
     window = length - piece + 1
     n = len(raw)
     none = np.empty(0, np.int64)
@@ -191,14 +198,16 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[np.r_[0, cut + 1]], values[np.r_[cut, len(values) - 1]]
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``id, text`` -> ``id, first, after``: byte ranges that cover every repeated string; ranges of an id may overlap."""
+def repeated_spans(texts: DataFrame, length: int = LENGTH, pieces: int = 2) -> DataFrame:
+    """``id, text`` (string or binary) -> ``id, first, after``: byte ranges that cover every repeated string; ranges of an id may
+    overlap. ``pieces``: how many anchors a string could hold side by side; shorter anchors make fewer and longer stretches."""
+    texts = texts.select("id", F.col("text").cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(ids: list, data: list[bytes]) -> pa.RecordBatch:
             raw, sizes = b"".join(data), np.array([len(x) for x in data])
             begins = np.cumsum(sizes) - sizes
-            doc, anchor, first, last, key = stretches(raw, sizes, length)
+            doc, anchor, first, last, key = stretches(raw, sizes, length, pieces)
             cls = np.array(
                 [xxhash.xxh3_64_intdigest(raw[a : b + length], m - a) for m, a, b in zip(anchor.tolist(), first.tolist(), last.tolist(), strict=True)],
                 np.uint64,
@@ -213,7 +222,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         ids, data, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                raw = (t.as_py() or "").encode()
+                raw = t.as_py() or b""
                 if len(raw) < length:
                     continue
                 if data and size + len(raw) > BATCH:
@@ -252,7 +261,7 @@ def _shard_spans(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("anchor", "part", "spread", "several", "id", "first", "piece")}
             for i, t, ws in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                raw = (t.as_py() or "").encode()
+                raw = t.as_py() or b""
                 for w in ws.as_py():
                     for k in ("anchor", "part", "spread", "several", "first"):
                         out[k].append(w[k])
@@ -343,12 +352,52 @@ def _merged(handed: DataFrame) -> DataFrame:
     return handed.repartition("digest").sortWithinPartitions("digest").mapInArrow(search, "id long, first long, after long")
 
 
+def _merged_runs(found: list[dict] | None) -> list[dict]:
+    """Ranges merged where they overlap or touch, in order."""
+    out: list[dict] = []
+    for first, after in sorted((x["first"], x["after"]) for x in found or ()):
+        if out and first <= out[-1]["after"]:
+            out[-1]["after"] = max(out[-1]["after"], after)
+        else:
+            out.append({"first": first, "after": after})
+    return out
+
+
+def _lists(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("id").agg(F.collect_set(F.struct("first", "after")).alias("found"))
+
+
+def _runs_of(spans: DataFrame) -> DataFrame:
+    """``id, first, after`` -> ``id, found``: the merged ranges of each id."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged_runs(x.as_py()) for x in batch.column(1)], _SPANS)], names=["id", "found"])
+
+    return _lists(spans).mapInArrow(merge, "id long, found array<struct<first: long, after: long>>")
+
+
+def _spans_within(texts: DataFrame, passages: DataFrame, length: int) -> DataFrame:
+    """``repeated_spans`` of ``length``, looked for in the runs of shorter ones alone: every place of such a string is in a run."""
+    long_ones = F.filter("found", lambda s: s["after"] - s["first"] >= length)
+    runs = passages.select("id", long_ones.alias("runs")).where(F.size("runs") > 0)
+    cut = "substring(cast(text AS binary), cast(run.first + 1 AS int), cast(run.after - run.first AS int))"
+    each = texts.join(runs, "id").select("id", "text", F.explode("runs").alias("run"))
+    part = F.xxhash64("id", "run.first").alias("part")
+    parts = stored(each.select(part, F.col("id").alias("doc"), F.col("run.first").alias("off"), F.expr(cut).alias("text")), "runs")
+    found = repeated_spans(parts.select(F.col("part").alias("id"), "text"), length).withColumnRenamed("id", "part")
+    places = parts.select("part", "doc", "off").dropDuplicates(["part"])  # rows that repeat have their runs alike
+    first, after = (F.col("first") + F.col("off")).alias("first"), (F.col("after") + F.col("off")).alias("after")
+    return found.join(places, "part").select(F.col("doc").alias("id"), first, after)
+
+
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, passage: int | None = None
 ) -> DataFrame:
     """``id, n_bytes, spans`` (array of struct<first, after>, merged, in order), ``kept`` (binary) and ``kept_text`` of each
-    row; with the name of a column in ``carry`` also that column, as ``row``. In ``kept`` a cut may split a character, which
-    ``kept_text`` leaves out.
+    row; with the name of a column in ``carry`` also that column, as ``row``. With a shorter length in ``passage`` also
+    ``passages``: the spans of repeated strings of that length, which stay in what is kept (none: empty). In ``kept`` a cut
+    may split a character, which ``kept_text`` leaves out.
 
     A null text is empty; texts under ``length`` bytes have no repeat. Matches never cross documents. Rows that repeat
     are copies of each other, so that their texts go. A row is known by a hash of 64 bits of its id and text together, so
@@ -357,35 +406,36 @@ def remove_repeats(
     row = [docs[carry].alias("row")] if carry else []
     rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("key"), docs[id_col].alias("id"), docs[text_col].alias("text"), *row)
     texts = rows.select(F.col("key").alias("id"), "text")
-    spans = repeated_spans(texts.where("text is not null"), length)
-    lists = spans.groupBy(F.col("id").alias("key")).agg(F.collect_set(F.struct("first", "after")).alias("found"))
+    some = texts.where("text is not null")
+    if passage:
+        shorter = stored(_runs_of(repeated_spans(some, passage, pieces=3)), "passages")
+        lists = _lists(_spans_within(some, shorter, length)).join(shorter.withColumnRenamed("found", "passages"), "id", "right")
+    else:
+        lists = _lists(repeated_spans(some, length))
+    lists = lists.withColumnRenamed("id", "key")
+    more = [*(["passages"] if passage else []), *(["row"] if carry else [])]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, merged, kept = [], [], []
             for t, found in zip(batch.column(1), batch.column(2), strict=True):
-                raw, out = (t.as_py() or "").encode(), []
-                for s in sorted((x["first"], x["after"]) for x in found.as_py() or ()):
-                    if out and s[0] <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], s[1])
-                    else:
-                        out.append([*s])
+                raw, spans = (t.as_py() or "").encode(), _merged_runs(found.as_py())
                 at, left = 0, []
-                for first, after in out:
-                    left.append(raw[at:first])
-                    at = after
+                for x in spans:
+                    left.append(raw[at : x["first"]])
+                    at = x["after"]
                 sizes.append(len(raw))
-                merged.append([{"first": a, "after": b} for a, b in out])
+                merged.append(spans)
                 kept.append(b"".join([*left, raw[at:]]))
-            span = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
             texts = [k.decode("utf-8", "ignore") for k in kept]  # a character that a cut has split goes
-            made = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=["id", "n_bytes", "spans", "kept", "kept_text", *(["row"] if carry else [])])
+            made = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, _SPANS), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=["id", "n_bytes", "spans", "kept", "kept_text", *more])
 
-    joined = rows.join(lists, "key", "left").select("id", "text", "found", *(["row"] if carry else []))
+    joined = rows.join(lists, "key", "left").select("id", "text", "found", *more)
     spans_type = T.ArrayType(T.StructType().add("first", T.LongType()).add("after", T.LongType()))
     schema = T.StructType().add("id", joined.schema["id"].dataType).add("n_bytes", T.LongType()).add("spans", spans_type)
     schema = schema.add("kept", T.BinaryType()).add("kept_text", T.StringType())
-    if carry:
-        schema = schema.add("row", joined.schema["row"].dataType)
-    return joined.mapInArrow(take, schema)
+    for name in more:
+        schema = schema.add(name, joined.schema[name].dataType)
+    done = joined.mapInArrow(take, schema)
+    return done.withColumn("passages", F.coalesce("passages", F.array().cast(spans_type))) if passage else done

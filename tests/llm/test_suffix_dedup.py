@@ -108,3 +108,45 @@ def test_whole_table(spark, sf):
             at = b
         kept += raws[r.doc_id][at:]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+def test_passages_beside_longer_strings_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 3000)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 2000)
+    for seed, spread in ((4, 2000), (5, 2)):
+        monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
+        texts = corpus(seed)
+        docs = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "doc_id long, text string, passages int")
+        rows = suffix_dedup.remove_repeats(docs, 40, passage=24).collect()
+        check(rows, texts, 40)
+        passages = brute(texts, 24)[1]
+        assert {r.id: [(s.first, s.after) for s in r.passages] for r in rows} == {k: spans for k, (_, spans) in passages.items()}
+        assert any(not r.spans and r.passages for r in rows)
+    assert suffix_dedup.remove_repeats(docs.limit(0), 40, passage=24).count() == 0
+    twice = docs.where("doc_id = 3")
+    again = suffix_dedup.remove_repeats(twice.unionAll(twice), 40, passage=24).collect()
+    assert [[(s.first, s.after) for s in r.passages] for r in again] == [[(0, len(texts[3].encode()))]] * 2 and {bytes(r.kept) for r in again} == {b""}
+
+
+def test_passages_of_over_fifty_words_are_found_below_the_length(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 9))))
+    prose = lambda n: [word() for _ in range(n)]
+    shared = [prose(int(n)) for n in rng.integers(51, 61, 6)]
+    sizes = [len(" ".join(p).encode()) for p in shared]
+    assert 240 < min(sizes) < 400
+    rows = [(i, " ".join([*prose(80), *shared[i % 6], *prose(80)])) for i in range(12)] + [(i, " ".join(prose(200))) for i in range(12, 24)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op2_suffix_dedup(spark, str(tmp_path)).collect():
+        if r.doc_id < 12:  # the spaces around are shared too, and whatever letters follow by chance
+            n = sizes[r.doc_id % 6]
+            assert r.n_passages == 1 and n + 2 <= r.n_passage_bytes < n + 12
+            assert r.n_removed == (r.n_passage_bytes if r.n_passage_bytes >= 400 else 0)
+        else:
+            assert (r.n_passages, r.n_passage_bytes, r.n_removed) == (0, 0, 0)
+
+
+def test_passages_of_the_whole_table(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = {k: (len(spans), sum(b - a for a, b in spans)) for k, (_, spans) in brute(texts, 240)[1].items()}
+    assert {r.doc_id: (r.n_passages, r.n_passage_bytes) for r in queries.op2_suffix_dedup(spark, sf).collect()} == want
